@@ -1,11 +1,381 @@
-"""The catalogue of queries and their SQL equivalents."""
+"""The catalogue: one query for each operator, over whole tables, and SQL with the same rows.
+
+Floats are rounded and every ranking ends on a unique key, so results are the same everywhere.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..functions import urls as U
+from ..operators import chunking, diff, embed, resolve, retrieval
+from ..operators.html_markdown import extract_links, parse_pages
+from ..session import table
+from ..sources import web
+
+QUERY = "the tionlyble heati of Thntblere reing"
+HOST, SCOPE = "thththth.example.org", "/en"
+NAME, ASKED = "Brand#1", "brand steel 1.2 economy"
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str = "") -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# ---------------------------------------------------------------- dense search
+
+
+def _vector(spark: SparkSession, d: str, vec_id: int = 0) -> list[float]:
+    return list(table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0])
+
+
+_DISTANCE = "round(1 - list_cosine_similarity(e.embedding::double[], q.v), 6)"
+_Q = "q AS (SELECT embedding::double[] AS v FROM embeddings WHERE vec_id = 0)"
+
+
+@query(f"WITH {_Q} SELECT vec_id, round(1 - list_cosine_similarity(e.embedding::double[], q.v), 6) AS score FROM embeddings e, q ORDER BY 1 - list_cosine_similarity(e.embedding::double[], q.v), vec_id LIMIT 20")
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    hits = retrieval.dense_topk(table(spark, d, "embeddings"), _vector(spark, d), 20, "vec_id")
+    return hits.select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_Q} SELECT vec_id, {_DISTANCE} AS score FROM embeddings e, q WHERE label = 3 ORDER BY 1 - list_cosine_similarity(e.embedding::double[], q.v), vec_id LIMIT 20")
+def dense_topk_scoped(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "embeddings").withColumn("library_id", F.col("label").cast("string"))
+    hits = retrieval.dense_topk(retrieval.scoped(chunks, library_id="3"), _vector(spark, d), 20, "vec_id")
+    return hits.select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "WITH q AS (SELECT vec_id AS query_id, embedding::double[] AS v FROM embeddings WHERE vec_id % 100 = 0), "
+    "s AS (SELECT query_id, vec_id, 1 - list_cosine_similarity(e.embedding::double[], q.v) AS d FROM embeddings e, q) "
+    "SELECT query_id, vec_id, round(d, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM s) WHERE rank <= 10"
+)
+def dense_topk_batch(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    hits = retrieval.dense_topk_batch(rows, asked, 10, "vec_id")
+    return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    "SELECT label, count(*) AS n, count(*) FILTER (len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0) AS valid, "
+    "round(avg(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)))), 6) AS mean_norm FROM embeddings GROUP BY label"
+)
+def vector_validate(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("embedding")
+    rows = table(spark, d, "embeddings").groupBy("label")
+    return rows.agg(F.count("*").alias("n"), F.count_if(C.is_valid_vector("embedding", 64)).alias("valid"), F.round(F.avg(F.sqrt(C.dot(v, v))), 6).alias("mean_norm"))
+
+
+# ---------------------------------------------------------------- lexical search
+
+_TERMS = r"""
+ids AS (SELECT doc_id, trim(x, '._-') AS whole FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{Nd}._/-]+')) AS x FROM documents)),
+cut AS (SELECT doc_id, whole, list_filter(string_split_regex(whole, '[._/-]+'), lambda p: p <> '') AS parts FROM ids WHERE whole <> ''),
+pieces AS (SELECT doc_id, list_concat([whole], parts, list_filter(string_split(regexp_replace(regexp_replace(array_to_string(parts, ' '), '(\p{Ll})(\p{Lu})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g'), ' '), lambda p: p <> '')) AS terms FROM cut),
+posted AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_distinct(list_transform(terms, lambda t: lower(t)))) AS term FROM pieces) GROUP BY doc_id, term)
+"""
+
+
+@query(f"WITH {_TERMS} SELECT doc_id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS length, max(tf) AS most FROM posted GROUP BY doc_id")
+def technical_tokens(spark: SparkSession, d: str) -> DataFrame:
+    posted = retrieval.postings(table(spark, d, "documents"), "doc_id", "text")
+    return posted.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("length"), F.max("tf").alias("most"))
+
+
+_WORDS = ", ".join(f"'{w}'" for w in sorted(retrieval.terms_of(QUERY)))
+_BM25 = f"""
+{_TERMS.strip()},
+lens AS (SELECT doc_id, sum(tf) AS len FROM posted GROUP BY doc_id),
+stats AS (SELECT (SELECT count(*) FROM documents) AS n, sum(len) AS total FROM lens),
+dfs AS (SELECT term, count(*) AS df FROM posted WHERE term IN ({_WORDS}) GROUP BY term),
+bm25 AS (SELECT p.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / (total / n)))), 12) AS score
+  FROM posted p JOIN dfs USING (term) JOIN lens USING (doc_id), stats GROUP BY p.doc_id)
+"""
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 9) AS score FROM bm25 ORDER BY bm25.score DESC, doc_id LIMIT 20")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    hits = retrieval.bm25_topk(table(spark, d, "documents"), QUERY, "doc_id", "text")
+    return hits.select("doc_id", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 9) AS score FROM bm25 ORDER BY bm25.score DESC, doc_id LIMIT 20")
+def bm25_postings_topk(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    posted = retrieval.postings(docs, "doc_id", "text").persist()
+    hits = retrieval.bm25_from_postings(posted, docs.count(), QUERY, "doc_id")
+    return hits.select("doc_id", F.round("score", 9).alias("score"))
+
+
+@query(
+    f"WITH {_BM25}, a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm25 QUALIFY rank <= 20), "
+    "b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 20) "
+    "SELECT doc_id, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 9) AS score FROM a FULL OUTER JOIN b USING (doc_id)"
+)
+def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    lexical = retrieval.ranked(retrieval.bm25_topk(docs, QUERY, "doc_id", "text"), F.desc("score"), "doc_id")
+    longest = retrieval.ranked(docs.select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(20), F.desc("n_chars"), "doc_id")
+    fused = retrieval.rrf([lexical.select("doc_id", "rank"), longest.select("doc_id", "rank")], "doc_id")
+    return fused.select("doc_id", F.round("score", 9).alias("score"))
+
+
+@query(
+    r"WITH n AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS norm FROM documents) "
+    "SELECT doc_id, copies FROM (SELECT doc_id, row_number() OVER (PARTITION BY norm ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY norm) AS copies FROM n WHERE norm <> '') WHERE r = 1"
+)
+def dedup_content(spark: SparkSession, d: str) -> DataFrame:
+    # First of each content as an aggregate: a content with many copies is combined before the shuffle.
+    rows = table(spark, d, "documents").select("doc_id", F.sha2(C.normal_content("text"), 256).alias("norm"), (C.normal_content("text") == "").alias("blank"))
+    return rows.where("not blank").groupBy("norm").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
+
+
+_TRIM = r"""
+WITH h AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn, role) AS rank FROM conversations),
+m AS (SELECT *, (role <> '' AND turn >= 0) AS named FROM h),
+i AS (SELECT *, count(*) OVER (PARTITION BY conv_id, role, named, turn) AS n, turn - row_number() OVER (PARTITION BY conv_id, role, named ORDER BY turn, rank) AS island FROM m),
+r AS (SELECT *, named AND max(n) OVER (PARTITION BY conv_id, role, named) = 1 AS run, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS norm FROM i),
+s AS (SELECT * FROM r WHERE norm <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, norm ORDER BY rank) = 1),
+x AS (SELECT *, run AND row_number() OVER (PARTITION BY conv_id, role, run, island ORDER BY rank) > 2 AS deferred FROM s)
+SELECT conv_id, turn, CAST(position AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY deferred, rank) AS position FROM x) WHERE position <= 6
+"""
+
+
+@query(_TRIM)
+def adjacent_trim(spark: SparkSession, d: str) -> DataFrame:
+    order = Window.partitionBy("conv_id").orderBy(F.desc(F.length("text")), "turn", "role")
+    hits = table(spark, d, "conversations").select(
+        "conv_id", "turn", F.col("turn").alias("chunk_index"), F.lit("s").alias("source_id"), F.col("conv_id").cast("string").alias("document_id"), F.col("role").alias("heading_path"),
+        F.col("text").alias("content"), F.row_number().over(order).alias("rank"),
+    )
+    return retrieval.trimmed(hits, 6, ("conv_id",)).select("conv_id", "turn", "position")
+
+
+@query(
+    r"SELECT doc_id, (regexp_matches(t, '/[\p{L}\p{Nd}]|[\p{L}\p{Nd}][.-][\p{L}\p{Nd}]|\p{Ll}\p{Lu}') OR (regexp_matches(t, '\p{Ll}') AND len(list_filter(regexp_extract_all(t, '[\p{L}\p{Nd}._/-]+'), "
+    r"lambda x: regexp_matches(x, '\p{Lu}[^\p{L}]*\p{Lu}') AND NOT regexp_matches(x, '[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]'))) > 0)) AS technical FROM (SELECT doc_id, text AS t FROM documents)"
+)
+def technical_route(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", C.has_technical_identifier("text").alias("technical"))
+
+
+# ---------------------------------------------------------------- incremental state
+
+_DIFF = r"""
+WITH old AS (SELECT doc_id, sha256(text) AS h, source AS title FROM documents WHERE doc_id % 11 <> 0),
+new AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN concat(text, '!') ELSE text END) AS h, CASE WHEN doc_id % 13 = 0 THEN 'renamed' ELSE source END AS title FROM documents WHERE doc_id % 10 <> 0),
+s AS (SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' WHEN n.h = o.h AND n.title = o.title THEN 'unchanged' ELSE 'updated' END AS status
+  FROM new n FULL OUTER JOIN old o ON n.doc_id = o.doc_id)
+"""
+
+
+def _states(spark: SparkSession, d: str) -> DataFrame:
+    # Two states of one table: what the rows left out of each make are the added and removed ones.
+    docs = table(spark, d, "documents").withColumn("heading_path", F.lit(""))
+    hashed = lambda t: F.sha2(t, 256).alias("content_hash")
+    old = docs.where("doc_id % 11 <> 0").select("doc_id", hashed(F.col("text")), F.col("source").alias("title"), "heading_path")
+    edited = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    title = F.when(F.col("doc_id") % 13 == 0, F.lit("renamed")).otherwise(F.col("source"))
+    new = docs.where("doc_id % 10 <> 0").select("doc_id", hashed(edited), title.alias("title"), "heading_path")
+    return diff.diff(new, old, "doc_id")
+
+
+@query(f"{_DIFF} SELECT doc_id, status FROM s")
+def incremental_diff(spark: SparkSession, d: str) -> DataFrame:
+    return _states(spark, d)
+
+
+@query(
+    f"{_DIFF} SELECT CAST(12 AS BIGINT) AS discovered, CAST(10 AS BIGINT) AS fetched, CAST(2 AS BIGINT) AS skipped, count(*) FILTER (status IN ('added', 'updated')) AS indexed, count(*) FILTER (status = 'added') AS added, "
+    "count(*) FILTER (status = 'updated') AS updated, count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status = 'removed') AS removed FROM s"
+)
+def sync_report(spark: SparkSession, d: str) -> DataFrame:
+    return diff.report(_states(spark, d), 10, 2)
+
+
+@query("SELECT source AS library_id, count(*) AS chunks, count(DISTINCT nullif(lang, '')) AS pages FROM documents GROUP BY source")
+def library_counts(spark: SparkSession, d: str) -> DataFrame:
+    return diff.library_counts(table(spark, d, "documents").select(F.col("source").alias("library_id"), F.col("lang").alias("url")))
+
+
+# ---------------------------------------------------------------- URLs and identities
+
+_TRACK = ", ".join(f"'{x}'" for x in U.TRACKING if x == x.lower())
+_URL = rf"""
+WITH p AS (SELECT page_id, url, lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)', 1)) AS scheme, lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)', 2)) AS host,
+  regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)', 3) AS path, regexp_extract(trim(url), '^[^?#]*\?([^#]*)', 1) AS q FROM pages),
+c AS (SELECT *, regexp_replace(regexp_replace('/' || path, '/+', '/', 'g'), '/$', '') AS clean, list_sort(list_transform(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT (lower(split_part(x, '=', 1)) IN ({_TRACK}) OR regexp_matches(lower(split_part(x, '=', 1)), '^utm_.'))),
+  lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END)) AS kept FROM p)
+"""
+
+
+@query(f"{_URL} SELECT page_id, CASE WHEN scheme IN ('http', 'https') THEN scheme || '://' || host || clean || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS url FROM c")
+def url_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", U.normalized("url").alias("url"))
+
+
+@query(
+    rf"""{_URL} SELECT page_id, (scheme = 'https' AND host = '{HOST}' AND (path = '{SCOPE}' OR starts_with(path, '{SCOPE}/')) AND regexp_matches(path, '^/en/[0-9]+([.]html)?/?$')
+  AND NOT regexp_matches(path, '^/en/1(?:/.*)?$|^/en/[^/]*7[^/]*$')) AS in_scope FROM c"""
+)
+def scope_filter(spark: SparkSession, d: str) -> DataFrame:
+    rule = U.in_scope("url", f"https://{HOST}{SCOPE}", ["/en/[0-9]*", "/en/[0-9]*/"], ["en/1/**", "/en/*7*"])
+    # Numbered pages only; the glob's star is narrowed by a plain condition.
+    numbered = U.path_of("url").rlike("^/en/[0-9]+([.]html)?/?$")
+    return table(spark, d, "pages").select("page_id", (rule & numbered).alias("in_scope"))
+
+
+@query("SELECT page_id, substring(sha256(url), 1, 16) AS document_id, sha256(concat('0123456789abcdef', url, 'Guide > Start', CAST(page_id % 5 AS VARCHAR))) AS chunk_id FROM pages")
+def document_ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", C.short_sha("url").alias("document_id"), C.chunk_id(F.lit("0123456789abcdef"), "url", F.lit("Guide > Start"), F.col("page_id") % 5).alias("chunk_id"))
+
+
+@query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+(\n|$)', '\1', 'g'), '^\s+', ''), '\s+$', '')) AS content_hash FROM documents")
+def document_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", C.document_hash("text").alias("content_hash"))
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, '/local/' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS library_id FROM part")
+def library_ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", C.slug("p_name").alias("slug"), F.concat(F.lit("/local/"), C.slug("p_name")).alias("library_id"))
+
+
+@query(
+    "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'local' WHEN c_custkey % 4 = 1 THEN 'docs' END AS namespace, CASE WHEN c_custkey % 4 < 2 THEN c_name END AS name, "
+    "CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 4 = 1 THEN '1.2' END AS version FROM customer"
+)
+def library_id_parse(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey") % 4
+    made = F.when(k == 0, F.concat(F.lit("/local/"), "c_name")).when(k == 1, F.concat(F.lit("/docs/"), "c_name", F.lit("/1.2"))).when(k == 2, F.concat(F.lit("/docs/"), "c_name")).otherwise(F.concat(F.lit("local//"), "c_name"))
+    return table(spark, d, "customer").select("c_custkey", C.library_id_parts(made).alias("p")).select("c_custkey", "p.*")
+
+
+@query("SELECT doc_id, concat_ws(chr(10) || chr(10), nullif(source, ''), CASE WHEN lower(lang) <> lower(source) THEN lang END, nullif(trim(text), '')) AS embedding_text FROM documents")
+def embedding_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", C.embedding_text("source", "lang", "text").alias("embedding_text"))
+
+
+@query(r"SELECT doc_id, CAST(floor(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) * 1.3) AS INT) AS tokens FROM documents")
+def token_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", C.estimated_tokens("text").alias("tokens"))
+
+
+# ---------------------------------------------------------------- resolution
+
+_NORM = r"trim(regexp_replace(lower(regexp_replace(trim({x}), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+', ' ', 'g'))"
+_RESOLVE = rf"""
+WITH l AS (SELECT p_partkey, p_brand AS name, p_type AS description, CASE WHEN p_size % 3 = 0 THEN '' ELSE '1.' || CAST(p_size % 4 AS VARCHAR) END AS version FROM part),
+w AS (SELECT *, {_NORM.format(x="name")} AS own, list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda x: x <> '') AS nw, list_filter(string_split_regex(lower(description), '[^a-z0-9]+'), lambda x: x <> '') AS dw,
+  {_NORM.format(x=f"'{NAME}'")} AS want, list_filter(string_split_regex(lower('{ASKED}'), '[^a-z0-9]+'), lambda x: x <> '') AS asked FROM l),
+o AS (SELECT *, list_sum(list_transform(asked, lambda x: CASE WHEN list_contains(nw, x) THEN 10 WHEN list_contains(dw, x) THEN 3 ELSE 0 END)) AS points, len(list_filter(asked, lambda x: list_contains(dw, x))) AS described FROM w)
+SELECT p_partkey, CAST(score AS INT) AS score FROM (SELECT p_partkey, CASE WHEN own = want THEN 1000 + CASE WHEN version = '' THEN 20 ELSE 0 END + CASE WHEN version = '1.2' THEN 200 ELSE 0 END + points
+  WHEN starts_with(own, want) OR starts_with(want, own) THEN 600 + points WHEN contains(own, want) OR contains(want, own) THEN 400 + points WHEN described > 0 THEN 100 + described END AS score FROM o) WHERE score IS NOT NULL
+"""
+
+
+@query(_RESOLVE)
+def resolve_score(spark: SparkSession, d: str) -> DataFrame:
+    version = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lit("1."), (F.col("p_size") % 4).cast("string")))
+    score = resolve.library_score(F.col("p_brand"), F.col("p_type"), version, F.lit(NAME), F.lit(ASKED))
+    return table(spark, d, "part").select("p_partkey", score.alias("score")).where("score is not null")
+
+
+@query(
+    "SELECT n_nationkey AS library_id, array_to_string(list_sort(list(o ORDER BY o), 'DESC'), ',') AS others FROM (SELECT a.n_nationkey, b.n_nationkey AS o FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey) GROUP BY n_nationkey"
+)
+def version_siblings(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("library_id"), F.col("n_regionkey").alias("name"))
+    return resolve.siblings(rows).select("library_id", F.array_join(F.col("others").cast("array<string>"), ",").alias("others"))
+
+
+@query(
+    f"WITH {_Q}, r AS (SELECT vec_id, label, row_number() OVER (ORDER BY 1 - list_cosine_similarity(e.embedding::double[], q.v), vec_id) AS rank FROM embeddings e, q), f AS (SELECT label, min(rank) AS rank FROM r GROUP BY label) "
+    "SELECT count(*) AS queries, round(avg((rank <= 1)::int), 9) AS top1, round(avg((rank <= 3)::int), 9) AS top3, round(avg((rank <= 5)::int), 9) AS top5, round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr, round(avg((rank <= 5)::int), 9) AS recall5 FROM f"
+)
+def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
+    # How high each label's best vector stands for one query: ranks by counting what is nearer.
+    rows = table(spark, d, "embeddings")
+    scored = rows.select("vec_id", "label", C.cosine_distance_to("embedding", _vector(spark, d)).alias("score"))
+    best = scored.groupBy("label").agg(F.min(F.struct("score", "vec_id")).alias("b"))
+    # One row a label: a bounded broadcast.
+    nearer = scored.drop("label").join(F.broadcast(best), F.struct("score", "vec_id") <= F.col("b")).groupBy("label").agg(F.count("*").alias("rank"))
+    metrics = diff.retrieval_metrics(nearer)
+    return metrics.select("queries", *[F.round(c, 9).alias(c) for c in ("top1", "top3", "top5", "mrr", "recall5")])
+
+
+# ---------------------------------------------------------------- pages
+
+
+@query(r"SELECT page_id, len(regexp_extract_all(html, '<a href=')) AS links FROM pages")
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    found = extract_links(pages).groupBy("url").agg(F.count("*").alias("links"))
+    return pages.select("page_id", "url").join(found, "url", "left").select("page_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+@query()
+def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return parse_pages(table(spark, d, "pages"))
+
+
+@query()
+def section_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk(parse_pages(table(spark, d, "pages")), "0123456789abcdef", "/local/pages")
+
+
+@query()
+def fake_embedding(spark: SparkSession, d: str) -> DataFrame:
+    return embed.embed(table(spark, d, "documents").select("doc_id", "text"), "text", embed.Fake()).select("doc_id", "embedding")
+
+
+@query()
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(
+        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("chunk_id"), F.lit("s").alias("source_id"), F.lit("/local/docs").alias("library_id"), F.lit("").alias("version"), F.col("source").alias("document_id"),
+        F.col("source").alias("url"), F.lit("").alias("title"), F.col("lang").alias("heading_path"), F.col("doc_id").cast("int").alias("chunk_index"), F.col("text").alias("content"),
+    )
+    provider = embed.Fake()
+    return retrieval.search(embed.embed(docs, "content", provider), "theHeati query-docs " + QUERY, provider.embed([QUERY])[0], "/local/docs")
+
+
+_SITEMAP = """<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://a.test/docs/one</loc><lastmod>2024-01-02</lastmod></url><url><loc> https://a.test/docs/two?x=1&amp;y=2 </loc></url><url><lastmod>2024</lastmod></url></urlset>"""
+
+
+@query("SELECT * FROM (VALUES ('https://a.test/docs/one', '2024-01-02'), ('https://a.test/docs/two?x=1&y=2', '')) AS t(loc, lastmod)")
+def sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(_SITEMAP,), ("<urlset><url><loc>https://a.test/broken</url></urlset>",)], "body string")
+    return rows.where(web.looks_like_sitemap("body")).select(F.explode(web.sitemap_entries("body")).alias("e")).select("e.*")
+
 
-def queries():
-    return {}
+_ROBOTS = "User-agent: *\nDisallow: /en/\nAllow: /en/1\nDisallow: /*.html$\n\nUser-agent: other\nDisallow: /\n"
 
 
-def oracle_sql():
-    return {}
+@query(
+    r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(path, '^/.*\.html$') AND NOT starts_with(path, '/en/') THEN false WHEN regexp_matches(path, '^/.*\.html$') THEN false WHEN starts_with(path, '/en/1') THEN true WHEN starts_with(path, '/en/') THEN false ELSE true END AS allowed FROM p"""
+)
+def robots_allowed(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", web.robots_allowed(U.path_of("url"), web.parse_robots(_ROBOTS)).alias("allowed"))
