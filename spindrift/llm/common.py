@@ -16,11 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 # An Arrow batch ends at whichever comes first, so one batch of very long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -33,6 +36,7 @@ def bound_batches(spark: SparkSession) -> None:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     bound_batches(df.sparkSession)
+    ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
