@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import spread
 
 BATCH = 32
 FAKE_WIDTH = 256
@@ -163,7 +164,7 @@ def embed(rows: DataFrame, text: Column | str, provider: Provider, column: str =
                 out += check(provider.embed(part), len(part), provider.dims)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.list_(pa.float32()))], [*b.schema.names[:-1], column])
 
-    return rows.withColumn("__text", C.text(text)).mapInArrow(run, schema)
+    return spread(rows.withColumn("__text", C.text(text))).mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- identity of an index

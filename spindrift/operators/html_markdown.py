@@ -11,7 +11,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from html import escape
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
@@ -20,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import spread
 from ..functions.urls import is_document_type
 
 # Elements that are page chrome, and link labels that only mark an anchor.
@@ -361,7 +361,7 @@ def parse_pages(pages: DataFrame, url: str = "url", html: str = "html", content_
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["url", "canonical_url", "title", "markdown"])
 
-    parsed = pages.select(named.alias("url"), F.col(html).alias("html")).mapInArrow(run, "url string, canonical_url string, title string, markdown string")
+    parsed = spread(pages.select(named.alias("url"), F.col(html).alias("html"))).mapInArrow(run, "url string, canonical_url string, title string, markdown string")
     return parsed.select(C.short_sha("url").alias("document_id"), "url", "canonical_url", "title", "markdown", C.document_hash("markdown").alias("content_hash"))
 
 
@@ -373,8 +373,7 @@ def extract_links(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
             found = [links_of(h, u or "") for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], ["url", "links"])
 
-    rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, "url string, links array<string>")
+    rows = spread(pages.select(F.col(url).alias("url"), F.col(html).alias("html"))).mapInArrow(run, "url string, links array<string>")
     return rows.select("url", F.posexplode("links").alias("position", "link"))
 
 
-__all__ = ["escape", "extract_links", "links_of", "parse_pages", "to_markdown"]

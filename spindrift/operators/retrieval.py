@@ -8,7 +8,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
+
+import re
+import sys
+import unicodedata
 
 import pyarrow as pa
 import regex
@@ -16,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import spread
 
 DENSE_K, LEXICAL_K, FINAL = 20, 20, 6
 RUN_CAP = 2
@@ -24,16 +29,32 @@ UNROLL = 160  # widest vector whose products are unrolled into the generated cod
 _IDENTIFIER = regex.compile(r"[\p{L}\p{Nd}._/-]+")
 _INNER = regex.compile(r"[._/-]+")
 _CAMEL = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})")
+_WORDS = re.compile(r"[\w./-]+")
+
+
+@lru_cache(1)
+def _odd() -> re.Pattern:
+    """Characters that the fast pattern takes for letters or digits and the exact one does not, or the reverse."""
+    odd = [chr(i) for i in range(128, sys.maxunicode + 1) if chr(i).isalnum() != (unicodedata.category(chr(i)) in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nd"))]
+    return re.compile("[" + "".join(map(re.escape, odd)) + "]")
+
+
+def identifiers(text: str) -> list[str]:
+    """Runs of letters, digits and inner marks; by the fast pattern where both agree."""
+    return _WORDS.findall(text) if text.isascii() or not _odd().search(text) else _IDENTIFIER.findall(text)
 
 
 def terms_of(text: str) -> Counter:
     """Lower-case identifiers, their parts and their camel-case pieces; each once per occurrence."""
     counts: Counter = Counter()
     known: dict[str, tuple[str, ...]] = {}
-    for found, times in Counter(_IDENTIFIER.findall(text or "")).items():
+    for found, times in Counter(identifiers(text or "")).items():
         whole = found.strip("._-")
         if not whole:
             continue
+        if whole.isalpha() and (whole.islower() or whole[1:].islower()):
+            counts[whole.lower()] += times  # a plain word has no parts
+            continue
         terms = known.get(whole)
         if terms is None:
             parts = [p for p in _INNER.split(whole) if p]
@@ -124,7 +145,7 @@ def postings(docs: DataFrame, key: str, text: Column | str) -> DataFrame:
                 tfs += counts.values()
             yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(terms, pa.string()), pa.array(tfs, pa.int64())], [key, "term", "tf"])
 
-    return docs.select(key, C.col(text).alias("__text")).mapInArrow(run, f"{key} {kind}, term string, tf long")
+    return spread(docs.select(key, C.col(text).alias("__text"))).mapInArrow(run, f"{key} {kind}, term string, tf long")
 
 
 def term_counts(docs: DataFrame, key: str, text: Column | str, terms: list[str]) -> DataFrame:
@@ -140,7 +161,7 @@ def term_counts(docs: DataFrame, key: str, text: Column | str, terms: list[str])
                 tfs.append([counts.get(x, 0) for x in terms])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths, pa.int64()), pa.array(tfs, pa.list_(pa.int64()))], [key, "length", "tf"])
 
-    return docs.select(key, C.col(text).alias("__text")).mapInArrow(run, f"{key} {kind}, length long, tf array<long>")
+    return spread(docs.select(key, C.col(text).alias("__text"))).mapInArrow(run, f"{key} {kind}, length long, tf array<long>")
 
 
 def bm25_topk(docs: DataFrame, query: str, key: str = "chunk_id", text: Column | str | None = None, k: int | None = LEXICAL_K) -> DataFrame:
