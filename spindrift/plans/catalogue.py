@@ -361,6 +361,101 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.search(embed.embed(docs, "content", provider), "theHeati query-docs " + QUERY, provider.embed([QUERY])[0], "/local/docs")
 
 
+@query()
+def crawl_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The pages table as a web of its own: every page is a seed, links lead on from there."""
+    pages = table(spark, d, "pages")
+    own = pages.select("html", F.regexp_replace(U.normalized("url"), "^https?://[^/]+", "https://site.test/all").alias("url"))
+    return web.crawl(spark, own, "https://site.test/all", robots=web.parse_robots(_ROBOTS), sitemap=own.select("url")).select("url", "depth")
+
+
+_LINK = r"unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))"
+
+
+@query(f"WITH l AS (SELECT DISTINCT {_LINK} AS path FROM pages) SELECT path FROM l WHERE path NOT IN (SELECT '/' || r_name FROM region UNION SELECT '/The' UNION SELECT '/and')")
+def unseen_links(spark: SparkSession, d: str) -> DataFrame:
+    links = extract_links(table(spark, d, "pages")).select(U.path_of("link").alias("path"))
+    # Escapes are undone to show the path as the page writes it.
+    links = links.select(F.url_decode(F.regexp_replace("path", r"\+", "%2B")).alias("path")).distinct()
+    seen = table(spark, d, "region").select(F.concat(F.lit("/"), "r_name").alias("path")).union(spark.createDataFrame([("/The",), ("/and",)], "path string")).dropDuplicates(["path"])
+    return links.join(seen, "path", "left_anti")
+
+
+@query(
+    "SELECT page_id, (CASE WHEN page_id % 4 = 0 THEN 'text/html; charset=utf-8' WHEN page_id % 4 = 1 THEN '' WHEN page_id % 4 = 2 THEN 'Application/XHTML+xml' ELSE 'application/pdf' END) AS content_type, page_id % 4 <> 3 AS document, "
+    "(page_id % 3 <> 0 AND page_id % 5 <> 0) AS same_site FROM pages"
+)
+def page_predicates(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("page_id") % 4
+    kind = F.when(k == 0, "text/html; charset=utf-8").when(k == 1, "").when(k == 2, "Application/XHTML+xml").otherwise("application/pdf")
+    moved = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", "^(https?)://", "$1://www.")).when(F.col("page_id") % 5 == 0, F.concat(F.lit("x"), "url")).otherwise(F.upper(F.regexp_extract("url", "^(https?://[^/]*)", 1)))
+    rows = table(spark, d, "pages").select("page_id", "url", kind.alias("content_type"), moved.alias("final"))
+    return rows.select("page_id", "content_type", U.is_document_type("content_type").alias("document"), U.same_site("url", "final").alias("same_site"))
+
+
+@query("SELECT page_id, (page_id % 2 = 0 AND page_id % 3 <> 0) AS not_modified FROM pages")
+def conditional_fetch(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.lit("changed")).otherwise(F.sha2("html", 256)).alias("etag"))
+    stored = table(spark, d, "pages").where("page_id % 2 = 0").select("page_id", F.sha2("html", 256).alias("known"))
+    return pages.join(stored, "page_id", "left").select("page_id", F.coalesce(F.col("etag") == F.col("known"), F.lit(False)).alias("not_modified"))
+
+
+@query(
+    "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE 'https://c.test/' || page_id END AS citation, CASE WHEN page_id % 3 = 0 THEN 'Guide > ' || page_id WHEN page_id % 3 = 1 THEN 'Title' ELSE url END AS label FROM pages"
+)
+def citations(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("page_id")
+    canonical = F.when(i % 2 == 0, F.when(i % 4 == 0, F.lit(" "))).otherwise(F.concat(F.lit("https://c.test/"), i.cast("string")))
+    heading, title = F.when(i % 3 == 0, F.concat(F.lit("Guide > "), i.cast("string"))).otherwise(""), F.when(i % 3 == 1, F.lit("Title"))
+    return table(spark, d, "pages").select("page_id", C.citation_url(canonical, "url").alias("citation"), C.heading_label(heading, title, "url").alias("label"))
+
+
+@query(
+    rf"""SELECT p_partkey, {{norm}} AS name, array_to_string(list_filter(string_split_regex(lower(p_type), '[^a-z0-9]+'), lambda x: x <> ''), ' ') AS words,
+  regexp_extract('see v' || CAST(p_size AS VARCHAR) || '.' || CAST(p_partkey % 7 AS VARCHAR) || ' now', '\bv?(\d+\.\d+(?:\.\d+)?)\b', 1) AS version FROM part""".replace("{norm}", r"trim(regexp_replace(lower(regexp_replace(trim(p_name), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+', ' ', 'g'))")
+)
+def name_functions(spark: SparkSession, d: str) -> DataFrame:
+    mention = F.concat(F.lit("see v"), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 7).cast("string"), F.lit(" now"))
+    return table(spark, d, "part").select("p_partkey", C.normal_name("p_name").alias("name"), F.array_join(C.words("p_type"), " ").alias("words"), C.version_mention(mention).alias("version"))
+
+
+@query("SELECT doc_id, substring(replace(text, 'the', '[redacted]'), 1, 300) AS message FROM documents")
+def redacted_messages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", C.redact("text", "the").alias("message"))
+
+
+@query("SELECT doc_id AS chunk_id, source AS library_id FROM documents WHERE source = 'src3' ORDER BY doc_id")
+def chunk_scan(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("library_id"))
+    return retrieval.scoped(chunks, library_id="src3").orderBy("chunk_id")
+
+
+@query("SELECT doc_id AS chunk_id, n_chars FROM documents WHERE doc_id = 42")
+def chunk_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where(F.col("doc_id") == 42).select(F.col("doc_id").alias("chunk_id"), "n_chars")
+
+
+@query(
+    "WITH new AS (SELECT doc_id, 'new' AS v FROM documents WHERE doc_id % 3 = 0), old AS (SELECT doc_id, 'old' AS v FROM documents WHERE doc_id % 2 = 0) "
+    "SELECT doc_id, v FROM new UNION ALL SELECT doc_id, v FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new)"
+)
+def chunk_upsert(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id")
+    new, old = docs.where("doc_id % 3 = 0").withColumn("v", F.lit("new")), docs.where("doc_id % 2 = 0").withColumn("v", F.lit("old"))
+    return old.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
+
+
+@query(
+    "WITH h AS (SELECT conv_id AS query_id, role AS topic, turn + 1 AS rank FROM conversations), w AS (SELECT DISTINCT conv_id AS query_id, r AS topic FROM conversations, (VALUES ('user'), ('assistant'), ('system'), ('tool')) AS t(r)) "
+    "SELECT w.query_id, w.topic, min(h.rank) AS rank FROM w LEFT JOIN h ON w.query_id = h.query_id AND w.topic = h.topic AND h.rank <= 20 GROUP BY ALL"
+)
+def topic_recall(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations")
+    hits = turns.select(F.col("conv_id").alias("query_id"), F.col("role").alias("topic"), (F.col("turn") + 1).alias("rank"))
+    wanted = turns.select(F.col("conv_id").alias("query_id")).distinct().withColumn("topic", F.explode(F.array(*map(F.lit, ("user", "assistant", "system", "tool")))))
+    return diff.topic_recall(hits, wanted)
+
+
 _SITEMAP = """<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://a.test/docs/one</loc><lastmod>2024-01-02</lastmod></url><url><loc> https://a.test/docs/two?x=1&amp;y=2 </loc></url><url><lastmod>2024</lastmod></url></urlset>"""
 
 

@@ -212,13 +212,14 @@ class _PageReader(DataSourceReader):
 
 def crawl(
     spark: SparkSession, pages: DataFrame, start: str, includes: list[str] = (), excludes: list[str] = (), robots: Robots | None = None,
-    sitemap: list[str] = (), max_pages: int = MAX_PAGES, max_depth: int = MAX_DEPTH,
+    sitemap: list[str] | DataFrame = (), max_pages: int = MAX_PAGES, max_depth: int = MAX_DEPTH,
 ) -> DataFrame:
     """Pages (url, html) that a crawl reaches from ``start``, with the depth of each, by URL.
 
     ``pages`` is what can be fetched: one row a URL. A level is one join of the frontier with the
     pages, its links, the scope filter and an anti join with what was seen. The start is in scope
-    whatever the rules say, but not beyond robots; sitemap URLs keep to both. If there are more than
+    whatever the rules say, but not beyond robots; sitemap URLs (a list, or a table's first column) keep
+    to both. If there are more than
     ``max_pages``, the first by depth and URL stay.
     """
     robots = robots or Robots()
@@ -230,7 +231,11 @@ def crawl(
     first = U.normalize(start)
     scope = U.in_scope("link", U.base_url(start) if urlsplit(start).path.strip("/") else first, list(includes), list(excludes))
     allowed = robots_allowed(U.path_of("link"), robots)
-    seeds = spark.createDataFrame([(first, True)] + [(U.normalize(u), False) for u in sitemap], "link string, forced boolean")
+    if isinstance(sitemap, DataFrame):
+        named = sitemap.select(U.normalized(sitemap.columns[0]).alias("link"), F.lit(False).alias("forced")).where("link is not null")
+    else:
+        named = spark.createDataFrame([(U.normalize(u), False) for u in sitemap], "link string, forced boolean")
+    seeds = spark.createDataFrame([(first, True)], "link string, forced boolean").unionByName(named)
     frontier = seeds.where(allowed & (F.col("forced") | scope)).select("link").distinct()
     seen, found, count = settle(frontier), None, 0
     frontier = seen
