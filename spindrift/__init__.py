@@ -1,0 +1,3 @@
+"""Documentation ingest and hybrid retrieval on Spark."""
+
+__version__ = "0.1.0"

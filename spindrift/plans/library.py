@@ -17,7 +17,7 @@ from ..operators.resolve import LibraryNotFound, resolve, siblings
 from ..operators.retrieval import FINAL, search
 from ..session import settle
 from ..sources.store import ChunkStore, Registry, Source, new_library_id, parse_library_id
-from ..sources.web import Robots, crawl
+from ..sources.web import Fetcher, Robots, crawl, discover
 
 NO_MATCH = "No indexed libraries match that name."
 NO_RESULT = "No documentation matches that query."
@@ -47,19 +47,24 @@ class Library:
         if recorded and not embed.compatible(recorded, self.provider):
             raise IdentityMismatch(f"index has {recorded}, provider is {embed.identity(self.provider)}")
 
-    def sync(self, library_id: str, pages: DataFrame, robots: Robots | None = None, sitemap: list[str] = ()) -> dict:
+    def sync(self, library_id: str, pages: DataFrame | Fetcher, robots: Robots | None = None, sitemap: list[str] = ()) -> dict:
         """Bring a library's chunks up to date with the pages; only what changed is embedded.
 
         Everything up to the commit is one plan; a failure before it leaves the old table.
         """
         self._guard()
         source = self.registry.get(library_id)
-        fetched = settle(crawl(self.spark, pages, source.base_url, source.includes, source.excludes, robots, list(sitemap), **self.limits))
+        fetched = settle(self._crawl(source, pages, robots, list(sitemap)))
         n = fetched.count()
         report = self._ingest(source, fetched, n)
         self.registry.update(replace(source, synced_at=datetime.now(UTC).isoformat()))
         return report
 
+    def _crawl(self, source: Source, pages: DataFrame | Fetcher, robots: Robots | None = None, sitemap: list[str] = ()) -> DataFrame:
+        if robots is None and not isinstance(pages, DataFrame):
+            robots, sitemap = discover(source.base_url)
+        return crawl(self.spark, pages, source.base_url, source.includes, source.excludes, robots, list(sitemap), **self.limits)
+
     def _ingest(self, source: Source, fetched: DataFrame, n: int) -> dict:
         documents = parse_pages(fetched)
         new = settle(diff.one_of_each(chunk(documents, source.id, source.library_id, source.version)))
@@ -83,7 +88,7 @@ class Library:
     def _width(self) -> int:
         return (embed.parse_identity(self.store.identity, self.provider) or 0) if self.store.identity else self.provider.dims
 
-    def add(self, name: str, url: str, pages: DataFrame, version: str = "", description: str = "", includes: list[str] = (), excludes: list[str] = ()) -> dict:
+    def add(self, name: str, url: str, pages: DataFrame | Fetcher, version: str = "", description: str = "", includes: list[str] = (), excludes: list[str] = ()) -> dict:
         """Register and sync; a crawl that finds no page is an error and leaves no trace."""
         source = Source(new_library_id(name, version), name, base_url(url), version, description, list(includes), list(excludes))
         self.registry.add(source)
@@ -101,7 +106,7 @@ class Library:
         self.store.delete_source(source.id)
         self.registry.delete(library_id)
 
-    def reindex(self, library_id: str, pages: DataFrame) -> dict:
+    def reindex(self, library_id: str, pages: DataFrame | Fetcher) -> dict:
         """Build a library's chunks anew, with another kind of vector only if no other library has any.
 
         The swap is the last step: if anything fails, the old chunks are still there.
@@ -113,7 +118,7 @@ class Library:
         else:
             self._guard()
             width = self._width()
-        fetched = settle(crawl(self.spark, pages, source.base_url, source.includes, source.excludes, **self.limits))
+        fetched = settle(self._crawl(source, pages))
         new = diff.one_of_each(chunk(parse_pages(fetched), source.id, source.library_id, source.version))
         vectors = settle(embed.embed(new, C.embedding_text("title", "heading_path", "content"), self.provider))
         if not vectors.where(~C.is_valid_vector("embedding", width or self.provider.dims or None)).isEmpty():

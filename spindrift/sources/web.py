@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import gzip
 import re
+import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -175,6 +178,42 @@ def fetch(url: str, etag: str = "", modified: str = "", agent: str = AGENT, time
         return {"url": answer.geturl(), "status": answer.status, "content_type": kind, "html": text, "etag": answer.headers.get("ETag", ""), "last_modified": answer.headers.get("Last-Modified", ""), "not_modified": False}
 
 
+def discover(base: str, agent: str = AGENT, opener: Callable | None = None) -> tuple[Robots, list[str]]:
+    """(robots rules, sitemap URLs) of a site; what cannot be had or read counts as not there.
+
+    An index is followed one level down, on the driver: a site has few sitemap files.
+    """
+
+    def get(url: str) -> str:
+        try:
+            return fetch(url, agent=agent, opener=opener)["html"]
+        except (OSError, ValueError):
+            return ""
+
+    p = urlsplit(base)
+    text = get(f"{p.scheme}://{p.netloc}/robots.txt")
+    found: list[str] = []
+    for candidate in sitemap_candidates(base, text):
+        body = get(candidate)
+        if not re.search("<(urlset|sitemapindex)", body[:200].lower()):
+            continue
+        try:
+            index = "<sitemapindex" in body[:200].lower()
+            bodies = [get(loc) for loc, _ in parse_sitemap(body, "sitemapindex")] if index else [body]
+            for b in bodies:
+                found += [loc for loc, _ in parse_sitemap(b)] if b else []
+        except (ValueError, ElementTree.ParseError):
+            continue
+        break
+    usable = []
+    for u in dict.fromkeys(found):
+        try:
+            usable.append(U.normalize(u))
+        except U.UnsupportedUrl:
+            continue
+    return parse_robots(text, agent), usable
+
+
 class WebPages(DataSource):
     """``spark.read.format("web_pages").option("urls", "a b c").load()``: pages read by the executors."""
 
@@ -209,25 +248,56 @@ class _PageReader(DataSourceReader):
 
 # ---------------------------------------------------------------- crawl
 
+Fetcher = Callable[[DataFrame], DataFrame]  # (link) to (link, url, html)
+
+
+def from_table(pages: DataFrame) -> Fetcher:
+    """Pages that are there already: one row a URL, the first of each normal form."""
+    kind = [c for c in pages.columns if c == "content_type"]
+    rows = pages.select(U.normalized("url").alias("link"), "url", "html", *kind).where("link is not null")
+    if kind:
+        rows = rows.where(U.is_document_type("content_type"))
+    first = rows.groupBy("link").agg(F.min_by(F.struct("url", "html"), "url").alias("p")).select("link", "p.url", "p.html")
+    return lambda frontier: first.join(frontier, "link", "left_semi")
+
+
+def from_web(agent: str = AGENT, concurrency: int = CONCURRENCY, timeout: float = TIMEOUT, most: int = BODY_BYTES, rate: float = 0.0, opener: Callable | None = None) -> Fetcher:
+    """Pages over HTTP, by as many tasks as may run at once; a lost page does not end the crawl.
+
+    ``rate`` is how many requests a second all tasks make together; 0 sets no limit.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = []
+            for link in b.column("link").to_pylist():
+                if rate:
+                    time.sleep(concurrency / rate)
+                try:
+                    page = fetch(link, agent=agent, timeout=timeout, most=most, opener=opener)
+                except (OSError, ValueError):
+                    continue
+                if page["content_type"].split(";")[0].strip().lower() in ("", "text/html", "application/xhtml+xml"):
+                    got.append((link, U.normalize(page["url"]), page["html"]))
+            columns = list(zip(*got, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["link", "url", "html"])
+
+    return lambda frontier: frontier.repartition(concurrency).mapInArrow(run, "link string, url string, html string")
+
 
 def crawl(
-    spark: SparkSession, pages: DataFrame, start: str, includes: list[str] = (), excludes: list[str] = (), robots: Robots | None = None,
+    spark: SparkSession, pages: DataFrame | Fetcher, start: str, includes: list[str] = (), excludes: list[str] = (), robots: Robots | None = None,
     sitemap: list[str] | DataFrame = (), max_pages: int = MAX_PAGES, max_depth: int = MAX_DEPTH,
 ) -> DataFrame:
     """Pages (url, html) that a crawl reaches from ``start``, with the depth of each, by URL.
 
-    ``pages`` is what can be fetched: one row a URL. A level is one join of the frontier with the
-    pages, its links, the scope filter and an anti join with what was seen. The start is in scope
-    whatever the rules say, but not beyond robots; sitemap URLs (a list, or a table's first column) keep
-    to both. If there are more than
-    ``max_pages``, the first by depth and URL stay.
+    ``pages`` is a table of what can be fetched or a fetcher. A level is one fetch of the frontier, its
+    links, the scope filter and an anti join with what was seen. The start is in scope whatever the
+    rules say, but not beyond robots; sitemap URLs (a list, or a table's first column) keep to both. If
+    there are more than ``max_pages``, the first by depth and URL stay.
     """
     robots = robots or Robots()
-    kind = [c for c in pages.columns if c == "content_type"]
-    fetched = pages.select(U.normalized("url").alias("link"), "url", "html", *kind).where("link is not null")
-    if kind:
-        fetched = fetched.where(U.is_document_type("content_type"))
-    fetched = fetched.groupBy("link").agg(F.min_by(F.struct("url", "html"), "url").alias("p")).select("link", "p.url", "p.html")
+    get = from_table(pages) if isinstance(pages, DataFrame) else pages
     first = U.normalize(start)
     scope = U.in_scope("link", U.base_url(start) if urlsplit(start).path.strip("/") else first, list(includes), list(excludes))
     allowed = robots_allowed(U.path_of("link"), robots)
@@ -236,11 +306,10 @@ def crawl(
     else:
         named = spark.createDataFrame([(U.normalize(u), False) for u in sitemap], "link string, forced boolean")
     seeds = spark.createDataFrame([(first, True)], "link string, forced boolean").unionByName(named)
-    frontier = seeds.where(allowed & (F.col("forced") | scope)).select("link").distinct()
-    seen, found, count = settle(frontier), None, 0
+    seen, found, count = settle(seeds.where(allowed & (F.col("forced") | scope)).select("link").distinct()), None, 0
     frontier = seen
     for depth in range(max_depth + 1):
-        level = settle(fetched.join(frontier, "link", "left_semi").withColumn("depth", F.lit(depth)))
+        level = settle(get(frontier).select("url", "html").withColumn("depth", F.lit(depth)))
         n = level.count()
         found = level if found is None else found.unionByName(level)
         count += n

@@ -153,3 +153,75 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert store.read().count() == 4
+
+
+def test_command_line(spark, tmp_path):
+    import io
+    import json
+
+    from spindrift.__main__ import main
+
+    site(spark, SITE).write.parquet(str(tmp_path / "pages"))
+
+    def run(*args, lines=None):
+        out = io.StringIO()
+        code = main(["--data", str(tmp_path / "data"), *args], spark, out, lines)
+        return code, out.getvalue()
+
+    assert run("version")[1] == "0.1.0\n"
+    code, text = run("add", "https://s.test/docs", "--name", "Acme", "--pages", str(tmp_path / "pages"))
+    assert (code, json.loads(text)["added"]) == (0, 4)
+    assert "/local/acme\tAcme\t4 chunks\t3 pages" in run("list")[1]
+    assert "Source: https://s.test/docs/auth" in run("search", "acme", "oauth.clientName")[1]
+    calls = [json.dumps({"tool": "query-docs", "arguments": {"libraryId": "/local/acme", "query": "Keys"}}), json.dumps({"tool": "none"})]
+    answers = [json.loads(x) for x in run("serve", lines=calls)[1].splitlines()]
+    assert not answers[0]["error"] and answers[1]["error"]
+    assert run("info", "acme")[0] == 0 and run("remove", "acme")[0] == 0 and run("info", "acme")[0] == 1
+
+
+def test_crawl_over_http(spark):
+    import functools
+    import http.server
+    import threading
+
+    from spindrift.sources import web
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path == "/docs/away":
+                self.send_response(302)
+                self.send_header("Location", "http://localhost.test/x")
+                self.end_headers()
+                return
+            maps = {"/robots.txt": f"User-agent: *\nDisallow: /docs/tools\nSitemap: {base}/index.xml", "/index.xml": f"<sitemapindex><sitemap><loc>{base}/s.xml</loc></sitemap></sitemapindex>", "/s.xml": f"<urlset><url><loc>{base}/docs/only</loc></url></urlset>"}
+            body = (SITE | maps | {"/docs/only": "<p>only in the map</p>"}).get(self.path)
+            self.send_response(200 if body else 404)
+            self.send_header("Content-Type", "text/html; charset=utf-8")
+            self.end_headers()
+            self.wfile.write(((body or "") + ('<a href="/docs/away">x</a>' if self.path in SITE else "")).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        got = web.crawl(spark, web.from_web(concurrency=2), f"{base}/docs").collect()
+        assert [r.url.removeprefix(base) for r in got] == ["/docs", "/docs/auth", "/docs/tools"]
+        robots, urls = web.discover(f"{base}/docs")
+        assert urls == [f"{base}/docs/only"] and not robots.allows("/docs/tools")
+        got = web.crawl(spark, web.from_web(concurrency=2), f"{base}/docs", robots=robots, sitemap=urls).collect()
+        assert [r.url.removeprefix(base) for r in got] == ["/docs", "/docs/auth", "/docs/only"]
+        with pytest.raises(web.FetchError, match="redirect"):
+            web.fetch(f"{base}/docs/away")
+        with pytest.raises(web.FetchError, match="more than 5"):
+            web.fetch(f"{base}/docs", most=5)
+        with pytest.raises(web.FetchError, match="404"):
+            web.fetch(f"{base}/none")
+        spark.dataSource.register(web.WebPages)
+        rows = spark.read.format("web_pages").option("urls", f"{base}/docs {base}/docs/auth {base}/none").load().collect()
+        assert sorted(r.url.removeprefix(base) for r in rows) == ["/docs", "/docs/auth"]
+        assert functools.reduce(lambda a, r: a and r.status == 200, rows, True)
+    finally:
+        server.shutdown()
