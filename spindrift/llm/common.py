@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import forget, settle, ship, table
 
-__all__ = ["Rolling", "batch", "components", "forget", "map_arrow", "mix", "settle", "ship", "table", "texts"]
+__all__ = ["Rolling", "batch", "components", "forget", "key_filter", "map_arrow", "may_be_in", "mix", "settle", "ship", "table", "texts"]
 
 # An Arrow batch ends at whichever comes first, so one batch of very long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
@@ -35,6 +35,30 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+# ---------------------------------------------------------------- membership by a filter of fixed size
+
+FILTER_BITS = 26  # 8 MB, whatever the data's size
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """Bits of a Bloom filter over the long column ``g``; a fuller filter lets more pass, never less."""
+    low = F.lit((1 << FILTER_BITS) - 1).cast("long")
+    place = F.explode(F.array(F.col("g").bitwiseAND(low), F.shiftrightunsigned("g", FILTER_BITS).bitwiseAND(low))).alias("p")
+    bits = keys.select(place).select(F.shiftright("p", 6).alias("i"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
+    words = bits.groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[words.column("i").to_numpy()] = words.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
+def may_be_in(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Which of the longs may be among the filter's keys; none of its keys is left out."""
+    g, low = g.view(np.uint64), np.uint64((1 << FILTER_BITS) - 1)
+    first, second = g & low, (g >> np.uint64(FILTER_BITS)) & low
+    has = lambda p: (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)
+    return (has(first) & has(second)).astype(bool)
+
+
 def texts(column: pa.Array) -> list[str]:
     return [t if t is not None else "" for t in column.to_pylist()]
 

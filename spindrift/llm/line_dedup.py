@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, batch, map_arrow, mix, settle, texts
+from .common import Rolling, batch, key_filter, map_arrow, may_be_in, mix, settle, texts
 
 LINE = 10  # words of a wrapped line
 WINDOW = 41  # line hashes of a window
@@ -129,14 +129,34 @@ def cut(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
     return b"".join(parts).strip().decode("utf-8", "surrogatepass"), len(at), int((hi - lo).sum())
 
 
+def _keys(rows: DataFrame) -> DataFrame:
+    return rows.select(F.xxhash64("__sd_k", "__sd_h").alias("g"))
+
+
+def _only(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` that may be in ``wanted``, told by a filter of fixed size: only their texts are shuffled."""
+    spark = keyed.sparkSession
+    bits = spark.sparkContext.broadcast(key_filter(_keys(wanted)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            mask = may_be_in(bits.value, rows.column("__sd_g").to_numpy())
+            if mask.any():
+                yield rows.filter(pa.array(mask))
+
+    return map_arrow(keyed, run, schema)
+
+
 def repeated_runs(keyed: DataFrame) -> DataFrame:
     """(k, h, runs): the word runs [from, to) to remove from each document that has any.
 
-    ``keyed`` has __sd_k, __sd_h and text, and any other columns.
+    ``keyed`` has __sd_k, __sd_h, their hash __sd_g and text.
     """
     slim = keyed.select(F.col("__sd_k").alias("k"), F.col("__sd_h").alias("h"), "text")
     marks = settle(map_arrow(slim, _select, "fp long, whole long, k long, h long, pos long"))
-    often = marks.where("fp is not null").groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    # Counts are settled before they are joined: a join of two plain exchanges can split a hot hash.
+    often = settle(marks.where("fp is not null").groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
     again = settle(marks.join(often, "fp"))
     place = F.struct("k", "h", "pos")
     spans = settle(again.groupBy("fp", "whole").agg(F.min(place).alias("f"), F.count("*").alias("c")))
@@ -146,11 +166,12 @@ def repeated_runs(keyed: DataFrame) -> DataFrame:
     later = later.select("k", "h", (q - F.shiftright("pos", 6).bitwiseAND(F.lit(63))).alias("s"), (q - F.col("pos").bitwiseAND(F.lit(63)) + SPAN).alias("e"))
     inside = marks.where("fp is null").select("k", "h", F.col("pos").alias("s"), F.col("whole").alias("e"))
     # Where one line stands in different spans, the spans' windows are compared one by one.
-    several = spans.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    asked = spans.join(several, "fp", "left_semi").select("f.k", "f.h", "f.pos").groupBy("k", "h").agg(F.collect_list("pos").alias("__sd_marks"))
-    asked = asked.withColumnsRenamed({"k": "__sd_k", "h": "__sd_h"})
-    windows = settle(map_arrow(keyed.join(asked, ["__sd_k", "__sd_h"]), _extend, "a long, b long, k long, h long, pos long"))
-    least = windows.groupBy("a", "b").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1")
+    several = settle(spans.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
+    asked = spans.join(several, "fp").select("f.k", "f.h", "f.pos").groupBy("k", "h").agg(F.collect_list("pos").alias("__sd_marks"))
+    asked = settle(asked.withColumnsRenamed({"k": "__sd_k", "h": "__sd_h"}))
+    slim = keyed.select("__sd_k", "__sd_h", "__sd_g", "text")
+    windows = settle(map_arrow(_only(slim, asked).join(asked, ["__sd_k", "__sd_h"]), _extend, "a long, b long, k long, h long, pos long"))
+    least = settle(windows.groupBy("a", "b").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1"))
     single = windows.join(least, ["a", "b"]).where(place != F.col("f")).select("k", "h", F.col("pos").alias("s"), (F.col("pos") + SPAN).alias("e"))
     runs = later.unionByName(inside).unionByName(single)
     return runs.groupBy("k", "h").agg(F.collect_list(F.struct("s", "e")).alias("__sd_runs")).withColumnsRenamed({"k": "__sd_k", "h": "__sd_h"})
@@ -164,17 +185,29 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     other; null, empty and short texts stay as they are; no rows, no rows.
     """
     keyed = docs.withColumns({"__sd_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__sd_h": F.xxhash64("text")})
-    joined = keyed.join(repeated_runs(keyed), ["__sd_k", "__sd_h"], "left").drop("__sd_k", "__sd_h")
+    keyed = keyed.withColumn("__sd_g", F.xxhash64("__sd_k", "__sd_h"))
+    runs = settle(repeated_runs(keyed))
+    bits = docs.sparkSession.sparkContext.broadcast(key_filter(_keys(runs)))
     kept = [f for f in docs.schema.fields if f.name != "text"]
 
+    names = [f.name for f in kept] + ["text", "__sd_words", "__sd_gone"]
+
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             done = []
-            for t, runs in zip(rows.column("text").to_pylist(), rows.column("__sd_runs").to_pylist(), strict=True):
-                done.append((t, 0, 0) if t is None else cut(t, [(r["s"], r["e"]) for r in runs or ()]))
+            for t, cuts in zip(rows.column("text").to_pylist(), rows.column("__sd_runs").to_pylist(), strict=True):
+                done.append((t, 0, 0) if t is None else cut(t, [(r["s"], r["e"]) for r in cuts or ()]))
             new, words, gone = (list(x) for x in zip(*done, strict=True)) if done else ([], [], [])
-            arrays = [rows.column(f.name) for f in kept] + [pa.array(new, pa.string()), pa.array(words, pa.int64()), pa.array(gone, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, [f.name for f in kept] + ["text", "__sd_words", "__sd_gone"])
+            yield pa.RecordBatch.from_arrays([rows.column(f.name) for f in kept] + [pa.array(new, pa.string()), pa.array(words, pa.int64()), pa.array(gone, pa.int64())], names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return map_arrow(joined, rewrite, f"{schema}, text string, __sd_words long, __sd_gone long")
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            rows = rows.filter(pa.array(~may_be_in(bits.value, rows.column("__sd_g").to_numpy())))
+            words = [len(t.encode("utf-8", "surrogatepass").split()) for t in texts(rows.column("text"))]
+            yield pa.RecordBatch.from_arrays([rows.column(f.name) for f in kept] + [rows.column("text"), pa.array(words, pa.int64()), pa.array([0] * len(words), pa.int64())], names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", text string, __sd_words long, __sd_gone long"
+    # Documents that keep every word pass as they are; the others meet their runs.
+    untouched = map_arrow(keyed, whole, schema)
+    touched = map_arrow(_only(keyed, runs).join(runs, ["__sd_k", "__sd_h"], "left"), rewrite, schema)
+    return untouched.unionByName(touched)
