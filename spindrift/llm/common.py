@@ -101,7 +101,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 # ---------------------------------------------------------------- word-sequence hashes
 
-_ODD, _SEED2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_ODD, _SEED2, _HALF, _LESS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32), np.uint64(29)
 
 
 class Rolling:
@@ -127,25 +127,28 @@ class Rolling:
         raw = np.frombuffer(joined, np.uint8)
         if len(raw) + 2 > self.size:
             self._grow(2 * len(raw) + 2)
-        with np.errstate(over="ignore"):
-            terms = (raw.astype(np.uint64) + np.uint64(1)) * self.up[: len(raw)]
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+        # Unsigned arrays wrap around, as the modulus wants it.
+        self.sums = np.zeros(len(raw) + 1, np.uint64)
+        terms = raw.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= self.up[: len(raw)]
+        np.cumsum(terms, out=self.sums[1:])
         self.starts = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(raw == 32) + 1, np.full(1, len(raw) + 1, np.int64)])
         return self.starts
 
     def between(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Mixed hashes of the word ranges [first, last)."""
         a, b = self.starts[first], self.starts[last] - 1
-        with np.errstate(over="ignore"):
-            h = (self.sums[b] - self.sums[a]) * self.down[a]
-        return mix(h)
+        return mix((self.sums[b] - self.sums[a]) * self.down[a])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(_ODD)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(_SEED2)
-        return h ^ (h >> np.uint64(32))
+    h = h ^ (h >> _HALF)
+    h *= _ODD
+    h ^= h >> _LESS
+    h *= _SEED2
+    h ^= h >> _HALF
+    return h
 
 
 def batch(schema: pa.Schema, **columns: object) -> pa.RecordBatch:

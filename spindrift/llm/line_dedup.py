@@ -37,6 +37,18 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the first least value of each window is; windows are doubled until they are wide enough."""
+    at, size = np.arange(len(values)), 1
+    while size < width:
+        step = min(size, width - size)
+        n = len(values) - step
+        later = values[step:] < values[:n]
+        values, at = np.where(later, values[step:], values[:n]), np.where(later, at[step:], at[:n])
+        size += step
+    return at
+
+
 def select_lines(rolling: Rolling, words: list[bytes]) -> tuple[np.ndarray, ...]:
     """Selected line starts q, their hashes, and the first and last window that selected each."""
     n = len(words)
@@ -46,8 +58,7 @@ def select_lines(rolling: Rolling, words: list[bytes]) -> tuple[np.ndarray, ...]
     picked = np.empty(n - SPAN + 1, np.int64)
     for lo in range(0, len(picked), 1 << 14):
         hi = min(lo + (1 << 14), len(picked))
-        view = np.lib.stride_tricks.sliding_window_view(lines[lo : hi + WINDOW - 1], WINDOW)
-        picked[lo:hi] = view.argmin(axis=1) + np.arange(lo, hi)
+        picked[lo:hi] = lo + leftmost_least(lines[lo : hi + WINDOW - 1], WINDOW)
     first = np.concatenate([[0], np.flatnonzero(picked[1:] != picked[:-1]) + 1])
     last = np.concatenate([first[1:] - 1, [len(picked) - 1]])
     return picked[first], lines[picked[first]], first, last
