@@ -171,8 +171,6 @@ def _prefilter() -> tuple[object, dict[str, list[Rule]]]:
     return machine, by_word
 
 
-# Any licence text has one of these; a text without them is not searched further.
-_GATE = re.compile(rb"licen|spdx|copyright|public|gpl|bsd|mit|rights|permi|apache|cc0|wtfpl|confidential|redistrib|altered|expat|source code|this file")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -229,8 +227,6 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa
 
 def scan(text: str) -> tuple:
     words = normalise(text)
-    if not _GATE.search(b" ".join(words)):
-        return (len(words), 0, None, None, "", "", 0.0, [])
     base = base_places(words)
     found = detect(words)
     names = sorted({x[1] for x in base})

@@ -538,6 +538,25 @@ def test_licenses(spark, hard, none):
     licenses.scan("mit license " * 20_000)
 
 
+def test_licenses_by_code_or_name_alone():
+    """Every name and code in the strong use is found in a text that holds nothing else."""
+    scan = licenses.scan
+    for text, label in {
+        "available under CC BY 4.0": "cc-by-4.0", "Released under MPL 2.0": "mpl-2.0", "Distributed under EPL 2.0": "epl-2.0", "Released under CC BY-SA 4.0": "cc-by-sa-4.0",
+        "distributed under CDDL": "cddl-1.0", "released under zlib": "zlib", "covered by OFL 1.1": "ofl-1.1", "Creative Commons Attribution 4.0 International": "cc-by-4.0",
+    }.items():
+        assert scan(text)[5] == label and scan(text)[6] >= 0.7 and len(scan(text)[7]) == 1, text
+    rules = [r for r in licenses.rules() if r.score == 0.95]
+    for line in licenses.NAMES.strip().splitlines():
+        label, _, rest = line.split("|", 2)
+        code = re.sub(r"\(\?:[^()]*\)\?|v\?", "", rest.rpartition("|")[2])
+        text = f"lorem ipsum available under {code} dolor"
+        strong = [r for r in rules if r.label == label and r.pattern.search(text)]
+        assert strong and scan(text)[6] == 0.95 and scan(text)[7], text
+        by_all = [r for r in licenses.rules() if r.pattern.search(text)]
+        assert scan(text)[7][0].split(":")[0] in {r.label for r in by_all}
+
+
 # ---------------------------------------------------------------- the pipeline
 
 
