@@ -9,8 +9,11 @@ this graph, both ways along every edge, until they settle; tokens that end with
 lie in no base span become added spans of that kind. Edges join consecutive occurrences only, so a
 token that repeats n times makes at most 2 (n - 1) of them.
 
+The field is run on every text that has a candidate, with or without base spans and edges.
+
 The potentials are trained, by an averaged structured perceptron over texts made from a seed: mentions
-in base form, later mentions in other forms, and numbers that are nothing.
+in base form, later mentions in other forms, and numbers that are nothing; and as many texts without a
+base span, where a cue word tells one mention and edges tell the others, or where nothing is to be found.
 """
 
 from __future__ import annotations
@@ -40,15 +43,17 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
+_MARKS = ".,;:!?\"'()[]<>{}"
+_OCTETS = re.compile(r"([0-9]{1,3})([.-])([0-9]{1,3})\2([0-9]{1,3})\2([0-9]{1,3})")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _CANDIDATE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 _CUES = {"email": ("email", "e-mail", "mail", "mailto", "user", "username", "login"), "ip": ("ip", "host", "server", "address", "addr"), "card": ("card", "visa", "mastercard", "amex", "credit", "payment"), "phone": ("phone", "tel", "telephone", "mobile", "cell", "call", "fax", "whatsapp")}
 _CUE = {w: i + 1 for i, k in enumerate(KINDS) for w in _CUES[k]}
 
-# What the potentials are of. The first five are of a token and a label, the others of an edge between
+# What the potentials are of. The first six are of a token and a label, the others of an edge between
 # two tokens of one entity label; those are never negative.
-FEATURES = ("no entity", "in a base span of the label", "shape suits", "shape does not suit", "cue word before", "same token", "same characters", "neighbours")
-_UNARY = 5
+FEATURES = ("no entity", "in a base span of the label", "shape suits", "shape does not suit", "cue word before", "no base span or cue among the linked", "same token", "same characters", "neighbours")
+_UNARY = 6
 TRAIN_TEXTS, EPOCHS, SEED = 300, 4, 9
 
 
@@ -96,20 +101,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def _shape(word: str) -> tuple[bool, bool, bool, bool]:
     """Which entity labels a token's shape suits."""
+    word = word.strip(_MARKS)
     n = sum("0" <= c <= "9" for c in word)
     plain = len(word) - n
-    dots = word.count(".")
+    m = _OCTETS.fullmatch(word)
+    octets = bool(m) and all(int(x) <= 255 for x in m.group(1, 3, 4, 5))
     return (
-        "@" in word or (n <= 4 and plain >= 4 and word[0].isalpha()),
-        dots == 3 and n >= 4 and plain == 3,
-        n >= 12 and plain <= 4,
-        7 <= n <= 15 and (plain > 0 or n >= 9) and not any(c.isalpha() for c in word) and dots != 3,
+        "@" in word or (n <= 4 and plain >= 4 and word[:1].isalpha()),
+        octets,
+        n >= 12 and plain <= 4 and not octets,
+        7 <= n <= 15 and (plain > 0 or n >= 9) and not any(c.isalpha() for c in word) and not octets,
     )
 
 
 def _key(word: str) -> tuple[str, str]:
     """The token without outer marks, and its significant characters (digits, or letters folded)."""
-    core = word.strip(".,;:!?\"'()[]<>{}")
+    core = word.strip(_MARKS)
     digits = "".join(c for c in core if "0" <= c <= "9")
     return core.lower(), digits if len(digits) >= 7 else ""
 
@@ -204,6 +211,19 @@ def graph(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int,
         if i and at[i][0] - at[i - 1][1] <= 1 and i - 1 not in linked:
             edges.append((i - 1, i))
             kinds.append(2)
+    # Links alone make no entity: one token of those that edges join has to be a base span or follow a cue.
+    root = list(range(n))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        root[top(a)] = top(b)
+    told = {top(i) for i in np.flatnonzero(inside | (f[:, :, 4] > 0).any(axis=1)).tolist()}
+    f[:, 1:, 5] = np.array([top(i) not in told for i in range(n)], bool).reshape(n, 1)
     return at, f, inside, np.array(edges, np.int64).reshape(-1, 2), np.array(kinds, np.int64)
 
 
@@ -213,13 +233,13 @@ _LEAD = re.compile(r"([A-Za-z-]+)[^A-Za-z0-9]*$")
 def added_spans(text: str, base: list[tuple[int, int, int]], weights: np.ndarray) -> list[tuple[int, int, int]]:
     """Spans of tokens that the field labels beside the base spans."""
     at, f, inside, edges, kinds = graph(text, base)
-    if inside.all() or not len(edges):
+    if inside.all():  # or there is no candidate
         return []
     label = infer(f @ weights[:_UNARY], edges, weights[_UNARY:][kinds])
     out = []
     for i in np.flatnonzero((label > 0) & ~inside).tolist():
         a, b = at[i]
-        core = text[a:b].strip(".,;:!?\"'()[]<>{}")
+        core = text[a:b].strip(_MARKS)
         if core:
             lead = text[a:b].index(core)
             out.append((a + lead, a + lead + len(core), int(label[i]) - 1))
@@ -269,13 +289,51 @@ def example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     return text, spans
 
 
+def bare_example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """A made text without a base span, and its true mentions: one after a cue word, others like it."""
+    while True:
+        digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+        word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 9)))
+        parts: list[tuple[str, str, int]] = []  # (lead, text, kind or -1)
+        for _ in range(rng.randint(0, 2)):
+            kind = rng.randrange(4)
+            number = "4" + digits(15)
+            if kind == 0:
+                forms = [f"{word()}{word()}{digits(2)}"]
+            elif kind == 1:
+                forms = ["-".join(str(rng.randint(0, 255)) for _ in range(4))]
+            elif kind == 2:
+                forms = [sign.join(number[i : i + 4] for i in range(0, 16, 4)) for sign in "./"]
+            else:
+                number = number[:10]
+                forms = [number, f"{number[:3]}-{number[3:6]}-{number[6:]}", f"{number[:3]}.{number[3:6]}.{number[6:]}"]
+            for i in range(rng.randint(1, 4)):
+                cue = rng.choice(_CUES[KINDS[kind]]) + " " if i == 0 or rng.random() < 0.3 else ""
+                parts.append((cue, rng.choice(forms), kind))
+        for _ in range(rng.randint(1, 6)):
+            n = rng.choice([digits(rng.randint(1, 6)), f"{digits(2)}.{digits(2)}", f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{word()}{digits(3)}", digits(rng.randint(7, 11))])
+            parts += [("", n, -1)] * rng.choice((1, 1, 2, 3, 8))
+        for _ in range(rng.randint(0, 2)):  # a cue before what is too short, and a row of numbers
+            parts.append((rng.choice(_CUES[rng.choice(KINDS)]) + " ", digits(rng.randint(1, 5)), -1))
+            parts.append(("", " ".join(digits(rng.randint(1, 4)) for _ in range(rng.randint(2, 8))), -1))
+        rng.shuffle(parts)
+        text, spans = "", []
+        for lead, form, kind in parts:
+            text += " ".join(word() for _ in range(rng.randint(1, 6))) + " " + lead
+            if kind >= 0:
+                spans.append((len(text), len(text) + len(form), kind))
+            text += form + rng.choice([" ", ", ", ". "])
+        if not base_spans(text):
+            return text, spans
+
+
 @lru_cache(1)
 def potentials() -> tuple[float, ...]:
-    """Weights of FEATURES, trained on TRAIN_TEXTS made texts; the same in every run."""
+    """Weights of FEATURES, trained on TRAIN_TEXTS made texts of each sort; the same in every run."""
     rng = random.Random(SEED)
     made = []
-    for _ in range(TRAIN_TEXTS):
-        text, true = example(rng)
+    for make in (example, bare_example) * TRAIN_TEXTS:
+        text, true = make(rng)
         at, f, _, edges, kinds = graph(text, base_spans(text))
         gold = np.zeros(len(at), np.int64)
         for i, (a, b) in enumerate(at):
@@ -287,7 +345,7 @@ def potentials() -> tuple[float, ...]:
         return np.concatenate([f[np.arange(len(label)), label].sum(axis=0), np.bincount(kinds[alike], minlength=len(FEATURES) - _UNARY)])
 
     weights, mean = np.concatenate([np.ones(_UNARY), np.ones(len(FEATURES) - _UNARY)]), np.zeros(len(FEATURES))
-    weights[3] = -1.0
+    weights[3] = weights[5] = -1.0
     for _ in range(EPOCHS):
         rng.shuffle(made)
         for f, edges, kinds, gold in made:
@@ -306,7 +364,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def scan(text: str, weights: np.ndarray | None = None) -> tuple:
     base = base_spans(text)
     counts = [sum(k == i for _, _, k in base) for i in range(4)]
-    extra = added_spans(text, base, np.array(potentials()) if weights is None else weights) if base else []
+    extra = added_spans(text, base, np.array(potentials()) if weights is None else weights)
     every = sorted({*base, *extra}, key=lambda s: (s[0], s[2], s[1]))
     return (*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(extra))
 

@@ -501,6 +501,30 @@ def test_pii_field_on_made_texts():
     assert right > 8 * missed and right > 30 * wrong
 
 
+def test_pii_field_without_base_spans():
+    """The field's work doesn't hang on an unrelated base span or on an edge."""
+    text = "phone 4155550100 is mine, later call 4155550100 again or 415-555-0100"
+    want = ["4155550100", "4155550100", "415-555-0100"]
+    found = lambda t: [(k, t[int(a) : int(b)]) for k, a, b in (s.split(":") for s in pii.scan(t)[5].split(",") if s)]
+    assert found(text) == [("phone", w) for w in want]
+    assert found(text + " beside 10.0.0.1") == [*[("phone", w) for w in want], ("ip", "10.0.0.1")]
+    assert found("call 4155550100") == [("phone", "4155550100")]  # a single token: no edge
+    assert found("server 10-0-0-1 is up") == [("ip", "10-0-0-1")]
+    for t in ("phone 12", "order 4155550100 shipped, order 4155550100", "seen 2024-01-15 " * 40, "10 20 30 40 50 60", "no digit"):
+        assert pii.scan(t)[5:] == ("", 0), t
+    rng, weights = random.Random(78), np.array(pii.potentials())
+    right = wrong = missed = 0
+    for _ in range(150):
+        text, true = pii.bare_example(rng)
+        assert not pii.base_spans(text)
+        extra = pii.added_spans(text, [], weights)
+        over = lambda s, spans: any(s[0] < e and s[1] > a and s[2] == k for a, e, k in spans)
+        right += sum(over(s, true) for s in extra)
+        wrong += sum(not over(s, true) for s in extra)
+        missed += sum(not over(s, extra) for s in true)
+    assert right > 8 * missed and right > 30 * wrong
+
+
 def test_message_passing_is_exact_on_trees():
     rng = np.random.default_rng(1)
     for _ in range(20):
