@@ -363,10 +363,10 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def crawl_levels(spark: SparkSession, d: str) -> DataFrame:
-    """The pages table as a web of its own: every page is a seed, links lead on from there."""
+    """The pages table as a web of its own, without a limit: every page is a seed, links lead on from there."""
     pages = table(spark, d, "pages")
     own = pages.select("html", F.regexp_replace(U.normalized("url"), "^https?://[^/]+", "https://site.test/all").alias("url"))
-    return web.crawl(spark, own, "https://site.test/all", robots=web.parse_robots(_ROBOTS), sitemap=own.select("url")).select("url", "depth")
+    return web.crawl(spark, own, "https://site.test/all", robots=web.parse_robots(_ROBOTS), sitemap=own.select("url"), max_pages=None).select("url", "depth")
 
 
 _LINK = r"unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))"

@@ -287,14 +287,14 @@ def from_web(agent: str = AGENT, concurrency: int = CONCURRENCY, timeout: float
 
 def crawl(
     spark: SparkSession, pages: DataFrame | Fetcher, start: str, includes: list[str] = (), excludes: list[str] = (), robots: Robots | None = None,
-    sitemap: list[str] | DataFrame = (), max_pages: int = MAX_PAGES, max_depth: int = MAX_DEPTH,
+    sitemap: list[str] | DataFrame = (), max_pages: int | None = MAX_PAGES, max_depth: int = MAX_DEPTH,
 ) -> DataFrame:
     """Pages (url, html) that a crawl reaches from ``start``, with the depth of each, by URL.
 
     ``pages`` is a table of what can be fetched or a fetcher. A level is one fetch of the frontier, its
     links, the scope filter and an anti join with what was seen. The start is in scope whatever the
     rules say, but not beyond robots; sitemap URLs (a list, or a table's first column) keep to both. If
-    there are more than ``max_pages``, the first by depth and URL stay.
+    there are more than ``max_pages``, the first by depth and URL stay; None sets no limit.
     """
     robots = robots or Robots()
     get = from_table(pages) if isinstance(pages, DataFrame) else pages
@@ -313,9 +313,11 @@ def crawl(
         n = level.count()
         found = level if found is None else found.unionByName(level)
         count += n
-        if not n or count >= max_pages or depth == max_depth:
+        if not n or (max_pages is not None and count >= max_pages) or depth == max_depth:
             break
         links = extract_links(level.select("url", "html")).select("link").distinct()
         frontier = settle(links.where(scope & allowed).join(seen, "link", "left_anti"))
         seen = settle(seen.unionByName(frontier))
-    return found.orderBy("depth", "url").limit(max_pages).orderBy("url").select("url", "html", "depth")
+    if max_pages is not None:
+        found = found.orderBy("depth", "url").limit(max_pages)
+    return found.orderBy("url").select("url", "html", "depth")

@@ -203,6 +203,24 @@ def test_crawl(spark):
     assert web.crawl(spark, pages, "https://s.test/docs", max_pages=2).count() == 2
 
 
+def test_crawl_max_pages(spark):
+    """The first by depth and URL stay; without a limit all do."""
+    site = {"/d": '<a href="/d/z">z</a><a href="/d/b">b</a>', "/d/z": '<a href="/d/a">a</a>', "/d/b": "", "/d/a": ""}
+    pages = spark.createDataFrame([(f"https://s.test{p}", h) for p, h in site.items()], "url string, html string")
+    got = lambda n: [(r.url.removeprefix("https://s.test"), r.depth) for r in web.crawl(spark, pages, "https://s.test/d", max_pages=n).collect()]
+    assert got(2) == [("/d", 0), ("/d/b", 1)] and got(3) == [("/d", 0), ("/d/b", 1), ("/d/z", 1)]
+    assert got(None) == got(1000) == [("/d", 0), ("/d/a", 2), ("/d/b", 1), ("/d/z", 1)]
+
+
+def test_crawl_levels_keeps_every_page(spark, tmp_path):
+    from spindrift.plans import catalogue
+
+    n = web.MAX_PAGES + 100
+    spark.range(n).select(F.col("id").alias("page_id"), F.format_string("https://h.test/p%06d", "id").alias("url"), F.lit("<p>x</p>").alias("html")).write.parquet(str(tmp_path / "pages.parquet"))
+    got = catalogue.queries()["crawl_levels"](spark, str(tmp_path))
+    assert got.count() == n and got.select("url").distinct().count() == n
+
+
 def test_content_type(spark):
     df = spark.createDataFrame([("text/html; charset=x",), ("",), (None,), ("application/pdf",), ("Application/XHTML+xml",)], "t string")
     assert [r.k for r in df.select(U.is_document_type("t").alias("k")).collect()] == [True, True, True, False, True]
