@@ -9,6 +9,7 @@ selected it, and what is repeated for 50 words or more goes everywhere but at it
 
 Result, exactly: a word is removed if and only if it lies in a run of 50 words that also stands at an
 earlier (doc_id, position). Equality of runs is that of two independent 64-bit hashes.
+Text lines shorter than 50 words are kept however often they repeat, unless they lie in such a run.
 """
 
 from __future__ import annotations
