@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import forget, settle, ship, table
 
-__all__ = ["Rolling", "batch", "components", "forget", "key_filter", "map_arrow", "may_be_in", "mix", "settle", "ship", "table", "texts"]
+__all__ = ["Rolling", "batch", "components", "forget", "fresh", "key_filter", "map_arrow", "may_be_in", "mix", "settle", "ship", "table", "texts"]
 
 # An Arrow batch ends at whichever comes first, so one batch of very long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
@@ -59,6 +59,17 @@ def may_be_in(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
     return (has(first) & has(second)).astype(bool)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that ``df`` has no column of, whatever the case: for what is added on the way."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"__sd_{name}"
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def texts(column: pa.Array) -> list[str]:
     return [t if t is not None else "" for t in column.to_pylist()]
 
@@ -66,11 +77,13 @@ def texts(column: pa.Array) -> list[str]:
 # ---------------------------------------------------------------- connected components
 
 
-def _min_star(edges: DataFrame, larger_only: bool) -> DataFrame:
-    """One star contraction: link neighbours to the smallest node around each centre."""
+def _min_star(edges: DataFrame, larger_only: bool, held: list[DataFrame]) -> DataFrame:
+    """One star contraction: link neighbours to the smallest node around each centre. Adds to ``held`` what it settles."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     around = both if larger_only else both.where("v <= u")
-    least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # Settled: a join of two plain exchanges can split a hot centre, one with an aggregate cannot.
+    least = settle(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    held.append(least)
     linked = around.join(least, "u")
     if larger_only:
         pairs = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -83,15 +96,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of an edge table (u, v) by alternating large and small stars.
 
     Returns (u, root), one row per node that has an edge; root is the smallest node. Each
-    contraction is a map-side-combined minimum and an equi-join that AQE can split, so a node with a
-    third of all edges does not end in one task, and nothing is gathered on the driver.
+    contraction is a map-side-combined minimum, settled, and an equi-join of two plain exchanges that AQE
+    can split, so a node with a third of all edges does not end in one task, and nothing is gathered on
+    the driver. More than ``most_rounds`` rounds are an error.
     """
     now = settle(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     seen = None
     for _ in range(most_rounds):
-        nxt = settle(_min_star(_min_star(now, True), False))
+        held = [now]
+        nxt = settle(_min_star(_min_star(now, True, held), False, held))
         mark = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        forget(now)
+        for old in held:
+            forget(old)
         now = nxt
         if tuple(mark) == seen:
             return now.select("u", F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())

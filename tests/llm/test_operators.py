@@ -180,10 +180,17 @@ def test_keep_one(hard, none):
 
 
 def repeats_by_hand(rows):
-    seen, gone = set(), {}
+    """Words that stay: not in a text line that stands earlier, not in a run of SPAN words that does."""
+    seen, seen_lines, gone = set(), set(), {}
     for k, t in sorted(rows):
-        words = t.encode().split()
-        out = set()
+        words, out = [], set()
+        for line in t.split("\n"):
+            own = line.encode().split()
+            if own:
+                if tuple(own) in seen_lines:
+                    out.update(range(len(words), len(words) + len(own)))
+                seen_lines.add(tuple(own))
+                words += own
         for p in range(len(words) - line_dedup.SPAN + 1):
             key = tuple(words[p : p + line_dedup.SPAN])
             if key in seen:
@@ -196,6 +203,7 @@ def repeats_by_hand(rows):
 def test_line_dedup(spark):
     rng = random.Random(5)
     passages = [prose(rng, n) for n in (49, 50, 51, 60, 80, 200)]
+    lines = [prose(rng, n) for n in (1, 2, 9, 30, 70)]
     rows = []
     for i in range(120):
         parts = [prose(rng, rng.randint(0, 60)) for _ in range(3)]
@@ -204,14 +212,40 @@ def test_line_dedup(spark):
             if rng.random() < 0.4:
                 p[rng.randrange(len(p))] = "edit"
             parts.insert(rng.randint(0, len(parts)), " ".join(p))
+        if rng.random() < 0.6:
+            parts.insert(rng.randint(0, len(parts)), "\n " + rng.choice(lines).replace(" ", rng.choice([" ", "  ", "\t"])) + "\n")
         rows.append((i, rng.choice([" ", "\n", "  "]).join(parts)))
-    rows += [(200, "of " * 300), (201, "a b " * 200), (202, rows[3][1]), (203, "of " * 120)]
-    got = line_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    rows += [(200, "of " * 300), (201, "a b " * 200), (202, rows[3][1]), (203, "of " * 120), (204, "one\ntwo\none\r\ntwo three\n\n")]
+    rows += [(300 + i, prose(rng, 5000 + i)) for i in range(3)] + [(310, rows[-1][1][2000:] + "x")]
+    got = line_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     want = repeats_by_hand(rows)
     assert {r.doc_id: [w.encode() for w in r.text.split()] for r in got} == want
     assert all(r["__sd_words"] - r["__sd_gone"] == len(want[r.doc_id]) for r in got)
     untouched = {i: t for i, t in rows if len(t.split()) == len(want[i])}
     assert all(r.text == untouched[r.doc_id] for r in got if r.doc_id in untouched)
+    assert next(r.text for r in got if r.doc_id == 204) == "one\ntwo\ntwo three"
+
+
+def test_line_dedup_of_small_table(spark):
+    """All rows of the 0.01 table against brute force; a line that stands in many documents is left once."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = {r.doc_id: r.text.encode().split() for r in line_dedup.remove_repeats(docs).collect()}
+    assert got == repeats_by_hand(rows)
+    planted = "The and attion to thanedble the, anea. Eriner thanea."
+    count = lambda texts: sum(line.strip() == planted for t in texts for line in t.split("\n"))
+    assert count(t for _, t in rows) > 100 and count(b" ".join(w).decode() for w in got.values()) <= 1
+
+
+def test_line_dedup_parts(monkeypatch):
+    """Marks don't depend on which texts are hashed together."""
+    rng = random.Random(15)
+    held = [prose(rng, rng.randint(0, 300)).encode() for _ in range(30)] + [b"of " * 200] * 2
+    k = np.arange(len(held))
+    rolling = Rolling()
+    rows = lambda b: sorted(map(tuple, zip(*b.to_pydict().values(), strict=True)))
+    alone = sorted(x for i in range(len(held)) for x in rows(line_dedup._marks(rolling, held[i : i + 1], k[i : i + 1], k[i : i + 1])))
+    assert rows(line_dedup._marks(rolling, held, k, k)) == alone
 
 
 def test_line_dedup_hard(hard, none):
@@ -219,7 +253,11 @@ def test_line_dedup_hard(hard, none):
     assert set(hard.columns) < set(out.columns)
     got = sorted(((r.doc_id or 0, r.text or "") for r in out.collect()))
     assert len(got) == len(HARD)
-    assert dict(got)[7] == "same text here now" and dict(got)[10] == "word"
+    # 7 repeats 6's line; the two rows of 7 are one document.
+    assert dict(got)[6] == "same text here now" and dict(got)[7] == "" and dict(got)[10] == "word"
+    clash = hard.withColumn("__sd_k", F.lit(1)).withColumn("__SD_H", F.lit(2)).withColumn("__sd_runs", F.lit(3))
+    again = line_dedup.remove_repeats(clash)
+    assert sorted(((r.doc_id or 0, r.text or "") for r in again.collect())) == got and {r["__sd_runs"] for r in again.collect()} == {3}
     assert line_dedup.remove_repeats(none).count() == 0
 
 
