@@ -306,12 +306,36 @@ def test_secrets(spark, hard, none):
 
 def test_entropy(spark):
     rng = random.Random(6)
-    values = ["".join(rng.choice("abcdefABC012+/") for _ in range(rng.randint(20, 60))) for _ in range(40)] + ["a" * 30, secrets.ALPHABET[:62]]
+    values = ["".join(rng.choice("abcdefABC012+/") for _ in range(rng.randint(20, 60))) for _ in range(40)] + ["a" * 30, "".join(chr(c) for c in range(97, 123)) + "zyxABCDEFGHIJKLMNOPQRSTUVWXYZ+-/=_0123456789"]
     df = spark.createDataFrame([(v,) for v in values], "v string").select("v", F.expr(secrets.entropy("v")).alias("e"))
     for r in df.collect():
         assert r.e == pytest.approx(window_entropy(r.v), abs=1e-9)
 
 
+def test_secrets_long(spark):
+    """Long candidates of every class, and many matches: no stack overflow, linear time, right places."""
+    import time
+
+    rng = random.Random(16)
+    n = 100_000
+    draw = lambda letters: "".join(rng.choice(letters) for _ in range(n))
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    long = [
+        "ab-" * (n // 3), "abc/" * (n // 4) + "word", "a" * n, "-" * n, draw("0123456789abcdef"), draw("0123456789"), draw(lower + lower.upper() + "0123456789"), draw(lower + "0123456789+/=_-"),
+        "token=" + draw(lower + "._"), "AKIA" + draw("ABCXYZ019"), "password=" * (n // 9), "=" * n, "api_key" + " " * n + "x", "deadbeef" * (n // 8),
+    ]
+    many = " ".join(f"{i:024x}" for i in range(20_000))
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate([*long, many])], "doc_id long, text string").repartition(4)
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secrets.secret_spans(frame).collect()}
+    assert time.perf_counter() - began < 60
+    for i, t in enumerate([*long, many]):
+        base = secrets_by_hand(t)
+        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest(), i
+    assert [got[i].n_added for i in (0, 1, 2, 3, 5, 11)] == [0] * 6 and got[6].spans == f"entropy_alnum:0:{n}"
+    assert got[len(long)].n_hex == 20_000
+
+
 # ---------------------------------------------------------------- 5: quality
 
 
