@@ -1,10 +1,14 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element. A line's weight is the length of its text
-outside links; lines of menus, notices, forms and the like weigh nothing, and so do lines outside
-the article where the page marks one. Weights are summed over a sliding window of lines: a sum that
-rises over a threshold is a surge, one that falls to nothing is a dive, and the text of all weighing
-lines between a surge and its dive is the main text.
+Markup is stripped to lines, one for each block element. A line's weight is the length of its text, or
+nothing if half of it is links; lines of menus, notices, forms and the like weigh nothing. Weights are
+summed over a sliding window of lines. Between two dives, where a sum falls to nothing, the sums rise
+from nothing and fall again; if on the way they surge to a threshold, the text of all weighing lines
+between the dives is main text. The threshold is SURGE characters, or the page's greatest sum if that
+is less, so a short page is read by the same rule as a long one.
+
+What a page marks as its article is a prior: lines in it weigh PRIOR times their length, and those
+outside nothing. A page with the marks taken away goes through the same rule with the plain weights.
 """
 
 from __future__ import annotations
@@ -20,9 +24,11 @@ from pyspark.sql import DataFrame
 from .common import batch, map_arrow, texts
 
 WINDOW = 3  # lines of a block
-SURGE = 60  # summed characters that begin a text
+SURGE = 60  # summed characters that make a text
+PRIOR = 4  # how much more a marked article's lines weigh
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
 _RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"))
 _CHROME = frozenset(("nav", "footer", "aside", "form", "button", "select", "svg", "menu", "dialog", "head", "object", "canvas", "audio", "video", "map", "fieldset"))
 _MAIN = frozenset(("article", "main"))
@@ -39,27 +45,59 @@ _CHROME_NAME = re.compile(
 _ARTICLE_NAME = re.compile(r"(?:^|\s)(?:article|main|article-body|article-content|post-content|entry-content|main-content|post-body|story-body|articleBody)(?:$|\s)")
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, in an article, in chrome) of each block, in page order."""
-    tokens = []
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if not m:
-            tokens.append(("", "text", page[at:]))
+def tokens_of(page: str) -> list[tuple[str, str, str]]:
+    """(slash, name, rest) of tags, and ("", "text" or "cdata", text), in page order and in one pass.
+
+    Quotes protect a ``>`` inside a tag until one of them is found never to be closed; from there on a
+    tag ends at its first ``>``, so no part of a page is searched more than twice. What looks like the
+    start of a tag with no ``>`` behind it is text.
+    """
+    tokens: list[tuple[str, str, str]] = []
+    at, since, end = 0, 0, len(page)
+    quoted, last, sections = True, page.rfind(">"), page.rfind("]]>")
+
+    def text(upto: int) -> None:
+        if upto > since:
+            tokens.append(("", "text", page[since:upto]))
+
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            text(at)
+            close = page.find("-->", at + 4)
+            at = since = close + 3 if close >= 0 else end
+        elif at >= last:
             break
-        if m.start() > at:
-            tokens.append(("", "text", page[at : m.start()]))
-        at = m.end()
-        if m[1] is not None:
-            tokens.append(("", "cdata", m[1]))
-        elif m[3]:
-            name = m[3].lower()
-            tokens.append((m[2], name, m[4]))
-            if name in _RAW and not m[2] and not m[4].endswith("/"):
-                close = re.compile(f"</{name}\\b[^>]*>?", re.I).search(page, at)
-                at = close.end() if close else end
+        elif page.startswith("<![CDATA[", at) and sections > at:
+            text(at)
+            close = page.find("]]>", at + 9)
+            if close >= 0:
+                tokens.append(("", "cdata", page[at + 9 : close]))
+            at = since = close + 3 if close >= 0 else page.find(">", at) + 1
+        elif page[at + 1] in "!?":
+            text(at)
+            at = since = page.find(">", at) + 1
+        elif m := _NAME.match(page, at + 1):
+            close = _REST.match(page, m.end()).end() if quoted else page.find(">", m.end())
+            if quoted and (close == end or page[close] != ">"):
+                quoted, close = False, page.find(">", m.end())
+            text(at)
+            slash, name = ("/", m[0][1:]) if m[0][0] == "/" else ("", m[0])
+            name, rest = name.lower(), page[m.end() : close]
+            tokens.append((slash, name, rest))
+            at = since = close + 1
+            if name in _RAW and not slash and not rest.endswith("/"):
+                found = re.compile(f"</{name}\\b[^>]*+>?", re.I).search(page, at)
+                at = since = found.end() if found else end
                 tokens.append(("/", name, ""))
+        else:
+            at += 1
+    text(end)
+    return tokens
+
+
+def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
+    """(text, characters in links, in an article, in chrome) of each block, in page order."""
+    tokens = tokens_of(page)
     # Where each element ends: its own end tag, or for loose ones the next of its kind.
     ends: dict[int, int] = {}
     open_at: dict[str, list[int]] = {}
@@ -120,31 +158,26 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
+def weights_of(lines: list[tuple[str, int, bool, bool]]) -> list[int]:
+    """A line's weight: none in chrome, PRIOR times its length in a marked article, else its length unless it is mostly links."""
+    marked = any(article and not chrome for _, _, article, chrome in lines)
+    return [0 if chrome else PRIOR * len(text) if article else 0 if marked or 2 * linked >= len(text) else len(text) for text, linked, article, chrome in lines]
+
+
 def main_text(page: str) -> str:
-    """Text between surge and dive; the empty string where the page has none."""
+    """Text of the stretches that surge; the empty string where no line weighs anything."""
     lines = [x for x in lines_of(page) if x[0]]
-    if not lines:
+    weights = np.array(weights_of(lines), np.int64)
+    if not weights.any():
         return ""
-    marked = any(a and not c for _, _, a, c in lines)
-    weights = np.zeros(len(lines) + WINDOW - 1, np.int64)
-    for i, (text, linked, article, chrome) in enumerate(lines):
-        if not chrome and (article or not marked):
-            # What the page marks as its article surges however short it is.
-            weights[i] = max(len(text), SURGE) if article else len(text) if 2 * linked < len(text) else 0
-    sums = np.convolve(weights, np.ones(WINDOW, np.int64))[WINDOW - 1 : WINDOW - 1 + len(lines)]
-    kept, i = [], 0
-    while i < len(lines):
-        if sums[i] >= SURGE:
-            j = i
-            while j < len(lines) and sums[j] > 0:
-                j += 1
-            kept += [lines[k][0] for k in range(i, j) if weights[k]]
-            i = j
-        else:
-            i += 1
-    if not kept:  # a page that is too short to surge anywhere
-        kept = [x[0] for x, w in zip(lines, weights, strict=False) if w]
-    return " ".join(kept)
+    # sums[i] is of the lines i - WINDOW + 1 to i.
+    sums = np.convolve(weights, np.ones(WINDOW, np.int64))
+    threshold = min(SURGE, sums.max())
+    # A stretch is numbered by the dives before it.
+    stretch = np.cumsum(sums == 0)
+    surges = np.zeros(stretch[-1] + 1, bool)
+    surges[stretch[sums >= threshold]] = True
+    return " ".join(lines[i][0] for i in np.flatnonzero((weights > 0) & surges[stretch[: len(lines)]]).tolist())
 
 
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
