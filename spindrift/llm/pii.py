@@ -2,7 +2,8 @@
 
 Base spans are pattern matches with checks. The field labels the tokens that can be personal data
 (digits, an at sign, or a local part of an address that stands alone). Unary potentials come from the
-base spans, the token's shape and the cue word before it; a linear chain joins neighbouring
+base spans, the token's shape, and the cue words before it, for an entity or for something else (an
+order, a book, a date); a linear chain joins neighbouring
 candidates; and a skip edge joins each occurrence of a token to its next occurrence, or to the next
 token with the same significant characters, however far away. Max-product messages are passed over
 this graph, both ways along every edge, until they settle; tokens that end with an entity label and
@@ -32,7 +33,7 @@ from .common import batch, map_arrow, texts
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-ROUNDS = 12  # of message passing, at most
+ROUNDS = 1000  # of message passing, at most; damped messages settle long before
 SETTLED = 1e-3
 DAMPING = 0.3
 
@@ -45,15 +46,18 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 
 _MARKS = ".,;:!?\"'()[]<>{}"
 _OCTETS = re.compile(r"([0-9]{1,3})([.-])([0-9]{1,3})\2([0-9]{1,3})\2([0-9]{1,3})")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+_DATE = re.compile(r"(?:1[0-9]|20)[0-9]{2}([./-])[01]?[0-9]\1[0-3]?[0-9]|[0-3]?[0-9]([./-])[01]?[0-9]\2(?:1[0-9]|20)[0-9]{2}|(?:19|20)[0-9]{6}(?:[0-9]{6})?")
 _CANDIDATE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 _CUES = {"email": ("email", "e-mail", "mail", "mailto", "user", "username", "login"), "ip": ("ip", "host", "server", "address", "addr"), "card": ("card", "visa", "mastercard", "amex", "credit", "payment"), "phone": ("phone", "tel", "telephone", "mobile", "cell", "call", "fax", "whatsapp")}
-_CUE = {w: i + 1 for i, k in enumerate(KINDS) for w in _CUES[k]}
+# Words before numbers that are no personal data.
+_OTHER = ("isbn", "issn", "order", "invoice", "sku", "id", "version", "date", "year", "page", "ticket", "case", "serial", "part", "lot", "batch", "build", "row", "item", "code", "ref", "reference", "doi", "pmid", "version", "release", "since", "until", "on", "in")
+_NEAR = 3  # words before a token that are looked at; the nearest cue counts
+_CUE = {w: 0 for w in _OTHER} | {w: i + 1 for i, k in enumerate(KINDS) for w in _CUES[k]}
 
-# What the potentials are of. The first six are of a token and a label, the others of an edge between
+# What the potentials are of. The first seven are of a token and a label, the others of an edge between
 # two tokens of one entity label; those are never negative.
-FEATURES = ("no entity", "in a base span of the label", "shape suits", "shape does not suit", "cue word before", "no base span or cue among the linked", "same token", "same characters", "neighbours")
-_UNARY = 6
+FEATURES = ("no entity", "in a base span of the label", "shape suits", "shape does not suit", "cue word before", "no base span or cue among the linked", "cue word of something else before", "same token", "same characters", "neighbours")
+_UNARY = 7
 TRAIN_TEXTS, EPOCHS, SEED = 300, 4, 9
 
 
@@ -106,11 +110,12 @@ def _shape(word: str) -> tuple[bool, bool, bool, bool]:
     plain = len(word) - n
     m = _OCTETS.fullmatch(word)
     octets = bool(m) and all(int(x) <= 255 for x in m.group(1, 3, 4, 5))
+    digits = "".join(c for c in word if "0" <= c <= "9")
     return (
         "@" in word or (n <= 4 and plain >= 4 and word[:1].isalpha()),
         octets,
-        n >= 12 and plain <= 4 and not octets,
-        7 <= n <= 15 and (plain > 0 or n >= 9) and not any(c.isalpha() for c in word) and not octets,
+        12 <= n <= 19 and plain <= 4 and not octets and luhn(digits),
+        7 <= n <= 15 and (plain > 0 or n >= 9) and not any(c.isalpha() for c in word) and not m and not _DATE.fullmatch(word),
     )
 
 
@@ -191,9 +196,12 @@ def graph(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int,
                 f[i, 1 + base[k][2], 1] = 1
                 inside[i] = True
             k += 1
-        cue = _LEAD.search(text[max(0, a - 24) : a])
-        if cue and (label := _CUE.get(cue[1].lower())):
-            f[i, label, 4] = 1
+        lead = _LEAD.findall(text, max(0, a - 40, at[i - 1][1] if i else 0), a)
+        for word in lead[: -_NEAR - 1 : -1]:
+            label = _CUE.get(word.lower())
+            if label is not None:
+                f[i, label or slice(1, None), 4 if label else 6] = 1
+                break
     edges, kinds = [], []
     last: tuple[dict[str, int], dict[str, int]] = ({}, {})
     for i, w in enumerate(words):
@@ -208,7 +216,8 @@ def graph(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int,
                     kinds.append(kind)
                     linked.add(before)
                 last[kind][key] = i
-        if i and at[i][0] - at[i - 1][1] <= 1 and i - 1 not in linked:
+        # A base span is whole, and a mark ends what came before: neither goes on in its neighbour.
+        if i and at[i][0] - at[i - 1][1] <= 1 and i - 1 not in linked and not inside[i - 1] and not inside[i] and words[i - 1][-1] not in ",;.:!?":
             edges.append((i - 1, i))
             kinds.append(2)
     # Links alone make no entity: one token of those that edges join has to be a base span or follow a cue.
@@ -227,7 +236,7 @@ def graph(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int,
     return at, f, inside, np.array(edges, np.int64).reshape(-1, 2), np.array(kinds, np.int64)
 
 
-_LEAD = re.compile(r"([A-Za-z-]+)[^A-Za-z0-9]*$")
+_LEAD = re.compile(r"[A-Za-z-]+")
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], weights: np.ndarray) -> list[tuple[int, int, int]]:
@@ -274,13 +283,14 @@ def example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         for form in [forms[0]] + [rng.choice(forms) for _ in range(rng.randint(0, 3))]:
             parts.append((cue + "\0" + form, kind))
     for _ in range(rng.randint(1, 6)):
-        n = rng.choice([digits(rng.randint(1, 6)), f"{digits(2)}.{digits(2)}", f"v{digits(1)}.{digits(1)}.{digits(1)}", f"{word()}{digits(3)}", digits(rng.randint(7, 14))])
-        parts += [("\0" + n, -1)] * rng.randint(1, 3)
+        n = rng.choice([digits(rng.randint(1, 6)), f"{digits(2)}.{digits(2)}", f"v{digits(1)}.{digits(1)}.{digits(1)}", f"{word()}{digits(3)}", digits(rng.randint(7, 16))])
+        lead = rng.choice(["", rng.choice(_OTHER) + " "])
+        parts += [(lead + "\0" + n, -1)] * rng.randint(1, 3)
     rng.shuffle(parts)
     # The base form of a mention comes before its others often enough; order is not asked for.
     text, spans = "", []
     for piece, kind in parts:
-        text += " ".join(word() for _ in range(rng.randint(0, 6))) + " "
+        text += "".join(word() + " " for _ in range(rng.choice((0, 1, 2, 3, 4, 6))))
         lead, _, form = piece.partition("\0")
         text += lead
         if kind >= 0:
@@ -297,7 +307,8 @@ def bare_example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         parts: list[tuple[str, str, int]] = []  # (lead, text, kind or -1)
         for _ in range(rng.randint(0, 2)):
             kind = rng.randrange(4)
-            number = "4" + digits(15)
+            body = "4" + digits(14)
+            number = next(body + c for c in "0123456789" if luhn(body + c))
             if kind == 0:
                 forms = [f"{word()}{word()}{digits(2)}"]
             elif kind == 1:
@@ -308,18 +319,19 @@ def bare_example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
                 number = number[:10]
                 forms = [number, f"{number[:3]}-{number[3:6]}-{number[6:]}", f"{number[:3]}.{number[3:6]}.{number[6:]}"]
             for i in range(rng.randint(1, 4)):
-                cue = rng.choice(_CUES[KINDS[kind]]) + " " if i == 0 or rng.random() < 0.3 else ""
+                cue = rng.choice(_CUES[KINDS[kind]]) + rng.choice([" ", ": ", " number ", " is "]) if i == 0 or rng.random() < 0.3 else ""
                 parts.append((cue, rng.choice(forms), kind))
         for _ in range(rng.randint(1, 6)):
-            n = rng.choice([digits(rng.randint(1, 6)), f"{digits(2)}.{digits(2)}", f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{word()}{digits(3)}", digits(rng.randint(7, 11))])
-            parts += [("", n, -1)] * rng.choice((1, 1, 2, 3, 8))
+            n = rng.choice([digits(rng.randint(1, 6)), f"{digits(2)}.{digits(2)}", f"20{digits(2)}-0{digits(1)}-1{digits(1)}", f"{word()}{digits(3)}", digits(rng.randint(7, 16))])
+            lead = rng.choice(["", rng.choice(_OTHER) + " "])
+            parts += [(lead, n, -1)] * rng.choice((1, 1, 2, 3, 8))
         for _ in range(rng.randint(0, 2)):  # a cue before what is too short, and a row of numbers
-            parts.append((rng.choice(_CUES[rng.choice(KINDS)]) + " ", digits(rng.randint(1, 5)), -1))
+            parts.append((rng.choice(_CUES[rng.choice(KINDS)]) + " ", rng.choice([digits(rng.randint(1, 5)), f"20{digits(2)}-0{digits(1)}-1{digits(1)}"]), -1))
             parts.append(("", " ".join(digits(rng.randint(1, 4)) for _ in range(rng.randint(2, 8))), -1))
         rng.shuffle(parts)
         text, spans = "", []
         for lead, form, kind in parts:
-            text += " ".join(word() for _ in range(rng.randint(1, 6))) + " " + lead
+            text += "".join(word() + " " for _ in range(rng.choice((0, 1, 2, 3, 4, 6)))) + lead
             if kind >= 0:
                 spans.append((len(text), len(text) + len(form), kind))
             text += form + rng.choice([" ", ", ", ". "])
@@ -366,10 +378,10 @@ def scan(text: str, weights: np.ndarray | None = None) -> tuple:
     counts = [sum(k == i for _, _, k in base) for i in range(4)]
     extra = added_spans(text, base, np.array(potentials()) if weights is None else weights)
     every = sorted({*base, *extra}, key=lambda s: (s[0], s[2], s[1]))
-    return (*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(extra))
+    return (*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(extra), len(every))
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())])
+_OUT = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64()), ("n_spans", pa.int64())])
 _NOTHING = scan("")
 
 
@@ -381,7 +393,7 @@ def _scanner(weights: tuple[float, ...]):
         w = np.array(weights)
         for rows in batches:
             found = [scan(t, w) if _SIGN.search(t) else _NOTHING for t in texts(rows.column("text"))]
-            columns = [list(c) for c in zip(*found, strict=True)] or [[]] * 7
+            columns = [list(c) for c in zip(*found, strict=True)] or [[]] * 8
             yield batch(_OUT, doc_id=rows.column("doc_id"), **dict(zip(_OUT.names[1:], columns, strict=True)))
 
     return run
@@ -391,7 +403,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     """Personal data of every row of ``docs`` (doc_id, text), found over the whole text.
 
     n_email, n_ip, n_card, n_phone count base spans; base_sha256 digests them; spans lists base and
-    added ones. A null or empty text has none (the digest of the empty string); a null doc_id is
+    added ones; n_added and n_spans count the added and all. A null or empty text has none (the digest of the empty string); a null doc_id is
     passed on; repeated rows come back repeated; no rows, no rows.
     """
-    return map_arrow(docs.select("doc_id", "text"), _scanner(potentials()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return map_arrow(docs.select("doc_id", "text"), _scanner(potentials()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
