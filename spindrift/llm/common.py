@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import forget, settle, ship, table
 
-__all__ = ["Rolling", "batch", "components", "forget", "fresh", "key_filter", "map_arrow", "may_be_in", "mix", "settle", "ship", "table", "texts"]
+__all__ = ["Rolling", "batch", "components", "forget", "fresh", "key_filter", "map_arrow", "may_be_in", "merge", "mix", "settle", "ship", "table", "texts"]
 
 # An Arrow batch ends at whichever comes first, so one batch of very long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
@@ -167,5 +167,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union of intervals as disjoint ascending ones."""
+    if not len(lo):
+        return lo, hi
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    start = np.concatenate([[True], lo[1:] > hi[:-1]])
+    return lo[start], hi[np.concatenate([start[1:], [True]])]
+
+
 def batch(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, schema.field(n).type) for n, c in columns.items()], schema=schema)

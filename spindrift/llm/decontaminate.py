@@ -8,7 +8,9 @@ Each item-sized window there is embedded by CGK random walks, which turn edit di
 distance, and looked up in hash tables of sampled coordinates; what collides is verified by the exact
 edit distance.
 
-The items are the stated query set. They are read in blocks of bounded size, each against all rows.
+The items are the stated query set. They are read in blocks of bounded number and bytes, each against
+all rows. Runs that meet, windows and walks are worked on in blocks as well, so that memory doesn't grow
+with a document's or an item's length times the windows.
 """
 
 from __future__ import annotations
@@ -22,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, mix, texts
-from .common import Rolling
+from .common import Rolling, batch, fresh, map_arrow, merge, mix, settle, texts
 from .licenses import normalise
 
 DISTANCE = 0.2  # of the item's words
@@ -31,7 +32,10 @@ PIECE = 4  # words of a run that is looked for, at most
 WALKS = 6  # independent random walks
 TABLES = 16  # of each walk
 SAMPLED = 4  # coordinates of a table
-BLOCK = 20_000  # items taken at a time
+BLOCK, BLOCK_BYTES = 20_000, 64 << 20  # items taken at a time, and bytes of their texts
+HITS = 1 << 21  # runs that meet, at a time
+WINDOWS = 20_000  # windows at a time
+STEPS = 1 << 21  # steps of walks at a time
 SEED = 11
 
 
@@ -85,6 +89,16 @@ def keys(places: np.ndarray, symbols: np.ndarray, coordinates: np.ndarray, n: in
         return out ^ mix(np.arange(len(own), dtype=np.uint64)[:, None] + np.uint64(1000 * walk + 1))
 
 
+def walk_keys(coordinates: np.ndarray, words: np.ndarray, starts: np.ndarray, n: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """(which of the windows of n words, their table keys) of every walk, for as many windows as STEPS allows at a time."""
+    step = max(1, STEPS // (3 * n))
+    for lo in range(0, len(starts), step):
+        part = slice(lo, lo + step)
+        for w in range(WALKS):
+            places, symbols = embed(words, starts[part], n, w)
+            yield part, keys(places, symbols, coordinates[w], n, w)
+
+
 def _words(rolling: Rolling, words: list[bytes]) -> np.ndarray:
     rolling.load(b" ".join(words))
     at = np.arange(len(words))
@@ -114,11 +128,8 @@ def build(items: list[tuple[int, str]]) -> Index:
     for n in np.unique(sizes).tolist():
         mine = np.flatnonzero(sizes == n)
         words = np.concatenate([kept[i][1] for i in mine])
-        found = []
-        for w in range(WALKS):
-            places, symbols = embed(words, np.arange(len(mine)) * n, n, w)
-            found.append(keys(places, symbols, coordinates[w], n, w).ravel())
-        k, who = np.concatenate(found), np.tile(mine, WALKS * TABLES)
+        found = list(walk_keys(coordinates, words, np.arange(len(mine)) * n, n))
+        k, who = np.concatenate([x.ravel() for _, x in found]), np.concatenate([np.tile(mine[part], TABLES) for part, _ in found])
         order = np.argsort(k, kind="stable")
         tables[n] = (k[order], who[order])
     least = np.array([max(1, n + 1 - piece(n) * (reach(n) + 1)) for n in sizes.tolist()], np.int64)
@@ -138,9 +149,25 @@ def best_stretch(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
-def windows(index: Index, rolling: Rolling, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, size) of the windows of the loaded text of n words that can hold an item."""
-    pos, who, off = [], [], []
+def _met(looked: list[tuple[np.ndarray, ...]], part: int, parts: int) -> tuple[np.ndarray, ...]:
+    """(place, item, offset) of the runs that meet, for one of ``parts`` shares of the items; expanded HITS at a time."""
+    out = []
+    for at, lo, count, items, offsets in looked:
+        ends = np.cumsum(count)
+        a = 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + HITS, side="right")))
+            c = count[a:b]
+            each = np.repeat(lo[a:b] - np.cumsum(c) + c, c) + np.arange(c.sum())
+            mine = items[each] % parts == part
+            out.append((np.repeat(at[a:b], c)[mine], items[each[mine]], offsets[each[mine]]))
+            a = b
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def windows(index: Index, rolling: Rolling, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, from, to): disjoint ranges of the starts of windows of the loaded text of n words that can hold an item."""
+    looked, total = [], 0
     for q, (known, items, offsets) in index.runs.items():
         if n < q:
             continue
@@ -149,37 +176,37 @@ def windows(index: Index, rolling: Rolling, n: int) -> tuple[np.ndarray, np.ndar
         maybe = np.flatnonzero(index.gate[q][(h >> np.uint64(48)).astype(np.int64)])
         lo, hi = np.searchsorted(known, h[maybe], side="left"), np.searchsorted(known, h[maybe], side="right")
         some = hi > lo
-        lo, hi, maybe = lo[some], hi[some], maybe[some]
-        if len(lo):
-            count = hi - lo
-            each = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            pos.append(np.repeat(maybe, count))
-            who.append(items[each])
-            off.append(offsets[each])
+        if some.any():
+            looked.append((maybe[some], lo[some], (hi - lo)[some], items, offsets))
+            total += int((hi - lo).sum())
     none = np.zeros(0, np.int64)
-    if not pos:
-        return none, none
-    pos, who, off = np.concatenate(pos), np.concatenate(who), np.concatenate(off)
-    order = np.lexsort((pos, who))
-    pos, who, off = pos[order], who[order], off[order]
-    # Enough runs of the item within a stretch.
-    need, size = index.least[who] - 1, index.sizes[who]
-    slack = (DISTANCE * size).astype(np.int64)
-    last = np.minimum(np.arange(len(pos)) + need, len(pos) - 1)
-    first = np.flatnonzero((np.arange(len(pos)) + need < len(pos)) & (who[last] == who) & (pos[last] - pos <= size + slack))
-    if not len(first):
-        return none, none
-    mark = np.zeros(len(pos) + 1, np.int64)
-    np.add.at(mark, first, 1)
-    np.add.at(mark, last[first] + 1, -1)
-    good = np.cumsum(mark)[:-1] > 0
-    pos, size, off, slack = pos[good], size[good], off[good], slack[good]
-    shifts = 2 * slack + 1
-    each = np.arange(shifts.sum()) - np.repeat(np.concatenate([[0], np.cumsum(shifts)[:-1]]), shifts)
-    start = np.repeat(pos - off - slack, shifts) + each
-    size = np.repeat(size, shifts)
-    both = np.unique(np.stack([np.clip(start, 0, n - 1), size]), axis=1)
-    return both[0], both[1]
+    lows, highs = [none], [none]
+    width = n + 2  # ranges of a size don't touch those of the next
+    parts = -(-total // HITS)
+    for part in range(parts):
+        pos, who, off = _met(looked, part, parts)
+        if not len(pos):
+            continue
+        order = np.lexsort((pos, who))
+        pos, who, off = pos[order], who[order], off[order]
+        # Enough runs of the item within a stretch.
+        need, size = index.least[who] - 1, index.sizes[who]
+        slack = (DISTANCE * size).astype(np.int64)
+        last = np.minimum(np.arange(len(pos)) + need, len(pos) - 1)
+        first = np.flatnonzero((np.arange(len(pos)) + need < len(pos)) & (who[last] == who) & (pos[last] - pos <= size + slack))
+        if not len(first):
+            continue
+        mark = np.zeros(len(pos) + 1, np.int64)
+        np.add.at(mark, first, 1)
+        np.add.at(mark, last[first] + 1, -1)
+        good = np.cumsum(mark)[:-1] > 0
+        pos, size, off, slack = pos[good], size[good], off[good], slack[good]
+        lo, hi = size * width + np.clip(pos - off - slack, 0, n - 1), size * width + np.clip(pos - off + slack, 0, n - 1) + 1
+        lo, hi = merge(np.concatenate([lows.pop(), lo]), np.concatenate([highs.pop(), hi]))
+        lows.append(lo)
+        highs.append(hi)
+    size = lows[0] // width
+    return size, lows[0] - size * width, highs[0] - size * width
 
 
 def collide(index: Index, words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -188,12 +215,10 @@ def collide(index: Index, words: np.ndarray, start: np.ndarray, size: np.ndarray
     for n in np.unique(size).tolist():
         mine = np.flatnonzero(size == n)
         known, who = index.tables[n]
-        for w in range(WALKS):
-            places, symbols = embed(words, start[mine], n, w)
-            k = keys(places, symbols, index.coordinates[w], n, w)
+        for part, k in walk_keys(index.coordinates, words, start[mine], n):
             lo = np.searchsorted(known, k.ravel(), side="left")
             hit = np.flatnonzero(known[np.minimum(lo, len(known) - 1)] == k.ravel())
-            window = np.tile(mine, TABLES)[hit]
+            window = np.tile(mine[part], TABLES)[hit]
             at = lo[hit]
             while len(at):
                 out.append(np.stack([window, who[at]], axis=1))
@@ -235,17 +260,23 @@ def search(index: Index, docs: list[list[bytes]], rolling: Rolling) -> list[tupl
         if not n or not longest:
             continue
         rolling.load(b" ".join(words))
-        start, size = windows(index, rolling, n)
-        if len(start):
-            at = np.arange(n)
-            # Words of no item keep apart what stands side by side.
-            areas.append(np.concatenate([rolling.between(at, at + 1), np.zeros(3 * longest, np.uint64)]))
-            starts.append(start + base)
-            sizes.append(size)
-            owners.append(np.full(len(start), d))
-            places.append(np.full(len(start), base))
-            base += n + 3 * longest
-            if sum(map(len, starts)) > 20_000:
+        size, lo, hi = windows(index, rolling, n)
+        if not len(size):
+            continue
+        at = np.arange(n)
+        # Words of no item keep apart what stands side by side.
+        area = np.concatenate([rolling.between(at, at + 1), np.zeros(3 * longest, np.uint64)])
+        ends = np.cumsum(hi - lo)
+        for a in range(0, int(ends[-1]), WINDOWS):
+            flat = np.arange(a, min(a + WINDOWS, int(ends[-1])))
+            own = np.searchsorted(ends, flat, side="right")
+            areas.append(area)
+            starts.append(hi[own] - (ends[own] - flat) + base)
+            sizes.append(size[own])
+            owners.append(np.full(len(flat), d))
+            places.append(np.full(len(flat), base))
+            base += len(area)
+            if sum(map(len, starts)) >= WINDOWS:
                 verify()
     verify()
     return sorted((d, i, *v) for (d, i), v in found.items())
@@ -276,8 +307,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> D
     """
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").where("text is not null").distinct()
-    n = items.count()
-    blocks = max(1, math.ceil(n / block))
+    n, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    blocks = max(1, math.ceil(n / block), math.ceil((size or 0) / BLOCK_BYTES))
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
     found = None
     for b in range(blocks):
@@ -295,6 +326,8 @@ def _late(index):
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
     low = F.lit(-(1 << 63))
-    bad = contaminated(docs, benchmark).select(F.coalesce("doc_id", low).alias("__sd_k"), F.col("h").alias("__sd_h")).distinct()
-    keyed = docs.withColumns({"__sd_k": F.coalesce(F.col("doc_id").cast("long"), low), "__sd_h": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(bad, ["__sd_k", "__sd_h"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    k, h = fresh(docs, "k", "h")
+    # Settled, so that many rows of one key, as null ids are, can be split in the join.
+    bad = settle(contaminated(docs, benchmark).select(F.coalesce("doc_id", low).alias(k), F.col("h").alias(h)).distinct())
+    keyed = docs.withColumns({k: F.coalesce(F.col("doc_id").cast("long"), low), h: F.xxhash64(F.coalesce("text", F.lit("")))})
+    return keyed.join(bad, [k, h], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, batch, fresh, key_filter, map_arrow, may_be_in, mix, settle, texts
+from .common import Rolling, batch, fresh, key_filter, map_arrow, may_be_in, merge, mix, settle, texts
 
 LINE = 10  # words of a wrapped line
 WINDOW = 41  # line hashes of a window
@@ -76,14 +76,6 @@ def select_lines(rolling: Rolling, words: list[bytes], ends: np.ndarray) -> tupl
     return picked[first], lines[picked[first]], window[first], window[last], owner[window[first]]
 
 
-def _merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union of intervals as disjoint ascending ones."""
-    order = np.argsort(lo, kind="stable")
-    lo, hi = lo[order], np.maximum.accumulate(hi[order])
-    start = np.concatenate([[True], lo[1:] > hi[:-1]])
-    return lo[start], hi[np.concatenate([start[1:], [True]])]
-
-
 def _marks(rolling: Rolling, held: list[bytes], k: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
     """Marks of the texts ``held``.
 
@@ -120,7 +112,7 @@ def _marks(rolling: Rolling, held: list[bytes], k: np.ndarray, h: np.ndarray) ->
         out.append((np.full(len(own), RUN), _signed(fp[new]), _signed(whole[new]), who[new], own << 12 | (q - first)[new] << 6 | (q - last)[new], np.zeros(len(own), np.int64)))
         if again.any():
             # Shifted by the text's number, so that runs of neighbouring texts don't touch.
-            lo, hi = _merge(first[again] + who[again], last[again] + SPAN + who[again])
+            lo, hi = merge(first[again] + who[again], last[again] + SPAN + who[again])
             mine = np.searchsorted(ends + np.arange(len(ends)), lo, side="right")
             out.append((np.full(len(lo), INSIDE), np.zeros(len(lo), np.int64), np.zeros(len(lo), np.int64), mine, lo - mine - base[mine], hi - lo))
     kind, fp, whole, who, pos, n = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -185,7 +177,7 @@ def cut(text: str, lo: np.ndarray, hi: np.ndarray) -> tuple[str, int, int]:
     starts = np.flatnonzero(edge == -1)
     if not len(lo):
         return text, len(starts), 0
-    lo, hi = _merge(lo, hi)
+    lo, hi = merge(lo, hi)
     starts = np.concatenate([starts, [len(raw)]])
     parts, done = [], 0
     for a, b in zip(starts[lo].tolist(), starts[hi].tolist(), strict=True):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, settle, texts
+from .common import batch, fresh, map_arrow, settle, texts
 
 N_COSINES = 160
 WIDTH = 4.0  # of the Gaussian kernel, in standardised units
@@ -223,7 +223,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose predicted quality is 1, with all their columns."""
-    good = scored(docs, labels).where(F.col("score") >= ACCEPT)
-    good = good.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__sd_k"), F.col("h").alias("__sd_h")).distinct()
-    keyed = docs.withColumns({"__sd_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__sd_h": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(good, ["__sd_k", "__sd_h"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    low, (k, h) = F.lit(-(1 << 63)), fresh(docs, "k", "h")
+    # Settled, so that many rows of one key, as null ids are, can be split in the join.
+    good = settle(scored(docs, labels).where(F.col("score") >= ACCEPT).select(F.coalesce("doc_id", low).alias(k), F.col("h").alias(h)).distinct())
+    keyed = docs.withColumns({k: F.coalesce(F.col("doc_id").cast("long"), low), h: F.xxhash64(F.coalesce("text", F.lit("")))})
+    return keyed.join(good, [k, h], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

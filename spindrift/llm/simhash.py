@@ -5,8 +5,9 @@ blocks; two fingerprints that differ in at most three bits agree on at least two
 each fingerprint is posted under its ten pairs of blocks (25 or 26 bits each) and only equal
 postings are compared. Equal fingerprints are folded before, so a group of exact copies is one node.
 A posting list is walked as a breadth-first forest, which keeps all connectivity and emits fewer
-links than it has members; a long list is cut into chunks and every pair of chunks is a unit of its
-own, so no task holds an unbounded list.
+links than it has members. A long list is dealt once more by four blocks of its other bits, of which
+close fingerprints again share one; what is still long is cut into chunks and every pair of chunks is a
+unit of its own, so no task holds an unbounded list.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, components, map_arrow, settle, texts
+from .common import batch, components, fresh, map_arrow, settle, texts
 
 MAX_BITS = 3
 CHUNK = 4096
@@ -121,14 +122,26 @@ def links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
         bits = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in ((a, wa), (b, wb))]
         return F.lit(i << 32).bitwiseOR(F.shiftleft(bits[0], 13)).bitwiseOR(bits[1])
 
-    keys = distinct.select("fp", F.explode(F.array(*[posting(i, p) for i, p in enumerate(combinations(BLOCKS, 2))])).alias("key"))
-    counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / F.lit(chunk)).cast("long")
-    posted = keys.join(counts, "key").withColumn("m", parts).withColumn("c", F.when(F.col("m") > 1, F.pmod(F.xxhash64("fp"), "m")).otherwise(F.lit(0).cast("long")))
+    pairs = list(combinations(BLOCKS, 2))
+    keys = distinct.select("fp", F.explode(F.array(*[posting(i, p) for i, p in enumerate(pairs)])).alias("key"))
+    # Counts are settled before they are joined: a join of two plain exchanges can split a hot key.
+    posted = keys.join(settle(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")), "key")
+    short = posted.where(F.col("n") <= chunk).select("key", F.lit(0).cast("long").alias("unit"), "fp")
+
+    # The 39 bits at most beside a pair of blocks, in four blocks of their own.
+    def others(pair: tuple) -> F.Column:
+        bits = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in BLOCKS if (s, w) not in pair]
+        return F.shiftleft(bits[0], 26).bitwiseOR(F.shiftleft(bits[1], 13)).bitwiseOR(bits[2])
+
+    rest = F.element_at(F.array(*[others(p) for p in pairs]), F.shiftright("key", 32).cast("int") + 1)
+    finer = [F.col("key").bitwiseOR(F.lit(j + 1 << 36)).bitwiseOR(F.shiftleft(F.shiftrightunsigned(rest, 10 * j).bitwiseAND(F.lit(1023)), 40)) for j in range(4)]
+    long = posted.where(F.col("n") > chunk).select("fp", F.explode(F.array(*finer)).alias("key"))
+    long = long.join(settle(long.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")), "key")
+    long = long.withColumn("m", F.ceil(F.col("n") / F.lit(chunk)).cast("long")).withColumn("c", F.pmod(F.xxhash64("fp"), "m"))
     # Chunk c takes part in the units (i, c) for i <= c and (c, j) for j > c.
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))
-    units = posted.select("key", "fp", "m", "c", other.alias("o")).select("key", (F.least("c", "o") * F.col("m") + F.greatest("c", "o")).alias("unit"), "fp")
-    dealt = units.repartition("key", "unit").sortWithinPartitions("key", "unit", "fp")
+    units = long.select("key", "fp", "m", "c", other.alias("o")).select("key", (F.least("c", "o") * F.col("m") + F.greatest("c", "o")).alias("unit"), "fp")
+    dealt = short.unionByName(units).repartition("key", "unit").sortWithinPartitions("key", "unit", "fp")
     return map_arrow(dealt, _links, "u long, v long").distinct()
 
 
@@ -137,7 +150,8 @@ def groups(fps: DataFrame) -> DataFrame:
     distinct = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct.select("fp")))
     rooted = distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Settled, so that a giant component can be split in the join.
+    named = settle(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     return rooted.join(named, "root").select("fp", "component_id")
 
 
@@ -160,11 +174,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     fps = settle(map_arrow(docs.select("doc_id", "text"), _keyed, "doc_id long, fp long, h long"))
     grouped = fps.join(groups(fps.select("doc_id", "fp")), "fp")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("h"))
-    best = grouped.groupBy("component_id").agg(F.min(rank).alias("b")).select(F.col("b.d").alias("__sd_id"), F.col("b.h").alias("__sd_h"))
-    cols = docs.columns
-    numbered = docs.withColumn("__sd_h", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__sd_k", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    best = best.select(F.coalesce("__sd_id", F.lit(-(1 << 63))).alias("__sd_k"), "__sd_h").distinct()
-    return numbered.join(best, ["__sd_k", "__sd_h"], "left_semi").dropDuplicates(["__sd_k", "__sd_h"]).select(*[F.col(f"`{c}`") for c in cols])
+    low, (k, h) = F.lit(-(1 << 63)), fresh(docs, "k", "h")
+    best = grouped.groupBy("component_id").agg(F.min(rank).alias("b")).select(F.coalesce("b.d", low).alias(k), F.col("b.h").alias(h))
+    numbered = docs.withColumns({h: F.xxhash64(F.coalesce("text", F.lit(""))), k: F.coalesce(F.col("doc_id").cast("long"), low)})
+    return numbered.join(settle(best.distinct()), [k, h], "left_semi").dropDuplicates([k, h]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 _KEYED = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("h", pa.int64())])
