@@ -1,8 +1,12 @@
 """GIF media: lossless storage of 8-bit samples, decoding, timed frames and colour histograms.
 
 ``encode`` writes rows of samples as an animated GIF (LZW, one grey palette, so that a sample is its
-palette index); ``decode`` reads any GIF: LZW code streams, global and local palettes, interlacing,
-transparency and disposal. The frame table has one row per frame with its time and histogram.
+palette index); ``read`` decodes any GIF, one frame at a time: LZW code streams, global and local
+palettes, interlacing, transparency and disposal. The frame table has one row per frame with its time
+and histograms, and the digests of stored texts carry those columns as an array.
+
+Memory is that of one frame and one canvas, which is as large as the frames' areas reach, whatever the
+header says; a frame needs all its samples, so a small file can't claim a large one.
 """
 
 from __future__ import annotations
@@ -11,8 +15,9 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +31,8 @@ ROWS = 256  # of a frame, at most
 DELAY = 4  # hundredths of a second
 GREY = bytes(v for i in range(256) for v in (i, i, i))
 HISTOGRAM = 16  # bins of a channel
+MOST_PIXELS = 1 << 26  # of a canvas; a GIF whose frames reach over more is not read
+
 
 @lru_cache
 def _run(least: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,19 +185,39 @@ class Frame:
     indices: np.ndarray  # the frame's own rows x columns
 
 
-def decode(data: bytes) -> list[Frame]:
-    """All frames of a GIF; a file that breaks off gives those before the break."""
-    if data[:6] not in (b"GIF87a", b"GIF89a"):
+@dataclass
+class _Part:
+    """A frame as it stands in the file."""
+
+    left: int
+    top: int
+    width: int
+    height: int
+    interlaced: bool
+    palette: np.ndarray | None
+    least: int
+    stream: bytes
+    delay: int
+    clear: int | None
+    disposal: int
+
+
+def _palette(data: bytes, at: int, flags: int) -> np.ndarray | None:
+    n = 3 * (2 << (flags & 7))
+    return np.frombuffer(data, np.uint8, n, at).reshape(-1, 3) if at + n <= len(data) else None
+
+
+def _parts(data: bytes) -> list[_Part]:
+    """The frames of a GIF without their pixels; what breaks off ends the list."""
+    if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
-    width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    width, height, flags = struct.unpack_from("<HHB", data, 6)
     at, shared = 13, None
     if flags & 0x80:
-        n = 2 << (flags & 7)
-        shared = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
-        at += 3 * n
-    canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[Frame] = []
-    delay, clear_to, disposal, start = 0, None, 0, 0
+        shared = _palette(data, at, flags)
+        at += 3 * (2 << (flags & 7))
+    out: list[_Part] = []
+    delay, clear, disposal = 0, None, 0
 
     def gather(at: int) -> tuple[bytes, int]:
         parts = []
@@ -202,44 +229,71 @@ def decode(data: bytes) -> list[Frame]:
     while at < len(data) and data[at] != 0x3B:
         if data[at] == 0x21:
             kind = data[at + 1] if at + 1 < len(data) else 0
-            body, after = gather(at + 2)
+            body, at = gather(at + 2)
             if kind == 0xF9 and len(body) >= 4:
                 disposal, delay = body[0] >> 2 & 7, body[1] | body[2] << 8
-                clear_to = body[3] if body[0] & 1 else None
-            at = after
+                clear = body[3] if body[0] & 1 else None
         elif data[at] == 0x2C and at + 11 <= len(data):
             left, top, w, h, local = struct.unpack_from("<HHHHB", data, at + 1)
             at += 10
             palette = shared
             if local & 0x80:
-                n = 2 << (local & 7)
-                palette = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
-                at += 3 * n
+                palette = _palette(data, at, local)
+                at += 3 * (2 << (local & 7))
+                if palette is None or at >= len(data):
+                    break
             least = data[at]
             stream, at = gather(at + 1)
-            got = lzw_decode(stream, least, w * h)
-            indices = np.frombuffer(got.ljust(w * h, b"\0"), np.uint8).reshape(h, w)
-            if local & 0x40:
-                order = np.concatenate([np.arange(a, h, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
-                indices = indices[np.argsort(order)]
-            before = canvas.copy() if disposal == 3 else None
-            if palette is not None:
-                area = canvas[top : top + h, left : left + w]
-                own = indices[: area.shape[0], : area.shape[1]]
-                shown = np.ones(own.shape, bool) if clear_to is None else own != clear_to
-                shown &= own < len(palette)
-                area[shown, :3] = palette[own[shown]]
-                area[shown, 3] = 255
-            frames.append(Frame(len(frames), start, delay, left, top, canvas.copy(), indices))
-            start += delay
-            if disposal == 2:
-                canvas[top : top + h, left : left + w] = 0
-            elif disposal == 3:
-                canvas = before
-            delay, clear_to, disposal = 0, None, 0
+            out.append(_Part(left, top, w, h, bool(local & 0x40), palette, least, stream, delay, clear, disposal))
+            delay, clear, disposal = 0, None, 0
         else:
             break
-    return frames
+    reach = [min(limit, max((x + y for x, y in areas), default=0)) for limit, areas in ((width, [(p.left, p.width) for p in out]), (height, [(p.top, p.height) for p in out]))]
+    if reach[0] * reach[1] > MOST_PIXELS:
+        raise ValueError(f"the frames reach over {reach[0]} x {reach[1]} pixels")
+    for p in out:
+        p.left, p.top = min(p.left, reach[0]), min(p.top, reach[1])
+    return [_Part(0, 0, *reach, False, None, 0, b"", 0, None, 0), *out]
+
+
+def read(data: bytes) -> Iterator[Frame]:
+    """The frames of a GIF one after the other; a file that breaks off gives those before the break.
+
+    A frame whose stream has not all its samples is a break. The canvas reaches as far as the frames do,
+    inside the header's screen. It is one array that the next frame draws on: copy it to keep it.
+    """
+    screen, *parts = _parts(data)
+    canvas, start = None, 0
+    for number, p in enumerate(parts):
+        got = lzw_decode(p.stream, p.least, p.width * p.height)
+        if len(got) < p.width * p.height:
+            return
+        if canvas is None:
+            canvas = np.zeros((screen.height, screen.width, 4), np.uint8)
+        indices = np.frombuffer(got, np.uint8).reshape(p.height, p.width)
+        if p.interlaced:
+            order = np.concatenate([np.arange(a, p.height, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
+            indices = indices[np.argsort(order)]
+        area = canvas[p.top : p.top + p.height, p.left : p.left + p.width]
+        before = area.copy() if p.disposal == 3 else None
+        if p.palette is not None:
+            own = indices[: area.shape[0], : area.shape[1]]
+            shown = own < len(p.palette)
+            if p.clear is not None:
+                shown &= own != p.clear
+            area[shown, :3] = p.palette[own[shown]]
+            area[shown, 3] = 255
+        yield Frame(number, start, p.delay, p.left, p.top, canvas, indices)
+        start += p.delay
+        if p.disposal == 2:
+            area[:] = 0
+        elif p.disposal == 3:
+            area[:] = before
+
+
+def decode(data: bytes) -> list[Frame]:
+    """All frames of a GIF, each with a canvas of its own."""
+    return [replace(f, canvas=f.canvas.copy()) for f in read(data)]
 
 
 def histogram(frame: Frame) -> np.ndarray:
@@ -249,9 +303,9 @@ def histogram(frame: Frame) -> np.ndarray:
     return np.concatenate([np.bincount(seen[:, c] >> 4, minlength=HISTOGRAM) for c in range(3)])
 
 
-def samples_of(frames: list[Frame]) -> bytes:
-    """The stored samples, read from the decoded pictures (red channel of the shown rows)."""
-    return b"".join(f.canvas[f.top : f.top + f.indices.shape[0], f.left : f.left + f.indices.shape[1], 0].tobytes() for f in frames)
+def samples_of(frame: Frame) -> bytes:
+    """The stored samples of a frame, read from the decoded picture (red channel of the shown rows)."""
+    return frame.canvas[frame.top : frame.top + frame.indices.shape[0], frame.left : frame.left + frame.indices.shape[1], 0].tobytes()
 
 
 def pad(raw: bytes, unit: int = WIDTH) -> bytes:
@@ -278,7 +332,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
 def frames(media: DataFrame, column: str = "gif", key: str = "doc_id") -> DataFrame:
     """One row per frame of every GIF: key, frame, start_ms, delay_ms, width, height, pixels (RGBA), red, green, blue.
 
-    A null or unreadable value has no rows.
+    A null value and one that is no GIF, or whose frames reach over more than MOST_PIXELS, has no rows.
     """
     schema = "key long, frame int, start_ms int, delay_ms int, width int, height int, pixels binary, red array<int>, green array<int>, blue array<int>"
 
@@ -286,10 +340,11 @@ def frames(media: DataFrame, column: str = "gif", key: str = "doc_id") -> DataFr
         for rows in batches:
             for k, data in zip(rows.column("key").to_pylist(), rows.column("media").to_pylist(), strict=True):
                 try:
-                    found = decode(data or b"")
-                except (ValueError, struct.error, IndexError):
+                    found = read(data or b"")
+                    first = next(found, None)
+                except ValueError:
                     continue
-                for f in found:
+                for f in chain([first] if first else [], found):
                     h = histogram(f).tolist()
                     values = [[k], [f.number], [10 * f.start], [10 * f.delay], [f.canvas.shape[1]], [f.canvas.shape[0]], [f.canvas.tobytes()], [h[:16]], [h[16:32]], [h[32:]]]
                     kinds = [pa.int64(), *[pa.int32()] * 5, pa.binary(), *[pa.list_(pa.int32())] * 3]
@@ -298,22 +353,34 @@ def frames(media: DataFrame, column: str = "gif", key: str = "doc_id") -> DataFr
     return map_arrow(media.select(F.col(key).alias("key"), F.col(column).alias("media")), run, schema).withColumnRenamed("key", key)
 
 
-_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int32()), ("duration_ms", pa.int32())])
+_FRAME = pa.struct([("start_ms", pa.int32()), ("delay_ms", pa.int32()), ("red", pa.list_(pa.int32())), ("green", pa.list_(pa.int32())), ("blue", pa.list_(pa.int32()))])
+_DIGEST = pa.schema(
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())]
+    + [("feature", pa.string()), ("n_frames", pa.int32()), ("duration_ms", pa.int32()), ("frames", pa.list_(_FRAME))]
+)
+
+
+def digest(data: bytes) -> tuple:
+    """What the digest table says of a stored text, read from its GIF frame by frame."""
+    size, hashed, tail, red, timed = 0, hashlib.sha256(), b"", np.zeros(HISTOGRAM, np.int64), []
+    for f in read(data):
+        payload, h = samples_of(f), histogram(f)
+        size += len(payload)
+        hashed.update(payload)
+        tail = (tail + payload)[-64:]
+        red += h[:HISTOGRAM]
+        timed.append({"start_ms": 10 * f.start, "delay_ms": 10 * f.delay, "red": h[:16], "green": h[16:32], "blue": h[32:]})
+    return size, hashed.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), ",".join(map(str, red.tolist())), len(timed), sum(t["delay_ms"] for t in timed), timed
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
-        out = []
-        for data in rows.column("gif").to_pylist():
-            found = decode(data)
-            payload = samples_of(found)
-            total = sum(histogram(f) for f in found)
-            feature = ",".join(map(str, total[:HISTOGRAM].tolist()))
-            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(found), 10 * sum(f.delay for f in found)))
-        columns = [list(c) for c in zip(*out, strict=True)] if out else [[]] * 8
+        columns = [list(c) for c in zip(*map(digest, rows.column("gif").to_pylist()), strict=True)] or [[]] * 9
         yield batch(_DIGEST, doc_id=rows.column("doc_id"), n_bytes=rows.column("n_bytes"), **dict(zip(_DIGEST.names[2:], columns, strict=True)))
 
 
 def media_digests(stored: DataFrame) -> DataFrame:
-    """Digest columns read back from the stored GIFs of ``store_texts``."""
-    return map_arrow(stored, _digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_ms int")
+    """Digest columns and timed frames with their histograms, read back from the stored GIFs of ``store_texts``."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_ms int"
+    frame = "struct<start_ms: int, delay_ms: int, red: array<int>, green: array<int>, blue: array<int>>"
+    return map_arrow(stored, _digest, f"{schema}, frames array<{frame}>")

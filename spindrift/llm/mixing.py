@@ -4,8 +4,10 @@ A classifier fitted on the labelled rows gives each document a posterior over do
 language of a labelled document). The rate of a document is how often it should be read; rates are the
 nonnegative numbers nearest to 1, weighted by tokens, for which the expected tokens of each domain
 meet their targets. Only proportions are asked for, so the total is by default the least one at which
-no domain has to be thinned: the scarce are repeated and clean documents stay. Rates are found by projected gradient on least squares, preconditioned by the
-domains' own Gram matrix. A step changes a rate only through the domains' residuals, so the driver
+no domain has to be thinned: the scarce are repeated and clean documents stay. Rates are found by
+projected gradient on least squares, preconditioned by the domains' Gram matrix over the documents whose
+rate is not held at zero, until the targets
+are met or a step gains nothing more; what is then still missing is given as the residual. A step changes a rate only through the domains' residuals, so the driver
 keeps one short vector for each step and every document replays the steps from its own posterior;
 nothing but sums over the domains leaves the executors.
 """
@@ -21,16 +23,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, settle, texts
+from .common import batch, fresh, map_arrow, settle, texts
 
 #: Shares of the mixed tokens; a domain that is not named shares what is left in proportion.
 TARGETS = {"en": 0.5, "fr": 0.2, "de": 0.15, "es": 0.15}
 FIT_ROWS = 20_000  # labelled rows that the classifier is fitted on, at most; the least id hashes
-DOMAINS = 32  # most common domains of the labelled rows; rarer ones are the domain "other"
 BUCKETS = 4096
-SOFT = 0.25  # power of the word likelihoods, so that a short or mixed text keeps several domains
-STEPS = 25
+# The words' log-likelihood counts as that of STRENGTH * n / (n + HALF) words: nearly all of it in a short
+# text, never more than STRENGTH words' worth in a long one, so that mixed texts keep several domains.
+STRENGTH, HALF = 16.0, 64.0
+STEPS = 200  # at most; each is one pass over short vectors
 CLOSE = 1e-6  # residual, as a share of all tokens, that ends the search
+GAIN = 1e-3  # share of the residual that PATIENCE steps must take away
+PATIENCE = 8
 
 
 def _bucket(word: bytes) -> int:
@@ -61,15 +66,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(domains, log-likelihood of each bucket, log-prior) from at most FIT_ROWS labelled rows."""
+    """(domains, log-likelihood of each bucket, log-prior) from at most FIT_ROWS labelled rows; every domain of theirs is one."""
     ids = labels.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     rows = docs.select("doc_id", F.coalesce(F.col(domain).cast("string"), F.lit("other")).alias("domain"), "text").join(F.broadcast(ids), "doc_id")
     cells = map_arrow(rows.select("domain", "text"), _counts, "domain string, bucket long, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n"))
     cells = settle(cells)
-    common = [r[0] for r in cells.groupBy("domain").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "domain").limit(DOMAINS).collect()]
-    named = cells.select(F.when(F.col("domain").isin(common), F.col("domain")).otherwise("other").alias("domain"), "bucket", "n").groupBy("domain", "bucket").agg(F.sum("n"))
     table: dict[str, np.ndarray] = {}
-    for d, b, n in named.collect():
+    for d, b, n in cells.collect():
         table.setdefault(d, np.zeros(BUCKETS))[b] = n
     names = sorted(table) or ["other"]
     counts = np.stack([table.get(d, np.zeros(BUCKETS)) for d in names])
@@ -92,8 +95,7 @@ def _posteriors(like: np.ndarray, prior: np.ndarray):
                 score = prior.copy()
                 if n:
                     counts = np.bincount(np.fromiter((buckets[w] for w in words), np.int64, n), minlength=BUCKETS)
-                    # Likelihood to a power that shrinks with length: of sixteen words' worth at most.
-                    score += SOFT * min(1.0, 64.0 / n) * (like @ counts)
+                    score += STRENGTH / (n + HALF) * (like @ counts)
                 e = np.exp(score - score.max())
                 # Multiples of 2^-20, so that sums over documents are the same in any order.
                 p = np.round(e / e.sum() * (1 << 20)) / (1 << 20)
@@ -129,15 +131,25 @@ def _sum_rows(df: DataFrame, per_batch, width: int) -> np.ndarray:
     return np.array([x or 0.0 for x in got])
 
 
-def solve(posteriors: DataFrame, names: list[str], targets: dict[str, float], total: float | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(steps, target tokens, expected tokens) of the projected gradient search."""
+def solve(posteriors: DataFrame, names: list[str], targets: dict[str, float], total: float | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, float]:
+    """(steps, target tokens, expected tokens, residual) of the projected gradient search.
+
+    The residual is the greatest distance of a domain to its target, as a share of all target tokens.
+    """
     k = len(names)
 
+    steps: list[np.ndarray] = []
+
     def moments(p: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.concatenate([p.T @ n, (p.T @ (p * n[:, None])).ravel()])
+        rate = _rates(p, steps)
+        free = p[rate > 0]
+        return np.concatenate([p.T @ (n * rate), (free.T @ (free * n[rate > 0, None])).ravel()])
 
-    both = _sum_rows(posteriors, moments, k + k * k)
-    now, gram = both[:k], both[k:].reshape(k, k)
+    def tokens() -> tuple[np.ndarray, np.ndarray]:
+        both = _sum_rows(posteriors, moments, k + k * k)
+        return both[:k], both[k:].reshape(k, k)
+
+    now, gram = tokens()
     seen = now.sum()
     share = np.array([targets.get(d, -1.0) for d in names])
     left, rest = max(0.0, 1 - share[share >= 0].sum()), now * (share < 0)
@@ -146,22 +158,22 @@ def solve(posteriors: DataFrame, names: list[str], targets: dict[str, float], to
     if total is None:
         total = float((now[share > 0] / share[share > 0]).max(initial=0.0))
     target = share * total
-    steps: list[np.ndarray] = []
-    if not seen:
-        return steps, target, now
-    inverse = np.linalg.inv(gram + 1e-9 * seen * np.eye(k))
-    for _ in range(STEPS):
-        if np.abs(now - target).max() <= CLOSE * total:
+    if not seen or not total:
+        return steps, target, now, 0.0
+    history = [float(np.abs(now - target).max() / total)]
+    while history[-1] > CLOSE and len(steps) < STEPS:
+        if len(history) > PATIENCE and history[-1] > (1 - GAIN) * history[-1 - PATIENCE]:
             break
-        steps.append(np.round(inverse @ (now - target), 12))
-        now = _sum_rows(posteriors, lambda p, n: p.T @ (n * _rates(p, steps)), k)
-    return steps, target, now
+        steps.append(np.round(np.linalg.solve(gram + 1e-9 * seen * np.eye(k), now - target), 12))
+        now, gram = tokens()
+        history.append(float(np.abs(now - target).max() / total))
+    return steps, target, now, history[-1]
 
 
-_MIX = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_tokens", pa.int64()), ("domain", pa.string()), ("share", pa.float64()), ("rate", pa.float64()), ("copies", pa.int64())])
+_MIX = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_tokens", pa.int64()), ("domain", pa.string()), ("share", pa.float64()), ("rate", pa.float64()), ("copies", pa.int64()), ("residual", pa.float64())])
 
 
-def _mixer(names: list[str], steps: list[np.ndarray]):
+def _mixer(names: list[str], steps: list[np.ndarray], residual: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             if not rows.num_rows:
@@ -171,33 +183,45 @@ def _mixer(names: list[str], steps: list[np.ndarray]):
             # Copies have the rate as their mean; the coin is the document's own.
             coins = np.array([xxhash.xxh64_intdigest(f"{d}:{h}".encode(), 7) / 2**64 for d, h in zip(rows.column("doc_id").to_pylist(), rows.column("h").to_pylist(), strict=True)])
             best = p.argmax(axis=1)
-            yield batch(_MIX, doc_id=rows.column("doc_id"), h=rows.column("h"), n_tokens=rows.column("n_tokens"), domain=[names[i] for i in best], share=np.round(p[np.arange(len(p)), best], 6), rate=rate, copies=np.floor(rate + coins).astype(np.int64))
+            yield batch(_MIX, doc_id=rows.column("doc_id"), h=rows.column("h"), n_tokens=rows.column("n_tokens"), domain=[names[i] for i in best], share=np.round(p[np.arange(len(p)), best], 6), rate=rate, copies=np.floor(rate + coins).astype(np.int64), residual=np.full(len(p), round(residual, 9)))
 
     return run
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: str = "lang") -> DataFrame:
-    """(doc_id, h, n_tokens, domain, share, rate, copies) for every row of ``docs``; h hashes its text.
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: str = "lang") -> DataFrame:
+    """(doc_id, h, n_tokens, domain, share, rate, copies, residual) for every row of ``docs``; h hashes its text.
 
-    ``domain`` and ``share`` are the likeliest domain and its posterior. A null or empty text has no
-    tokens, the prior as posterior and the rate that follows from it; a null doc_id is passed on;
-    repeated rows get equal rates; a null domain is "other"; without labels there is one domain,
-    "other", and every rate is 1; no rows, no rows.
+    ``domain`` and ``share`` are the likeliest domain and its posterior; ``residual`` is that of ``solve``
+    and stands in every row: over CLOSE, the targets can't be met. A null or empty text has no tokens, the
+    prior as posterior and the rate that follows from it; a null doc_id is passed on; repeated rows get
+    equal rates; a null domain is "other"; without labels there is one domain, "other", and every rate is
+    1; no rows, no rows. A target that is given for a domain of no labelled row is an error; of the default
+    TARGETS those are left out, and the others keep their proportions.
     """
     names, like, prior = fit(docs, labels, domain)
+    if targets and (unknown := set(targets) - set(names)):
+        raise ValueError(f"no labelled row of the domains {', '.join(sorted(unknown))}")
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
     posteriors = settle(map_arrow(keyed, _posteriors(like, prior), "doc_id long, h long, n_tokens long, p array<double>"))
-    steps, _, _ = solve(posteriors, names, targets)
-    return map_arrow(posteriors, _mixer(names, steps), "doc_id long, h long, n_tokens long, domain string, share double, rate double, copies long")
+    steps, _, _, residual = solve(posteriors, names, targets or {d: t for d, t in TARGETS.items() if d in names})
+    return map_arrow(posteriors, _mixer(names, steps, residual), "doc_id long, h long, n_tokens long, domain string, share double, rate double, copies long, residual double")
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with their columns, rate and copies (1 or more)."""
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with their columns, rate and copies (1 or more).
+
+    Where ``docs`` has a column of that name, mix_ stands before the new one, as often as it takes.
+    """
+    low, (k, h, rate, copies) = F.lit(-(1 << 63)), fresh(docs, "k", "h", "rate", "copies")
     rates = mixing_rates(docs, labels, targets).where("copies > 0")
-    low = F.lit(-(1 << 63))
-    names = {f"__sd_{c}": c for c in ("rate", "copies")}
-    rates = rates.select(F.coalesce("doc_id", low).alias("__sd_k"), F.col("h").alias("__sd_h"), *[F.col(c).alias(n) for n, c in names.items()]).dropDuplicates(["__sd_k", "__sd_h"])
-    keyed = docs.withColumns({"__sd_k": F.coalesce(F.col("doc_id").cast("long"), low), "__sd_h": F.xxhash64(F.coalesce("text", F.lit("")))})
+    rates = rates.select(F.coalesce("doc_id", low).alias(k), F.col("h").alias(h), F.col("rate").alias(rate), F.col("copies").alias(copies))
+    # Settled, so that many rows of one key, as null ids are, can be split in the join.
+    rates = settle(rates.dropDuplicates([k, h]))
+    keyed = docs.withColumns({k: F.coalesce(F.col("doc_id").cast("long"), low), h: F.xxhash64(F.coalesce("text", F.lit("")))})
     taken = {c.lower() for c in docs.columns}
-    out = [F.col(n).alias(c if c not in taken else f"mix_{c}") for n, c in names.items()]
-    return keyed.join(rates, ["__sd_k", "__sd_h"]).select(*[F.col(f"`{c}`") for c in docs.columns], *out)
+    names = []
+    for name in ("rate", "copies"):
+        while name in taken:
+            name = f"mix_{name}"
+        names.append(name)
+    return keyed.join(rates, [k, h]).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(rate).alias(names[0]), F.col(copies).alias(names[1]))

@@ -496,6 +496,35 @@ def test_mixing(spark):
     assert all(r.rate >= 0 and r.copies in (int(r.rate), int(r.rate) + 1) for r in rows)
     assert sum(r.copies for r in rows) == pytest.approx(sum(r.rate for r in rows), rel=0.05)
     assert min(r.rate for r in rows) > 0.9  # nothing has to be thinned
+    assert {r.residual for r in rows} <= {r.residual for r in rows if r.residual <= mixing.CLOSE}
+    with pytest.raises(ValueError, match="domains z"):
+        mixing.mixing_rates(d, labels, {"a": 0.5, "z": 0.5})
+
+
+def test_mixing_against_direct_least_squares(spark):
+    """The search meets what can be met, and comes as near as plain projected gradient where it cannot."""
+    rng = np.random.default_rng(19)
+    for case in range(3):
+        p = rng.dirichlet([0.3] * 3, 80) if case < 2 else np.tile([0.5, 0.3, 0.2], (80, 1)) + rng.uniform(0, 0.02, (80, 3))
+        p = p / p.sum(axis=1, keepdims=True)
+        n = rng.integers(1, 300, 80)
+        targets = [{"a": 0.2, "b": 0.3, "c": 0.5}, {"a": 0.98, "b": 0.01, "c": 0.01}, {"a": 0.9, "b": 0.05, "c": 0.05}][case]
+        df = spark.createDataFrame([(int(x), y.tolist()) for x, y in zip(n, p, strict=True)], "n_tokens long, p array<double>")
+        steps, target, now, residual = mixing.solve(df, list("abc"), targets)
+        rate = mixing._rates(p, steps)
+        assert rate.min() >= 0 and np.allclose(p.T @ (n * rate), now)
+        a = (p * n[:, None]).T
+        r, step = np.ones(80), 1 / np.linalg.norm(a, 2) ** 2
+        for _ in range(60_000):
+            r = np.maximum(r - step * (a.T @ (a @ r - target)), 0)
+        direct = np.abs(a @ r - target).max() / target.sum()
+        assert residual <= max(1.5 * direct, mixing.CLOSE) if direct > 1e-4 else residual <= 1e-4, (case, residual, direct)
+
+
+def test_mixing_many_domains(spark):
+    rows = [(i, f"word{i % 50} other{i % 50}", f"d{i % 50}") for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.domain for r in mixing.mixing_rates(d, d.select("doc_id"), {f"d{i}": 0.02 for i in range(50)}).collect()} == {f"d{i}" for i in range(50)}
 
 
 def test_mixing_hard(spark, hard, none):
@@ -505,15 +534,58 @@ def test_mixing_hard(spark, hard, none):
     assert mixing.mixing_rates(none, labels).count() == 0
     out = mixing.mixed(hard.withColumn("rate", F.lit("mine")), labels)
     assert out.columns == [*hard.columns, "rate", "mix_rate", "copies"] and out.count() == len(HARD)
+    out = mixing.mixed(hard.withColumn("rate", F.lit("mine")).withColumn("mix_rate", F.lit(1)).withColumn("__sd_k", F.lit(7)), labels)
+    assert out.columns == [*hard.columns, "rate", "mix_rate", "__sd_k", "mix_mix_rate", "copies"] and {r["__sd_k"] for r in out.collect()} == {7}
 
 
 # ---------------------------------------------------------------- 8: GIF
 
 
+def slow_gif(data):
+    """Another reader of GIFs with one grey palette: codes bit by bit, strings from a dictionary."""
+    at, out = 13 + 768, b""
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            at += 2
+            while data[at]:
+                at += data[at] + 1
+            at += 1
+            continue
+        assert data[at] == 0x2C and data[at + 9] == 0 and data[at + 10] == 8
+        at, stream = at + 11, b""
+        while data[at]:
+            stream += data[at + 1 : at + 1 + data[at]]
+            at += data[at] + 1
+        at += 1
+        bits, have, width, known, last = 0, 0, 9, {}, None
+        for byte in stream:
+            bits |= byte << have
+            have += 8
+            if have < width:
+                continue
+            code = bits & (1 << width) - 1
+            bits >>= width
+            have -= width
+            if code == 257:
+                break
+            if code == 256:
+                width, known, last = 9, {i: bytes([i]) for i in range(256)} | {256: b"", 257: b""}, None
+                continue
+            now = known[code] if code in known else last + last[:1]
+            out += now
+            if last is not None and len(known) < 4096:
+                known[len(known)] = last + now[:1]
+            last = now
+            if len(known) in (512, 1024, 2048):
+                width = len(known).bit_length()
+    return out
+
+
 @pytest.mark.parametrize("raw", [b"", b"a", bytes(64), os.urandom(20_000), bytes(30_000), bytes(range(256)) * 50, b"ab" * 40_000, "é😀".encode() * 3000])
 def test_gif_round_trip(raw):
     data = gif_media.encode(gif_media.pad(raw))
-    assert gif_media.samples_of(gif_media.decode(data)) == gif_media.pad(raw)
+    assert b"".join(map(gif_media.samples_of, gif_media.read(data))) == gif_media.pad(raw)
+    assert slow_gif(data) == gif_media.pad(raw)
     assert len(gif_media.pad(raw)) % 64 == 0 and len(gif_media.pad(raw)) > 0
 
 
@@ -537,7 +609,18 @@ def test_gif_rules():
     assert d.canvas[1, 1, 3] == 0  # the third was cleared to the background
     rows = gif_media.decode(b"GIF89a" + struct.pack("<HHBBB", 1, 5, 0xF7, 0, 0) + gif_media.GREY + frame([0, 4, 2, 1, 3], 1, 5, interlaced=True) + b";")
     assert rows[0].indices.ravel().tolist() == [0, 1, 2, 3, 4]
-    assert gif_media.decode(data[:-30])  # a broken end keeps the frames before it
+    # A broken end keeps the frames before it, wherever the break is.
+    for n in range(13, len(data)):
+        shorter = gif_media.decode(data[:n])
+        assert len(shorter) <= 4 and all((x.canvas[: y.canvas.shape[0], : y.canvas.shape[1]] == y.canvas[: x.canvas.shape[0], : x.canvas.shape[1]]).all() for x, y in zip(shorter, (a, b, c, d), strict=False))
+    assert len(gif_media.decode(data[:-12])) == 3
+    # Neither the header's size nor a frame without its samples takes memory.
+    vast = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0x80, 0, 0) + palette
+    assert gif_media.decode(vast) == [] and gif_media.decode(vast + frame([1], 1, 1))[0].canvas.shape == (1, 1, 4)
+    assert gif_media.decode(vast + frame([1], 8000, 8000)) == []
+    for size in ((65535, 65535), (20_000, 20_000)):
+        with pytest.raises(ValueError, match="reach over"):
+            gif_media.decode(vast + frame([1], *size))
     assert gif_media.lzw_decode(b"\xff\xff\xff", 8, 10) == b""
     with pytest.raises(ValueError, match="not a GIF"):
         gif_media.decode(b"PNG")
@@ -561,6 +644,8 @@ def test_gif_table(spark, hard, none):
     for r, (d, t) in zip(sorted(rows, key=lambda r: (r.doc_id or 99, r.n_bytes)), sorted(HARD, key=lambda x: (x[0] or 99, len((x[1] or "").encode()))), strict=True):
         payload = gif_media.pad((t or "").encode())
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((t or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert len(r.frames) == r.n_frames and sum(sum(x.red) for x in r.frames) == r.payload_bytes and [x.start_ms for x in r.frames] == [40 * i for i in range(r.n_frames)]
+        assert r.feature == ",".join(map(str, np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16)))
     f = gif_media.frames(stored.where("doc_id = 9")).orderBy("frame").collect()
     assert len(f) == 4 and [x.start_ms for x in f] == [0, 40, 80, 120] and sum(sum(x.red) for x in f) == 60_032
     assert gif_media.media_digests(gif_media.store_texts(none)).count() == 0
