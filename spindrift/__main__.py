@@ -44,7 +44,7 @@ def provider(config):
         return embed.OpenAI(config.model, config.api_key, config.base_url or "https://api.openai.com/v1")
     if config.provider == "local":
         return embed.Onnx(config.base_url or config.model)
-    return embed.Fake()
+    return embed.Fake() if config.provider == "fake" else embed.default()
 
 
 def main(argv: list[str] | None = None, spark=None, out=None, lines=None) -> int:
@@ -60,13 +60,14 @@ def main(argv: list[str] | None = None, spark=None, out=None, lines=None) -> int
 
     config = load_config(args.config, data_path=args.data)
     spark = spark or session()
-    library = Library(spark, config.data_path, provider(config), max_pages=config.max_pages, max_depth=config.max_depth)
     pages = None
     if getattr(args, "pages", None):
         pages = spark.read.parquet(args.pages)
     elif args.verb in ("add", "sync", "reindex"):
         pages = from_web(concurrency=config.concurrency, timeout=config.request_timeout, most=config.max_body_bytes, rate=config.rate_limit)
     try:
+        embeds = args.verb in ("add", "sync", "reindex", "search", "serve")
+        library = Library(spark, config.data_path, provider(config) if embeds else None, config.candidate_count, config.final_chunks, max_pages=config.max_pages, max_depth=config.max_depth)
         if args.verb == "add":
             result = library.add(args.name, args.url, pages, args.version, args.description, args.include, args.exclude)
         elif args.verb in ("sync", "reindex"):
@@ -80,7 +81,7 @@ def main(argv: list[str] | None = None, spark=None, out=None, lines=None) -> int
                 print(f"{r.library_id}\t{r.name}\t{r.chunks} chunks\t{r.pages} pages\t{(r.synced_at or '')[:10]}", file=out)
             return 0
         elif args.verb == "search":
-            print(format_sections(library.query(library.find(args.library).library_id, args.query, config.final_chunks)), file=out)
+            print(format_sections(library.query(library.find(args.library).library_id, args.query)), file=out)
             return 0
         else:
             for line in lines or sys.stdin:

@@ -146,7 +146,10 @@ def split(markdown: str, most: int = MAX_TOKENS) -> list[tuple[str, str, str]]:
 
 
 def chunk(documents: DataFrame, source_id: str, library_id: str, version: str = "", most: int = MAX_TOKENS) -> DataFrame:
-    """Chunks of documents (document_id, url, canonical_url, title, markdown); a narrow transformation."""
+    """Chunks of documents (document_id, url, canonical_url, title, markdown); a narrow transformation.
+
+    ``url`` is what a chunk is cited by, ``page_url`` the page it was read from.
+    """
     if not source_id.strip():
         raise ValueError("chunks need a source id")
     if most <= 0:
@@ -156,11 +159,11 @@ def chunk(documents: DataFrame, source_id: str, library_id: str, version: str =
         kind = pa.list_(pa.struct([("heading_path", pa.string()), ("content", pa.string()), ("content_hash", pa.string())]))
         for b in batches:
             found = [[{"heading_path": p, "content": c, "content_hash": h} for p, c, h in split(m or "", most)] for m in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, kind)], ["document_id", "url", "title", "pieces"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), pa.array(found, kind)], ["document_id", "url", "title", "page_url", "pieces"])
 
-    slim = documents.select("document_id", C.citation_url("canonical_url", "url").alias("url"), C.text("title").alias("title"), C.text("markdown").alias("markdown"))
-    schema = "document_id string, url string, title string, pieces array<struct<heading_path: string, content: string, content_hash: string>>"
-    rows = slim.mapInArrow(run, schema).select("document_id", "url", "title", F.posexplode("pieces").alias("chunk_index", "piece"))
+    slim = documents.select("document_id", C.citation_url("canonical_url", "url").alias("url"), C.text("title").alias("title"), C.text("markdown").alias("markdown"), F.col("url").alias("page_url"))
+    schema = "document_id string, url string, title string, page_url string, pieces array<struct<heading_path: string, content: string, content_hash: string>>"
+    rows = slim.mapInArrow(run, schema).select("document_id", "url", "title", "page_url", F.posexplode("pieces").alias("chunk_index", "piece"))
     return rows.select(
         C.chunk_id(F.lit(source_id), "url", "piece.heading_path", "chunk_index").alias("chunk_id"),
         F.lit(source_id).alias("source_id"),
@@ -173,4 +176,5 @@ def chunk(documents: DataFrame, source_id: str, library_id: str, version: str =
         "chunk_index",
         F.col("piece.content").alias("content"),
         F.col("piece.content_hash").alias("content_hash"),
+        "page_url",
     )

@@ -42,9 +42,10 @@ def report(statuses: DataFrame, fetched: int = 0, skipped: int = 0) -> DataFrame
 
 
 def apply(old: DataFrame, changed: DataFrame, statuses: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """The next snapshot: old rows that stay, and the rows that were added or updated."""
+    """The next snapshot: old rows that stay, and of ``changed`` the rows that were added or updated."""
     gone = statuses.where(F.col("status") != "unchanged").select(key)
-    return old.join(gone, key, "left_anti").unionByName(changed.select(*old.columns))
+    wanted = statuses.where(F.col("status").isin("added", "updated")).select(key)
+    return old.join(gone, key, "left_anti").unionByName(changed.join(wanted, key, "left_semi").select(*old.columns))
 
 
 def library_counts(chunks: DataFrame) -> DataFrame:
@@ -65,3 +66,15 @@ def topic_recall(hits: DataFrame, wanted: DataFrame, k: int = 20) -> DataFrame:
     """Recall of topics: for ranked hits (query_id, topic, rank) and wanted (query_id, topic)."""
     first = hits.where(F.col("rank") <= k).groupBy("query_id", "topic").agg(F.min("rank").alias("rank"))
     return wanted.join(first, ["query_id", "topic"], "left").select("query_id", "topic", "rank")
+
+
+def gold_metrics(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5), depth: int = 20) -> DataFrame:
+    """Accuracy on the one page that answers a query: top-k shares and MRR of its first place.
+
+    ``hits`` is (query_id, url, rank), ``gold`` is (query_id, url), one row a query; a page that is not
+    among the first ``depth`` is a miss.
+    """
+    first = hits.where(F.col("rank") <= depth).groupBy("query_id", "url").agg(F.min("rank").alias("rank"))
+    ranks = gold.join(first, ["query_id", "url"], "left")
+    hit = [F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"top{k}") for k in ks]
+    return ranks.agg(F.count("*").alias("queries"), *hit, F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -25,6 +26,10 @@ class EmbeddingError(RuntimeError):
     """A provider's answer that cannot be used."""
 
 
+class IdentityMismatch(RuntimeError):
+    """The index holds vectors of another kind."""
+
+
 class Provider(Protocol):
     name: str
     model: str
@@ -136,6 +141,19 @@ class Onnx:
         return (mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)).tolist()
 
 
+#: Where the default provider looks for its model's files.
+MODEL_VARIABLE, MODEL_FOLDER = "SPINDRIFT_MODEL", "~/.cache/spindrift/all-MiniLM-L6-v2"
+
+
+def default() -> Onnx:
+    """The local model; an error that says what to put where if its files are not there. Never the fake."""
+    folder = os.path.expanduser(os.environ.get(MODEL_VARIABLE, "") or MODEL_FOLDER)
+    missing = [f for f in ("model.onnx", "tokenizer.json") if not os.path.exists(f"{folder}/{f}")]
+    if missing:
+        raise EmbeddingError(f"the default provider needs {' and '.join(missing)} of a sentence model in {folder} (or the folder {MODEL_VARIABLE} names); or set the provider to ollama, openai or, for tests, fake")
+    return Onnx(folder)
+
+
 def redact(message: str, secret: str, most: int = 300) -> str:
     return (message.replace(secret, "[redacted]") if secret else message)[:most]
 
@@ -188,10 +206,3 @@ def compatible(recorded: str, provider: Provider) -> bool:
     """Whether vectors of this provider may join an index; an unknown width takes any recorded one over 0."""
     width = parse_identity(recorded, provider)
     return width is not None and (width == provider.dims if provider.dims else width > 0)
-
-
-def fake_embedding_column(text: Column | str, width: int = FAKE_WIDTH) -> Column:
-    """(bucket, count) of the hashed words as SQL, for checks of the provider on ASCII text."""
-    tokens = F.filter(F.split(F.lower(C.text(text)), r"\s+"), lambda w: w != "")
-    step = lambda h, i, w: ((h.bitwiseXOR(F.ascii(F.substring(w, i, F.lit(1))).cast("long"))) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.transform(tokens, lambda w: F.aggregate(F.sequence(F.lit(1), F.length(w)), F.lit(2166136261).cast("long"), lambda h, i: step(h, i, w)) % width)

@@ -3,13 +3,17 @@
 A small tree is built from the token stream with the end tags that HTML lets authors leave out. Title
 and canonical link are read first; page chrome is taken out; the first main, else article, else body
 is rendered. One vectorised pass over the pages; everything around it stays in Spark expressions.
+
+Nothing recurses: rendering functions are generators that hand each other to ``call``, which keeps them
+on a stack of its own, so markup may be nested as deep as a page likes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
@@ -78,13 +82,21 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#document")
         self.open = [self.root]
+        self.count: Counter[str] = Counter()  # open elements by tag, so that nothing is searched that is not open
+
+    def _close(self, i: int) -> None:
+        for n in self.open[i:]:
+            self.count[n.tag] -= 1
+        del self.open[i:]
 
     def _close_to(self, tags: set[str], stop: set[str]) -> None:
+        if not any(self.count[t] for t in tags):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in stop:
                 return
             if self.open[i].tag in tags:
-                del self.open[i:]
+                self._close(i)
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -99,16 +111,19 @@ class _Builder(HTMLParser):
         self.open[-1].children.append(node)
         if tag not in _VOID:
             self.open.append(node)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in _VOID and self.open[-1].tag == tag and tag not in _BLOCK:
-            self.open.pop()
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.count[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self._close(i)
                 return
 
     def handle_data(self, data: str) -> None:
@@ -158,15 +173,25 @@ def _self_link(n: Node) -> bool:
     return not label or label.startswith("#") or label.lower() in _LABELS
 
 
+def holding(root: Node, tags: frozenset[str]) -> set[int]:
+    """Which nodes hold an element of these tags, at whatever depth, by ``id``."""
+    out: set[int] = set()
+    for n in reversed(list(root.walk())):
+        if any(isinstance(c, Node) and (c.tag in tags or id(c) in out) for c in n.children):
+            out.add(id(n))
+    return out
+
+
 def strip_chrome(n: Node) -> None:
     """Take out chrome, hidden elements, menus in disclosures and self links."""
+    menus = holding(n, frozenset(("nav",)))
     stack = [n]
     while stack:
         at = stack.pop()
         kept: list[Node | str] = []
         for c in at.children:
             if isinstance(c, Node):
-                menu = c.tag in ("details", "summary") and c.first("nav") is not None
+                menu = c.tag in ("details", "summary") and id(c) in menus
                 if c.tag in _DROP or _hidden(c) or menu or (c.tag == "a" and _self_link(c)):
                     continue
                 stack.append(c)
@@ -190,9 +215,24 @@ def _plain(s: str) -> str:
     return s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") if "<" in s or ">" in s else s
 
 
+def call(work: Generator) -> object:
+    """The result of a generator that yields generators and is sent their results."""
+    stack, value = [work], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
 class _Markdown:
-    def __init__(self, url: str) -> None:
-        self.url = url
+    """Rendering of one tree; every method that goes into children is a generator for ``call``."""
+
+    def __init__(self, url: str, root: Node) -> None:
+        self.url, self.held = url, holding(root, _BLOCK)
 
     def link(self, href: str) -> str:
         try:
@@ -200,7 +240,7 @@ class _Markdown:
         except ValueError:
             return href
 
-    def inline(self, nodes: list[Node | str]) -> str:
+    def inline(self, nodes: list[Node | str]) -> Generator:
         out: list[str] = []
         for n in nodes:
             if isinstance(n, str):
@@ -217,7 +257,7 @@ class _Markdown:
                 pad = " " if body.startswith("`") or body.endswith("`") else ""
                 out.append(f"{ticks}{pad}{body}{pad}{ticks}" if body else "")
             else:
-                inner = self.inline(n.children)
+                inner = yield self.inline(n.children)
                 mark = {"strong": "**", "b": "**", "em": "*", "i": "*", "del": "~~", "s": "~~"}.get(n.tag)
                 if mark and inner.strip():
                     lead, tail = inner[: len(inner) - len(inner.lstrip())], inner[len(inner.rstrip()) :]
@@ -229,44 +269,41 @@ class _Markdown:
                     out.append(inner)
         return "".join(out)
 
-    def paragraph(self, nodes: list[Node | str]) -> str:
-        lines = [_SPACE.sub(" ", x).strip() for x in re.sub(r"  \n", "\x00", self.inline(nodes)).split("\x00")]
+    def paragraph(self, nodes: list[Node | str]) -> Generator:
+        text = yield self.inline(nodes)
+        lines = [_SPACE.sub(" ", x).strip() for x in re.sub(r"  \n", "\x00", text).split("\x00")]
         return "  \n".join(x for x in lines if x)
 
-    def blocks(self, nodes: list[Node | str]) -> list[str]:
+    def blocks(self, nodes: list[Node | str]) -> Generator:
         out: list[str] = []
         run: list[Node | str] = []
-
-        def flush() -> None:
-            if run and (p := self.paragraph(run)):
-                out.append(p)
-            run.clear()
-
-        for n in nodes:
-            if isinstance(n, Node) and (n.tag in _BLOCK or any(c.tag in _BLOCK for c in n.walk())):
-                flush()
-                out += self.block(n)
-            else:
+        for n in [*nodes, None]:
+            if isinstance(n, str) or (n is not None and n.tag not in _BLOCK and id(n) not in self.held):
                 run.append(n)
-        flush()
+                continue
+            if run and (p := (yield self.paragraph(run))):
+                out.append(p)
+            run = []
+            if n is not None:
+                out += yield self.block(n)
         return out
 
-    def block(self, n: Node) -> list[str]:
+    def block(self, n: Node) -> Generator:
         if level := _HEADINGS.get(n.tag):
-            body = self.paragraph(n.children).replace("  \n", " ")
+            body = (yield self.paragraph(n.children)).replace("  \n", " ")
             return [f"{'#' * level} {body}"] if body else []
         if n.tag == "pre":
             return [self.fence(n)]
         if n.tag == "hr":
             return ["* * *"]
         if n.tag in ("ul", "ol", "menu", "dir"):
-            return [x] if (x := self.list(n)) else []
+            return [x] if (x := (yield self.list(n))) else []
         if n.tag == "table":
-            return [x] if (x := self.table(n)) else []
+            return [x] if (x := (yield self.table(n))) else []
         if n.tag == "blockquote":
-            body = "\n\n".join(self.blocks(n.children))
+            body = "\n\n".join((yield self.blocks(n.children)))
             return ["\n".join(f"> {x}".rstrip() for x in body.split("\n"))] if body else []
-        return self.blocks(n.children)
+        return (yield self.blocks(n.children))
 
     def fence(self, n: Node) -> str:
         code = n.first("code") or n
@@ -276,7 +313,7 @@ class _Markdown:
         ticks = "`" * max(3, 1 + max((len(m) for m in re.findall("`+", body)), default=0))
         return f"{ticks}{language}\n{body}\n{ticks}"
 
-    def list(self, n: Node) -> str:
+    def list(self, n: Node) -> Generator:
         try:
             number = int(n.attrs.get("start", "1"))
         except ValueError:
@@ -287,19 +324,26 @@ class _Markdown:
                 continue
             mark = f"{number}. " if n.tag == "ol" else "- "
             number += 1
-            inner = self.blocks(c.children) if c.tag == "li" else self.blocks([c])
+            inner = yield self.blocks(c.children if c.tag == "li" else [c])
             tight = all(not isinstance(x, Node) or x.tag != "p" for x in c.children)
             body = ("\n" if tight else "\n\n").join(inner)
             lines = body.split("\n")
             items.append(mark + "\n".join([lines[0], *[" " * len(mark) + x if x else "" for x in lines[1:]]]))
         return "\n".join(items)
 
-    def table(self, n: Node) -> str:
+    def table(self, n: Node) -> Generator:
         rows = []
-        for r in n.walk():
-            if r.tag == "tr":
-                cells = [c for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")]
-                rows.append([self.paragraph(c.children).replace("  \n", "<br>").replace("|", "\\|") for c in cells])
+        stack: list[Node] = [n]
+        while stack:
+            r = stack.pop()
+            if r.tag != "tr":  # a table in a cell has rows of its own
+                stack += [c for c in reversed(r.children) if isinstance(c, Node) and (c.tag != "table" or r is n)]
+            else:
+                cells = []
+                for c in r.children:
+                    if isinstance(c, Node) and c.tag in ("td", "th"):
+                        cells.append((yield self.paragraph(c.children)).replace("  \n", "<br>").replace("|", "\\|"))
+                rows.append(cells)
         rows = [r for r in rows if r]
         if not rows:
             return ""
@@ -318,7 +362,7 @@ def to_markdown(page: str, url: str) -> tuple[str, str, str] | None:
     root = tree(page)
     title, canonical = title_of(root), canonical_of(root, url)
     strip_chrome(root)
-    body = "\n\n".join(_Markdown(url).blocks(content_root(root).children)).strip("\n") + "\n"
+    body = "\n\n".join(call(_Markdown(url, root).blocks(content_root(root).children))).strip("\n") + "\n"
     if not _FENCE_LINE.sub("", body).strip():
         return None
     return title, canonical, body

@@ -69,7 +69,10 @@ def resolve(libraries: DataFrame, name: str, query: str, counts: DataFrame | Non
 
 
 def siblings(matches: DataFrame) -> DataFrame:
-    """(library_id, others): other ids of the same name, the greatest first."""
-    other = matches.select(F.col("library_id").alias("other"), F.col("name").alias("n"))
-    pairs = matches.join(other, (F.col("name") == F.col("n")) & (F.col("library_id") != F.col("other")))
-    return pairs.groupBy("library_id").agg(F.sort_array(F.collect_list("other"), asc=False).alias("others"))
+    """(library_id, others): other ids of the same name, the greatest first; ids without others left out.
+
+    The ids of a name are gathered once and joined back, so work grows with the ids and not their pairs.
+    """
+    names = matches.groupBy("name").agg(F.sort_array(F.collect_set("library_id"), asc=False).alias("ids")).where(F.size("ids") > 1)
+    rows = matches.select("library_id", "name").distinct().join(names, "name")
+    return rows.select("library_id", F.filter("ids", lambda x: x != F.col("library_id")).alias("others"))

@@ -14,6 +14,7 @@ import re
 import sys
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -86,33 +87,44 @@ def dense_topk(chunks: DataFrame, vector: list[float], k: int = DENSE_K, key: st
 def dense_topk_batch(chunks: DataFrame, queries: DataFrame, k: int = DENSE_K, key: str = "chunk_id", embedding: str = "embedding", block: int = 1024) -> DataFrame:
     """Nearest chunks of every query (query_id, vector): (query_id, key, score, rank).
 
-    The queries are the stated set; they go to the chunks in blocks, and every Arrow batch of chunks
-    keeps its k best of each query, so what is shuffled is bounded by batches, queries and k.
+    The queries are the stated set; they go to the chunks in blocks. A task keeps the k best of each query
+    over all its batches by partial selection and sends them once, so what is shuffled is bounded by
+    tasks, queries and k. Ties go to the lesser key.
     """
-    import numpy as np
-
-    rows = queries.select("query_id", "vector").orderBy("query_id")
     ids, vectors = [], []
-    for r in rows.toLocalIterator():
+    for r in queries.select("query_id", "vector").orderBy("query_id").toLocalIterator():
         ids.append(r[0])
         vectors.append(r[1])
 
+    spark = chunks.sparkSession
+
     def search(lo: int):
         own = np.array(vectors[lo : lo + block], np.float64)
         own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)
-        names = np.array(ids[lo : lo + block])
+        sent = spark.sparkContext.broadcast((own, ids[lo : lo + block]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, names = sent.value
+            best_d, best_k = np.zeros((len(names), 0)), None
             for b in batches:
-                if not b.num_rows:
+                if not b.num_rows or not len(names):
                     continue
                 m = np.asarray(b.column("e").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
                 norm = np.linalg.norm(m, axis=1, keepdims=True)
                 d = 1.0 - own @ (m / np.maximum(norm, 1e-300)).T
                 d[:, norm.ravel() == 0] = 1.0
                 keys = b.column("k").to_numpy(zero_copy_only=False)
-                order = np.lexsort((np.broadcast_to(keys, d.shape), d), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, order.shape[1])), pa.array(keys[order.ravel()]), pa.array(np.take_along_axis(d, order, 1).ravel())], ["query_id", "k", "score"])
+                if d.shape[1] > k:
+                    # What is not farther than the k-th nearest, ties and all, before the sort.
+                    limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                    some = np.flatnonzero((d <= limit).any(axis=0))
+                    d, keys = d[:, some], keys[some]
+                keys = np.broadcast_to(keys, d.shape)
+                d, keys = (np.concatenate(x, axis=1) for x in ((best_d, d), (best_k if best_k is not None else keys[:, :0], keys)))
+                order = np.lexsort((keys, d), axis=1)[:, :k]
+                best_d, best_k = np.take_along_axis(d, order, 1), np.take_along_axis(keys, order, 1)
+            if best_k is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names), best_d.shape[1])), pa.array(best_k.ravel()), pa.array(best_d.ravel())], ["query_id", "k", "score"])
 
         return run
 
@@ -131,21 +143,31 @@ def lexical_text(title: str = "title", heading: str = "heading_path", content: s
     return F.concat_ws("\n", C.text(title), C.text(heading), C.text(content))
 
 
-def postings(docs: DataFrame, key: str, text: Column | str) -> DataFrame:
-    """(key, term, tf) of every text; counted inside the document, so nothing is shuffled."""
-    kind = dict(docs.dtypes)[key]
+def postings(docs: DataFrame, key: str, text: Column | str, extra: tuple[str, ...] | None = None) -> DataFrame:
+    """(key, term, tf) of every text; counted inside the document, so nothing is shuffled.
+
+    With ``extra`` columns, also the text's number of terms as ``length``, and those columns.
+    """
+    kinds = dict(docs.dtypes)
+    kept = [key, *(extra or ())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, terms, tfs = [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            sizes, terms, tfs, lengths = [], [], [], []
+            for t in b.column(len(kept)).to_pylist():
                 counts = terms_of(t)
-                keys += [k] * len(counts)
+                sizes.append(len(counts))
                 terms += counts.keys()
                 tfs += counts.values()
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(terms, pa.string()), pa.array(tfs, pa.int64())], [key, "term", "tf"])
+                lengths += [sum(counts.values())] * len(counts)
+            own = pa.array(np.repeat(np.arange(b.num_rows), sizes))
+            columns = {"term": pa.array(terms, pa.string()), "tf": pa.array(tfs, pa.int64())} | {k: b.column(i).take(own) for i, k in enumerate(kept)}
+            if extra is not None:
+                columns["length"] = pa.array(lengths, pa.int64())
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return spread(docs.select(key, C.col(text).alias("__text"))).mapInArrow(run, f"{key} {kind}, term string, tf long")
+    schema = "term string, tf long, " + ", ".join(f"{k} {kinds[k]}" for k in kept) + (", length long" if extra is not None else "")
+    return spread(docs.select(*kept, C.col(text).alias("__text"))).mapInArrow(run, schema)
 
 
 def term_counts(docs: DataFrame, key: str, text: Column | str, terms: list[str]) -> DataFrame:
@@ -204,6 +226,24 @@ def bm25_from_postings(posted: DataFrame, n_docs: Column | int, query: str, key:
     return summed.orderBy(F.desc("score"), key).limit(k)
 
 
+def bm25_from_index(index: DataFrame, n: int, total: int, query: str, key: str = "chunk_id", k: int | None = LEXICAL_K) -> DataFrame:
+    """The same ranking from an index (term, key, tf, length) and the scope's numbers of chunks and terms.
+
+    The query's terms are pushed to the scan; nothing else is read.
+    """
+    terms = sorted(terms_of(query))
+    if not terms or not n or not total:
+        return index.select(key, F.lit(0.0).alias("score")).limit(0)
+    hits = index.where(F.col("term").isin(terms)).select(key, "term", "tf", "length")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row a query term
+    rows = hits.join(F.broadcast(df), "term")
+    score = C.bm25_term(F.col("tf").cast("double"), F.col("df").cast("double"), F.lit(float(n)), F.col("length").cast("double"), F.lit(float(total)) / F.lit(float(n)))
+    # Terms are added in their byte order, so the sum is the same in every run.
+    parts = F.array_sort(F.collect_list(F.struct("term", score.alias("s"))))
+    summed = rows.groupBy(key).agg(F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x["s"]), 12).alias("score"))
+    return summed.orderBy(F.desc("score"), key).limit(k) if k else summed
+
+
 # ---------------------------------------------------------------- fusion and trimming
 
 
@@ -248,14 +288,20 @@ def trimmed(hits: DataFrame, limit: int = FINAL, by: tuple[str, ...] = ()) -> Da
     return x.select(*hits.columns, "position").orderBy(*by, "position")
 
 
-def search(chunks: DataFrame, query: str, vector: list[float], library_id: str = "", version: str = "", final: int = FINAL) -> DataFrame:
-    """The sections that answer a query: dense hits, fused with BM25 only for technical queries."""
+def search(
+    chunks: DataFrame, query: str, vector: list[float], library_id: str = "", version: str = "", final: int = FINAL, candidates: int = DENSE_K, lexical: DataFrame | None = None
+) -> DataFrame:
+    """The sections that answer a query: dense hits, fused with BM25 only for technical queries.
+
+    ``candidates`` are how many dense hits there are before trimming; ``lexical`` (chunk_id, score) is the
+    scope's lexical ranking where an index has it, or the chunks' texts are counted.
+    """
     scope = scoped(chunks, library_id=library_id, version=version)
     meta = ["chunk_id", "source_id", "library_id", "version", "document_id", "url", "title", "heading_path", "chunk_index", "content"]
-    dense = ranked(dense_topk(scope, vector).select(*meta, "score"), "score", "chunk_id")
+    dense = ranked(dense_topk(scope, vector, candidates).select(*meta, "score"), "score", "chunk_id")
     if not is_technical(query):
         return trimmed(dense, final)
-    lexical = ranked(bm25_topk(scope, query), F.desc("score"), "chunk_id")
+    lexical = ranked(bm25_topk(scope, query) if lexical is None else lexical, F.desc("score"), "chunk_id")
     fused = ranked(rrf([dense.select("chunk_id", "rank"), lexical.select("chunk_id", "rank")]), F.desc("score"), "chunk_id")
     hits = scope.select(*meta).join(F.broadcast(fused), "chunk_id")  # two short lists at most
     return trimmed(hits, final)

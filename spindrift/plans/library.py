@@ -14,11 +14,12 @@ from ..operators import diff, embed
 from ..operators.chunking import chunk
 from ..operators.html_markdown import parse_pages
 from ..operators.resolve import LibraryNotFound, resolve, siblings
-from ..operators.retrieval import FINAL, search
+from ..operators.retrieval import DENSE_K, FINAL, search
 from ..session import settle
 from ..sources.store import ChunkStore, Registry, Source, new_library_id, parse_library_id
 from ..sources.web import Fetcher, Robots, crawl, discover
 
+IdentityMismatch = embed.IdentityMismatch
 NO_MATCH = "No indexed libraries match that name."
 NO_RESULT = "No documentation matches that query."
 # Other names that callers use for an argument.
@@ -29,23 +30,29 @@ ALIASES = {
 }
 
 
-class IdentityMismatch(RuntimeError):
-    """The index holds vectors of another kind."""
-
-
 class Library:
     """One data folder: its registry, its chunk table, one embedding provider."""
 
-    def __init__(self, spark: SparkSession, folder: str, provider: embed.Provider | None = None, **limits: int) -> None:
-        self.spark, self.provider, self.limits = spark, provider or embed.Fake(), limits
+    def __init__(self, spark: SparkSession, folder: str, provider: embed.Provider | None = None, candidates: int = DENSE_K, final: int = FINAL, **limits: int) -> None:
+        self.spark, self._provider, self.candidates, self.final, self.limits = spark, provider, candidates, final, limits
         self.store, self.registry = ChunkStore(spark, f"{folder.rstrip('/')}/chunks"), Registry(spark, folder)
 
+    @property
+    def provider(self) -> embed.Provider:
+        """The one that was given, else the default one, looked for when it is first needed."""
+        self._provider = self._provider or embed.default()
+        return self._provider
+
+    @provider.setter
+    def provider(self, provider: embed.Provider) -> None:
+        self._provider = provider
+
     # ------------------------------------------------------------ writing
 
     def _guard(self) -> None:
         recorded = self.store.identity
         if recorded and not embed.compatible(recorded, self.provider):
-            raise IdentityMismatch(f"index has {recorded}, provider is {embed.identity(self.provider)}")
+            raise embed.IdentityMismatch(f"index has {recorded}, provider is {embed.identity(self.provider)}")
 
     def sync(self, library_id: str, pages: DataFrame | Fetcher, robots: Robots | None = None, sitemap: list[str] = ()) -> dict:
         """Bring a library's chunks up to date with the pages; only what changed is embedded.
@@ -67,9 +74,10 @@ class Library:
 
     def _ingest(self, source: Source, fetched: DataFrame, n: int) -> dict:
         documents = parse_pages(fetched)
-        new = settle(diff.one_of_each(chunk(documents, source.id, source.library_id, source.version)))
-        old = self.store.read()
-        mine = old.where(F.col("source_id") == source.id)
+        # Of pages with one canonical URL, the one of the smallest page URL gives the chunks.
+        new = settle(diff.one_of_each(chunk(documents, source.id, source.library_id, source.version), order=("page_url", "document_id")))
+        base = self.store.version
+        mine = self.store.read(source.library_id)
         # The statuses are settled, so that the provider is asked once for each changed chunk.
         statuses = settle(diff.diff(new, mine))
         wanted = statuses.where(F.col("status").isin("added", "updated")).select("chunk_id")
@@ -81,7 +89,7 @@ class Library:
         width = changed.select(F.size("embedding")).take(1)
         identity = embed.identity(self.provider, width[0][0]) if width else self.store.identity
         if identity != self.store.identity or not statuses.where(F.col("status") != "unchanged").isEmpty():
-            self.store.commit(diff.apply(old, changed, statuses), identity)
+            self.store.commit(diff.apply(mine, changed, statuses), identity, [source.library_id], base)
         pages_with_text = new.select("document_id").distinct().count()
         return diff.report(statuses, pages_with_text, n - pages_with_text).first().asDict()
 
@@ -112,6 +120,7 @@ class Library:
         The swap is the last step: if anything fails, the old chunks are still there.
         """
         source = self.registry.get(library_id)
+        base = self.store.version
         others = self.store.read().where(F.col("source_id") != source.id)
         if others.isEmpty():
             width = 0
@@ -119,12 +128,12 @@ class Library:
             self._guard()
             width = self._width()
         fetched = settle(self._crawl(source, pages))
-        new = diff.one_of_each(chunk(parse_pages(fetched), source.id, source.library_id, source.version))
+        new = diff.one_of_each(chunk(parse_pages(fetched), source.id, source.library_id, source.version), order=("page_url", "document_id"))
         vectors = settle(embed.embed(new, C.embedding_text("title", "heading_path", "content"), self.provider))
         if not vectors.where(~C.is_valid_vector("embedding", width or self.provider.dims or None)).isEmpty():
             raise embed.EmbeddingError("a chunk has no valid vector")
         first = vectors.select(F.size("embedding")).take(1)
-        self.store.commit(others.unionByName(vectors.select(*others.columns)), embed.identity(self.provider, first[0][0]) if first else None)
+        self.store.commit(vectors.select(*others.columns), embed.identity(self.provider, first[0][0]) if first else None, [source.library_id], base)
         return {"indexed": vectors.count()}
 
     # ------------------------------------------------------------ reading
@@ -147,14 +156,14 @@ class Library:
     def resolve(self, name: str, query: str = "") -> DataFrame:
         return resolve(self.registry.table(), name, query, self.counts())
 
-    def query(self, library_id: str, query: str, final: int = FINAL) -> DataFrame:
-        """The sections of an indexed library that answer a query, at most ``final``."""
+    def query(self, library_id: str, query: str, final: int | None = None) -> DataFrame:
+        """The sections of an indexed library that answer a query, at most ``final``, or the library's own number."""
         version = parse_library_id(library_id)[2]
-        chunks = self.store.read().where(F.col("library_id") == library_id)
+        chunks = self.store.read(library_id)
         if chunks.isEmpty():
             raise LibraryNotFound(f"{library_id} is not indexed")
         vector = embed.check(self.provider.embed([query]), 1, self._width())[0]
-        return search(chunks, query, vector, library_id, version, final)
+        return search(chunks, query, vector, library_id, version, self.final if final is None else final, self.candidates, self.store.lexical(library_id, query))
 
 
 # ---------------------------------------------------------------- the two tools, as text

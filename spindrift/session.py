@@ -44,12 +44,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only where none is named."""
+    """The folder the cluster names for checkpoints; a temporary one only in local mode, where it is shared."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if named:
         return named
     if current.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spindrift-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -74,10 +76,15 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+SPREAD_BYTES = 256 << 20  # what is dealt out, at most
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over all cores if it has fewer partitions than there are, as one small file has.
+    """``df`` dealt over all cores if it is small, as one file of one row group would be read by one task.
 
-    A table of many files or row groups keeps its partitions, and nothing is shuffled.
+    Told by the optimizer's estimate, so nothing is run; a table over SPREAD_BYTES keeps its partitions,
+    and nothing of it is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

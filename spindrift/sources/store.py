@@ -1,8 +1,12 @@
-"""Stored state: the chunk table as snapshots behind a pointer, the registry, the settings.
+"""Stored state: the chunk table as a log of manifests, its lexical index, the registry, the settings.
 
-A snapshot is a Parquet folder that is never written again. A commit writes the next one and then
-renames a small pointer file over the old pointer; a reader resolves the pointer once, so it sees the
-old table or the new one and nothing between.
+Data are Parquet folders that are never written again, one for each library and commit. A manifest
+names the folders of every library; a commit writes the folders of the libraries it changes, and only
+those, and then puts the next manifest in place, which succeeds for one writer only. A reader resolves
+the newest manifest once, so it sees the old table or the new one and nothing between.
+
+Beside a library's chunks a commit writes their postings, sorted by term, and keeps the library's number
+of chunks and terms in the manifest, so a lexical search reads its terms' row groups and no text.
 """
 
 from __future__ import annotations
@@ -10,13 +14,17 @@ from __future__ import annotations
 import json
 import os
 import tomllib
+import uuid
 from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
+from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import retrieval
 from ..operators.diff import one_of_each
 
 CHUNKS = (
@@ -33,6 +41,10 @@ class InvalidChunk(ValueError):
     """A chunk that must not be stored."""
 
 
+class CommitConflict(RuntimeError):
+    """Another commit has changed what this one is based on; nothing of this one is visible."""
+
+
 class Files:
     """Small files on whatever file system Spark has, local or remote."""
 
@@ -68,46 +80,93 @@ class Files:
         array[0] = options.OVERWRITE
         context.rename(temporary, path, array)
 
+    def create(self, name: str, text: str) -> bool:
+        """Whole, and only if there is no file of that name; whether it was written."""
+        path, fs = self._path(name)
+        temporary, _ = self._path(f".{uuid.uuid4().hex}.new")
+        stream = fs.create(temporary, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        fs.mkdirs(path.getParent())
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.conf)
+        options = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.org.apache.hadoop.fs.Options.Rename.NONE.getClass(), 0)
+        try:
+            context.rename(temporary, path, options)
+        except Py4JJavaError as e:
+            fs.delete(temporary, True)
+            if "FileAlreadyExists" in str(e.java_exception.getClass()):
+                return False
+            raise
+        return True
+
+    def make(self, name: str) -> None:
+        path, fs = self._path(name)
+        fs.mkdirs(path)
+
     def delete(self, name: str) -> None:
         path, fs = self._path(name)
         fs.delete(path, True)
 
-    def list(self) -> list[str]:
-        path, fs = self._path("")
+    def list(self, name: str = "") -> list[str]:
+        path, fs = self._path(name)
         return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
 
+NAMES = [f.split(" ")[0] for f in CHUNKS.split(", ")]
+SALT = 16
+POSTINGS = "term string, chunk_id string, tf long, length long, library_id string"
+
+
 class ChunkStore:
-    """The chunk table of one folder."""
+    """The chunk table of one folder. ``keep`` manifests before the newest stay, with all that they name."""
 
     def __init__(self, spark: SparkSession, folder: str, keep: int = 2) -> None:
         self.spark, self.folder, self.files, self.keep = spark, folder.rstrip("/"), Files(spark, folder), keep
 
+    # ------------------------------------------------------------ manifests
+
+    def _numbers(self) -> list[int]:
+        return sorted(int(x.split(".")[0]) for x in self.files.list("manifests") if x.endswith(".json"))
+
+    def _manifest(self, n: int) -> dict:
+        return json.loads(self.files.read(f"manifests/{n:012d}.json") or '{"version": 0, "identity": "", "libraries": {}}')
+
     def _state(self) -> dict:
-        return json.loads(self.files.read("CURRENT") or '{"snapshot": 0, "identity": ""}')
+        return self._manifest(max(self._numbers(), default=0))
 
     @property
     def identity(self) -> str:
         return self._state()["identity"]
 
-    def read(self) -> DataFrame:
-        """The table as it is now; partitioned by library, so a library's clause prunes folders."""
-        n = self._state()["snapshot"]
-        if not n:
-            return self.spark.createDataFrame([], CHUNKS)
-        names = [f.split(" ")[0] for f in CHUNKS.split(", ")]
-        return self.spark.read.schema(CHUNKS).parquet(f"{self.folder}/snapshot={n}").select(*names)
-
-    def commit(self, chunks: DataFrame, identity: str | None = None) -> int:
-        """Make this the table. The new snapshot may read the old one: nothing is overwritten."""
-        state = self._state()
-        n = state["snapshot"] + 1
-        names = [f.split(" ")[0] for f in CHUNKS.split(", ")]
-        chunks.select(*names).write.mode("overwrite").partitionBy("library_id").parquet(f"{self.folder}/snapshot={n}")
-        self.files.write("CURRENT", json.dumps({"snapshot": n, "identity": state["identity"] if identity is None else identity}))
-        for old in [x for x in self.files.list() if x.startswith("snapshot=") and int(x.split("=")[1]) <= n - self.keep]:
-            self.files.delete(old)
-        return n
+    @property
+    def version(self) -> int:
+        """The number of the newest commit; give it to ``commit`` to build on what was read."""
+        return self._state()["version"]
+
+    # ------------------------------------------------------------ reading
+
+    def _read(self, kind: str, schema: str, library_id: str, state: dict | None = None) -> DataFrame:
+        known = (state or self._state())["libraries"]
+        paths = [f"{self.folder}/{kind}/{x['folder']}" for name, x in known.items() if library_id in ("", name)]
+        names = [f.split(" ")[0] for f in schema.split(", ")]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.folder}/{kind}").parquet(*paths).select(*names)
+
+    def read(self, library_id: str = "", state: dict | None = None) -> DataFrame:
+        """The table as it is now, or one library of it; partitioned by library, so a library's clause prunes folders."""
+        return self._read("chunks", CHUNKS, library_id, state)
+
+    def listing(self, source_id: str = "", library_id: str = "", version: str = "") -> DataFrame:
+        """The chunks of a scope, by id."""
+        return retrieval.scoped(self.read(library_id), source_id, library_id, version).orderBy("chunk_id")
+
+    def lexical(self, library_id: str, query: str, k: int | None = retrieval.LEXICAL_K) -> DataFrame:
+        """(chunk_id, score) of a library's best chunks by BM25, from the stored postings."""
+        known = self._state()["libraries"].get(library_id, {"n": 0, "total": 0})
+        return retrieval.bm25_from_index(self._read("postings", POSTINGS, library_id), known["n"], known["total"], query, "chunk_id", k)
 
     def get(self, chunk_id: str) -> dict:
         rows = self.read().where(F.col("chunk_id") == chunk_id).take(1)
@@ -115,20 +174,92 @@ class ChunkStore:
             raise ChunkNotFound(chunk_id)
         return rows[0].asDict()
 
-    def upsert(self, chunks: DataFrame, identity: str | None = None) -> int:
-        """Replace by id, the last of an id in one batch; a blank id is an error and nothing is written."""
+    # ------------------------------------------------------------ writing
+
+    def commit(self, chunks: DataFrame, identity: str | None = None, libraries: list[str] | None = None, base: int | None = None) -> int:
+        """Make these the chunks of ``libraries``, or of the whole table if None; the others stay as they are.
+
+        A commit that another writer made since ``base`` (by default, since this one began) is a conflict
+        if it has changed one of these libraries or the identity; else this one goes on top of it.
+        """
+        began = self._manifest(base) if base is not None else self._state()
+        folder = f"commit={began['version'] + 1}-{uuid.uuid4().hex[:12]}"
+        rows = chunks.select(*NAMES)
+        if libraries is not None:
+            rows = rows.where(F.col("library_id").isin(list(libraries)))
+        rows.write.partitionBy("library_id").parquet(f"{self.folder}/chunks/{folder}")
+        stored = self.spark.read.schema(CHUNKS).parquet(f"{self.folder}/chunks/{folder}")
+        posted = retrieval.postings(stored.withColumn("__text", retrieval.lexical_text()), "chunk_id", "__text", ("library_id",))
+        # A term that most chunks have is dealt over SALT tasks.
+        posted.repartition("library_id", "term", F.pmod(F.xxhash64("chunk_id"), F.lit(SALT))).sortWithinPartitions("library_id", "term", "chunk_id").write.partitionBy("library_id").parquet(f"{self.folder}/postings/{folder}")
+        index = self.spark.read.schema(POSTINGS).parquet(f"{self.folder}/postings/{folder}")
+        # Sizes of libraries, of which there are few: one row each. Chunks without a term count too.
+        n = {r[0]: r[1] for r in stored.groupBy("library_id").agg(F.count("*")).collect()}
+        total = {r[0]: r[1] for r in index.groupBy("library_id").agg(F.sum("tf")).collect()}
+        places = {}
+        for x in self.files.list(f"chunks/{folder}"):
+            if x.startswith("library_id="):
+                places[unquote(x.split("=", 1)[1])] = f"{folder}/{x}"
+        new = {k: {"folder": places[k], "n": n[k], "total": total.get(k, 0)} for k in n}
+        for k in set(new) - set(total):  # a library of which no chunk has a term has no postings yet
+            self.files.make(f"postings/{places[k]}")
+        while True:
+            now = self._state()
+            if now["version"] != began["version"]:
+                mine = set(libraries) if libraries is not None else set(now["libraries"]) | set(began["libraries"])
+                if now["identity"] != began["identity"] or any(now["libraries"].get(k) != began["libraries"].get(k) for k in mine):
+                    raise CommitConflict(f"version {now['version']} has changed what is based on version {began['version']}")
+            kept = {} if libraries is None else {k: v for k, v in now["libraries"].items() if k not in set(libraries)}
+            version = now["version"] + 1
+            state = {"version": version, "identity": now["identity"] if identity is None else identity, "libraries": kept | new}
+            if self.files.create(f"manifests/{version:012d}.json", json.dumps(state)):
+                break
+        self._clean(version)
+        return version
+
+    def _clean(self, version: int) -> None:
+        """Delete old manifests, and the folders that only they name."""
+        numbers = self._numbers()
+        old, kept = [x for x in numbers if x <= version - self.keep], [x for x in numbers if x > version - self.keep]
+        used = {x["folder"] for n in kept for x in self._manifest(n)["libraries"].values()}
+        for n in old:
+            for x in self._manifest(n)["libraries"].values():
+                if x["folder"] not in used:
+                    for kind in ("chunks", "postings"):
+                        self.files.delete(f"{kind}/{x['folder']}")
+            self.files.delete(f"manifests/{n:012d}.json")
+
+    def upsert(self, chunks: DataFrame, identity: str | None = None, vectors: DataFrame | None = None) -> int:
+        """Replace by id; a blank id is an error and nothing is written.
+
+        Of an id that stands twice in the batch, the first by URL, content hash and place is taken.
+        ``vectors`` (chunk_id, embedding) go before a chunk's own vector where they hold one.
+        """
         if not chunks.where(F.trim(C.text("chunk_id")) == "").isEmpty():
             raise InvalidChunk("a chunk has no id")
-        new = one_of_each(chunks)
-        return self.commit(self.read().join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new.select(*self.read().columns)), identity)
+        base = self._state()
+        new = one_of_each(chunks, order=("url", "content_hash", "chunk_index"))
+        if vectors is not None:
+            given = vectors.where(F.size("embedding") > 0).groupBy("chunk_id").agg(F.min("embedding").alias("__vector"))
+            new = new.join(given, "chunk_id", "left").withColumn("embedding", F.coalesce("__vector", "embedding"))
+        old = self.read(state=base)
+        touched = [r[0] for r in new.select("library_id").union(old.join(new.select("chunk_id"), "chunk_id", "left_semi").select("library_id")).distinct().collect()]
+        left = old.where(F.col("library_id").isin(touched)).join(new.select("chunk_id"), "chunk_id", "left_anti")
+        return self.commit(left.unionByName(new.select(*NAMES)), identity, touched, base["version"])
 
     def delete(self, ids: list[str] | DataFrame) -> int:
         gone = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "chunk_id string")
-        return self.commit(self.read().join(gone, "chunk_id", "left_anti"))
+        base = self._state()
+        old = self.read(state=base)
+        touched = [r[0] for r in old.join(gone, "chunk_id", "left_semi").select("library_id").distinct().collect()]
+        return self.commit(old.where(F.col("library_id").isin(touched)).join(gone, "chunk_id", "left_anti"), None, touched, base["version"])
 
     def delete_source(self, source_id: str) -> int:
-        left = self.read().where(F.col("source_id") != source_id)
-        return self.commit(left, "" if left.isEmpty() else None)
+        base = self._state()
+        old = self.read(state=base)
+        touched = [r[0] for r in old.where(F.col("source_id") == source_id).select("library_id").distinct().collect()]
+        left = old.where(F.col("source_id") != source_id)
+        return self.commit(left.where(F.col("library_id").isin(touched)), "" if left.isEmpty() else None, touched, base["version"])
 
 
 # ---------------------------------------------------------------- registry
@@ -243,6 +374,8 @@ class Config:
         for name in ("concurrency", "max_pages", "max_depth", "max_body_bytes", "candidate_count", "final_chunks"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive, not {getattr(self, name)}")
+        if self.candidate_count < self.final_chunks:
+            raise ValueError(f"candidate_count ({self.candidate_count}) must be at least final_chunks ({self.final_chunks})")
         if not self.data_path.strip():
             raise ValueError("data.path is required")
         if self.provider not in ("default", "local", "ollama", "openai", "fake"):

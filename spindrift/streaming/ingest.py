@@ -23,19 +23,26 @@ def latest(pages: DataFrame, time: str = "fetched_at", delay: str = "1 hour") ->
 def apply_batch(store: ChunkStore, source: Source, provider: embed.Provider, pages: DataFrame) -> dict:
     """Upsert one batch of pages of a library. Chunks that a page of the batch no longer has go.
 
+    Vectors of another identity than the index's are refused before anything is fetched or embedded.
     Pages that are not in the batch keep their chunks: what has left the site is for a full sync.
     """
-    one = diff.one_of_each(pages.select("url", "html"), "url", ("html",))
-    documents = settle(parse_pages(one))
-    new = settle(diff.one_of_each(chunk(documents, source.id, source.library_id, source.version)))
-    mine = store.read().where(F.col("source_id") == source.id).join(documents.select("document_id"), "document_id", "left_semi")
+    recorded, base = store.identity, store.version
+    if recorded and not embed.compatible(recorded, provider):
+        raise embed.IdentityMismatch(f"index has {recorded}, provider is {embed.identity(provider)}")
+    one = settle(diff.one_of_each(pages.select("url", "html"), "url", ("html",)))
+    new = settle(diff.one_of_each(chunk(parse_pages(one), source.id, source.library_id, source.version), order=("page_url", "document_id")))
+    # Of all pages of the batch, also of those that have become empty.
+    whole = store.read(source.library_id)
+    mine = whole.join(one.select(C.short_sha("url").alias("document_id")), "document_id", "left_semi")
     statuses = settle(diff.diff(new, mine))
     wanted = statuses.where(F.col("status").isin("added", "updated")).select("chunk_id")
     changed = settle(embed.embed(new.join(wanted, "chunk_id", "left_semi"), C.embedding_text("title", "heading_path", "content"), provider))
-    if not changed.where(~C.is_valid_vector("embedding")).isEmpty():
+    width = (embed.parse_identity(recorded, provider) or 0) if recorded else provider.dims
+    if not changed.where(~C.is_valid_vector("embedding", width or None)).isEmpty():
         raise embed.EmbeddingError("a chunk has no valid vector")
     if not statuses.where(F.col("status") != "unchanged").isEmpty():
-        store.commit(diff.apply(store.read(), changed, statuses), embed.identity(provider))
+        first = changed.select(F.size("embedding")).take(1)
+        store.commit(diff.apply(whole, changed, statuses), embed.identity(provider, first[0][0]) if first else recorded, [source.library_id], base)
     return diff.report(statuses).first().asDict()
 
 

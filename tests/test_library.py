@@ -4,7 +4,7 @@ import pytest
 
 from spindrift.operators import embed
 from spindrift.plans.library import IdentityMismatch, Library, argument, call_tool
-from spindrift.sources.store import ChunkNotFound, ChunkStore, InvalidChunk, Registry, Source, load_config, new_library_id, parse_library_id
+from spindrift.sources.store import ChunkNotFound, ChunkStore, CommitConflict, InvalidChunk, Registry, Source, load_config, new_library_id, parse_library_id
 from spindrift.streaming import ingest
 
 SITE = {
@@ -20,7 +20,7 @@ def site(spark, pages):
 
 @pytest.fixture
 def library(spark, tmp_path):
-    lib = Library(spark, str(tmp_path))
+    lib = Library(spark, str(tmp_path), embed.Fake())
     lib.report = lib.add("Acme Docs", "https://s.test/docs", site(spark, SITE), description="Guide of acme")
     return lib
 
@@ -143,6 +143,24 @@ def test_stream_batch(spark, tmp_path):
     page = {"/docs/auth": "<main><h1>Auth</h1><p>Changed.</p></main>"}
     second = ingest.apply_batch(store, source, embed.Fake(), site(spark, page))
     assert (second["updated"], second["removed"], store.read().count()) == (1, 1, 3)
+    # A page that has become empty loses its chunks; vectors of another kind are refused.
+    third = ingest.apply_batch(store, source, embed.Fake(), site(spark, {"/docs/tools": "<main></main>"}))
+    assert (third["removed"], store.read().count()) == (1, 2)
+    with pytest.raises(IdentityMismatch):
+        ingest.apply_batch(store, source, embed.Fake(model="other"), site(spark, page))
+
+
+def test_stream_with_a_width_of_its_own(spark, tmp_path):
+    """A provider that tells its width only by answering is recorded with that width, and may go on."""
+
+    class Silent(embed.Fake):
+        def embed(self, texts):
+            return [embed.fake_vector(t, 8) for t in texts]
+
+    store, source = ChunkStore(spark, str(tmp_path / "c")), Source("/local/s", "S", "https://s.test/docs", id="sid")
+    ingest.apply_batch(store, source, Silent(dims=0), site(spark, SITE))
+    assert store.identity == "fake/fake-model/8/title-heading-v1"
+    assert ingest.apply_batch(store, source, Silent(dims=0), site(spark, SITE))["unchanged"] == 4
 
 
 def test_stream(spark, tmp_path):
@@ -155,6 +173,71 @@ def test_stream(spark, tmp_path):
     assert store.read().count() == 4
 
 
+def test_store_writes_only_what_changes(spark, tmp_path):
+    """A commit of one library leaves the others' folders; of two writers on one library, one fails and is not seen."""
+    store = ChunkStore(spark, str(tmp_path / "c"))
+    row = lambda i, lib, content="alpha beta": (i, lib, f"/local/{lib}", "", "d", "u", "", "", 0, content, "h", [1.0])
+    frame = lambda *rows: spark.createDataFrame(list(rows), store.read().schema)
+    store.commit(frame(row("1", "a"), row("2", "b"), row("3", "b", "beta beta gamma")), "id")
+    before = store._state()["libraries"]
+    base = store.version
+    store.commit(frame(row("1", "a", "delta")), None, ["/local/a"], base)
+    after = store._state()["libraries"]
+    assert after["/local/b"] == before["/local/b"] and after["/local/a"] != before["/local/a"]
+    store.commit(frame(row("2", "b", "epsilon")), None, ["/local/b"], base)  # other libraries moved on: no conflict
+    with pytest.raises(CommitConflict):
+        store.commit(frame(row("9", "a")), None, ["/local/a"], base)
+    assert sorted((r.chunk_id, r.content) for r in store.read().collect()) == [("1", "delta"), ("2", "epsilon")]
+    assert store.files.create(f"manifests/{store.version:012d}.json", "{}") is False  # whoever comes second
+    assert store.delete(["1"]) and "/local/a" not in store._state()["libraries"] and store.read("/local/a").count() == 0
+    # Vectors that are given go before the chunks' own.
+    given = spark.createDataFrame([("7", [5.0, 6.0]), ("8", [])], "chunk_id string, embedding array<float>")
+    store.upsert(frame(row("7", "c"), row("8", "c")), vectors=given)
+    assert {r.chunk_id: r.embedding for r in store.listing(library_id="/local/c").collect()} == {"7": [5.0, 6.0], "8": [1.0]}
+    for _ in range(4):
+        store.upsert(frame(row("7", "c")))
+    assert len(store.files.list("manifests")) == 2 and len(store.files.list("chunks/")) <= 7
+
+
+def test_stored_postings(spark, tmp_path):
+    """The index ranks as the texts do, and a search with it reads no text to score."""
+    from spindrift.operators import retrieval
+
+    store = ChunkStore(spark, str(tmp_path / "c"))
+    contents = ["alpha beta beta", "alpha", "", "gamma alpha alpha beta oauth.clientName", "beta alpha beta", None]
+    rows = [(str(i), "s", "/local/a", "", "d", "u", "T", "H", i, c, "h", [1.0, float(i)]) for i, c in enumerate(contents)] + [("x", "t", "/local/b", "", "d", "u", "", "", 0, "beta " * 9, "h", [1.0, 0.0])]
+    store.commit(spark.createDataFrame(rows, store.read().schema), "id")
+    for q in ("beta gamma", "oauth.clientName", "t h", "nothing", "!!"):
+        want = [(r.chunk_id, r.score) for r in retrieval.bm25_topk(store.read("/local/a"), q).collect()]
+        lexical = store.lexical("/local/a", q)
+        assert [(r.chunk_id, r.score) for r in lexical.collect()] == want
+        plan = lexical._jdf.queryExecution().executedPlan().toString()
+        assert "content" not in plan and "Python" not in plan and "Arrow" not in plan
+    plan = store.lexical("/local/a", "beta gamma")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term" in plan
+    one = retrieval.search(store.read("/local/a"), "oauth.clientName", [1.0, 0.0]).collect()
+    assert one == retrieval.search(store.read("/local/a"), "oauth.clientName", [1.0, 0.0], lexical=store.lexical("/local/a", "oauth.clientName")).collect()
+    assert store.lexical("/local/none", "beta").count() == 0
+
+
+def test_one_canonical_url(spark, tmp_path):
+    """Of pages with one canonical URL, the one of the smallest page URL gives the chunks, in every run."""
+    link = '<link rel=canonical href="https://s.test/docs/main">'
+    pages = {"/docs": '<a href="/docs/b">b</a><a href="/docs/a">a</a><p>Start.</p>', "/docs/b": f"{link}<main><h1>T</h1><p>From b.</p></main>", "/docs/a": f"{link}<main><h1>T</h1><p>From a.</p></main>"}
+    lib = Library(spark, str(tmp_path), embed.Fake())
+    lib.add("Acme", "https://s.test/docs", site(spark, pages))
+    assert [r.content for r in lib.store.read().where("url like '%main'").collect()] == ["# T\n\nFrom a."]
+
+
+def test_default_provider(tmp_path, monkeypatch):
+    monkeypatch.setenv(embed.MODEL_VARIABLE, str(tmp_path))
+    with pytest.raises(embed.EmbeddingError, match="model.onnx and tokenizer.json"):
+        embed.default()
+    for f in ("model.onnx", "tokenizer.json"):
+        (tmp_path / f).write_text("")
+    assert embed.default().name == "local"
+
+
 def test_command_line(spark, tmp_path):
     import io
     import json
@@ -162,10 +245,11 @@ def test_command_line(spark, tmp_path):
     from spindrift.__main__ import main
 
     site(spark, SITE).write.parquet(str(tmp_path / "pages"))
+    (tmp_path / "config.toml").write_text('[embedding]\nprovider = "fake"\n[search]\nfinal_chunks = 1\n')
 
     def run(*args, lines=None):
         out = io.StringIO()
-        code = main(["--data", str(tmp_path / "data"), *args], spark, out, lines)
+        code = main(["--config", str(tmp_path / "config.toml"), "--data", str(tmp_path / "data"), *args], spark, out, lines)
         return code, out.getvalue()
 
     assert run("version")[1] == "0.1.0\n"

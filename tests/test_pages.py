@@ -122,6 +122,58 @@ def test_markdown():
     )
 
 
+GOLDEN = """<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Authentication — Acme Docs</title>
+<link rel="canonical" href="https://docs.acme.test/latest/auth"></head><body><nav><a href="/latest/">Home</a></nav>
+  <main>
+    <article>
+      <h1>Authentication</h1>
+
+      <p>The Acme API uses OAuth 2.0 bearer tokens. Send the token in the
+      <code>Authorization</code> header of every request.</p>
+
+      <h2>Obtaining a token</h2>
+      <pre><code class="language-bash">curl -X POST https://api.acme.test/oauth/token \\
+  -d client_id="$ACME_CLIENT_ID"
+</code></pre>
+      <p>The response contains a <code>access_token</code> valid for one hour.</p>
+      <ul>
+        <li>Keys are scoped per environment.</li>
+        <li>Revoking a key takes effect within 60 seconds.</li>
+      </ul>
+      <p>See the
+      <a href="/latest/api">API reference</a> for header formats.</p>
+      <table>
+        <tr><th>Header</th><th>Value</th></tr>
+        <tr><td>Authorization</td><td>Bearer &lt;token&gt;</td></tr>
+      </table>
+    </article>
+  </main>
+  <aside class="sidebar"><p>On this page</p></aside><footer><p>&copy; 2026</p></footer></body></html>"""
+
+
+def test_markdown_byte_for_byte():
+    title, canonical, body = to_markdown(GOLDEN, "https://docs.acme.test/latest/auth?utm_source=newsletter")
+    assert (title, canonical) == ("Authentication", "https://docs.acme.test/latest/auth")
+    assert body == (
+        "# Authentication\n\nThe Acme API uses OAuth 2.0 bearer tokens. Send the token in the `Authorization` header of every request.\n\n## Obtaining a token\n\n"
+        '```bash\ncurl -X POST https://api.acme.test/oauth/token \\\n  -d client_id="$ACME_CLIENT_ID"\n```\n\nThe response contains a `access_token` valid for one hour.\n\n'
+        "- Keys are scoped per environment.\n- Revoking a key takes effect within 60 seconds.\n\nSee the [API reference](https://docs.acme.test/latest/api) for header formats.\n\n"
+        "| Header | Value |\n|---|---|\n| Authorization | Bearer &lt;token&gt; |\n"
+    )
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "ul><li", "blockquote", "a href=x", "section", "details", "p", "table><tr><td", "em"])
+def test_markdown_of_deep_markup(tag):
+    """Nesting of any depth neither fails nor takes long."""
+    import time
+
+    began = time.perf_counter()
+    found = to_markdown("<main>" + f"<{tag}>" * 5000 + "deep text", "https://a.test/x")
+    assert "deep text" in found[2] and time.perf_counter() - began < 10
+    assert to_markdown("<main>" + "<b>" * 3000 + "x" + "</i>" * 20_000, "https://a.test/x")[2].count("x") == 1
+    assert len(links_of("<div>" * 5000 + "<a href=y>", "https://a.test/x")) == 1
+
+
 def test_markdown_empty_and_roots():
     assert to_markdown("", "https://a.test/x") is None
     assert to_markdown("<body><nav>only</nav></body>", "https://a.test/x") is None
