@@ -208,25 +208,33 @@ class ChunkStore:
             if now["version"] != began["version"]:
                 mine = set(libraries) if libraries is not None else set(now["libraries"]) | set(began["libraries"])
                 if now["identity"] != began["identity"] or any(now["libraries"].get(k) != began["libraries"].get(k) for k in mine):
+                    self._drop(folder)
                     raise CommitConflict(f"version {now['version']} has changed what is based on version {began['version']}")
             kept = {} if libraries is None else {k: v for k, v in now["libraries"].items() if k not in set(libraries)}
             version = now["version"] + 1
             state = {"version": version, "identity": now["identity"] if identity is None else identity, "libraries": kept | new}
             if self.files.create(f"manifests/{version:012d}.json", json.dumps(state)):
                 break
+        if not new:
+            self._drop(folder)
         self._clean(version)
         return version
 
+    def _drop(self, folder: str) -> None:
+        for kind in ("chunks", "postings"):
+            self.files.delete(f"{kind}/{folder}")
+
     def _clean(self, version: int) -> None:
         """Delete old manifests, and the folders that only they name."""
         numbers = self._numbers()
         old, kept = [x for x in numbers if x <= version - self.keep], [x for x in numbers if x > version - self.keep]
         used = {x["folder"] for n in kept for x in self._manifest(n)["libraries"].values()}
+        commits = {x.split("/")[0] for x in used}
         for n in old:
             for x in self._manifest(n)["libraries"].values():
                 if x["folder"] not in used:
-                    for kind in ("chunks", "postings"):
-                        self.files.delete(f"{kind}/{x['folder']}")
+                    commit = x["folder"].split("/")[0]
+                    self._drop(x["folder"] if commit in commits else commit)
             self.files.delete(f"manifests/{n:012d}.json")
 
     def upsert(self, chunks: DataFrame, identity: str | None = None, vectors: DataFrame | None = None) -> int:
