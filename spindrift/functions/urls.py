@@ -125,22 +125,29 @@ def clean_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.concat(F.lit("/"), path), "/+", "/"), "/$", "")
 
 
-def normalized(url: Column | str) -> Column:
-    """Normal form of absolute http(s) URLs; null for anything else.
+def _escaped(c: Column, plain: str) -> Column:
+    """The characters beside letters, digits and ``plain`` as percent escapes of their UTF-8 bytes."""
+    out = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    for sign in (x for x in plain if x not in "-_."):
+        out = F.replace(out, F.lit(f"%{ord(sign):02X}"), F.lit(sign))
+    return out if "*" in plain else F.replace(out, F.lit("*"), F.lit("%2A"))
+
 
-    Keys and values are taken as they are written, so percent-encoding is not touched.
-    """
+def normalized(url: Column | str) -> Column:
+    """``normalize`` of absolute http(s) URLs; null for anything else."""
     u = F.trim(text(url))
     names = F.array(*[F.lit(x) for x in sorted(_TRACKS)])
-    pairs = F.filter(F.split(F.regexp_extract(u, _PARTS, 4), "&"), lambda p: p != "")
-    key = lambda p: F.substring_index(p, "=", 1)
-    kept = F.filter(pairs, lambda p: ~(F.array_contains(names, F.lower(key(p))) | F.lower(key(p)).rlike("^utm_.")))
-    full = F.transform(kept, lambda p: F.when(F.instr(p, "=") > 0, p).otherwise(F.concat(p, F.lit("="))))
+    plain = lambda c: F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))
+    parts = F.filter(F.split(F.regexp_extract(u, _PARTS, 4), "&"), lambda p: (p != "") & ~F.contains(p, F.lit(";")))
+    value = lambda p: F.when(F.instr(p, "=") > 0, F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise("")
     # By key, and in their own order within a key.
-    rows = F.array_sort(F.transform(full, lambda p, i: F.struct(key(p).alias("k"), i.alias("i"), p.alias("p"))))
-    query = F.array_join(F.transform(rows, lambda r: r["p"]), "&")
+    pairs = F.transform(parts, lambda p, i: F.struct(plain(F.substring_index(p, "=", 1)).alias("k"), i.alias("i"), plain(value(p)).alias("v")))
+    kept = F.filter(pairs, lambda p: ~(F.array_contains(names, F.lower(p["k"])) | F.lower(p["k"]).rlike("^utm_.")))
+    form = lambda c: F.replace(_escaped(c, "-_.~"), F.lit("%20"), F.lit("+"))
+    query = F.array_join(F.transform(F.array_sort(kept), lambda p: F.concat(form(p["k"]), F.lit("="), form(p["v"]))), "&")
     tail = F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")
-    return F.when(scheme_of(u).isin("http", "https"), F.concat(scheme_of(u), F.lit("://"), host_of(u), clean_path(path_of(u)), tail))
+    path = _escaped(clean_path(path_of(u)), "/:@!$&()*+,;=~-._'%")
+    return F.when(scheme_of(u).isin("http", "https"), F.concat(scheme_of(u), F.lit("://"), host_of(u), path, tail))
 
 
 def under(path: Column, base: str) -> Column:

@@ -5,6 +5,7 @@ Floats are rounded and every ranking ends on a unique key, so results are the sa
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,13 +15,39 @@ from ..functions import columns as C
 from ..functions import urls as U
 from ..operators import chunking, diff, embed, resolve, retrieval
 from ..operators.html_markdown import extract_links, parse_pages
-from ..session import table
+from ..session import settle, shared_folder, table
 from ..sources import web
+from ..sources.store import ChunkStore, Registry, Source
+from .library import Library
 
 QUERY = "the tionlyble heati of Thntblere reing"
 HOST, SCOPE = "thththth.example.org", "/en"
 NAME, ASKED = "Brand#1", "brand steel 1.2 economy"
 
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a query's own store, gone when the driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def _chunks_of(docs: DataFrame) -> DataFrame:
+    """Documents as chunks: the source is the library, the text the content."""
+    blank, key = F.lit(""), F.format_string("%012d", "doc_id")
+    return docs.select(
+        key.alias("chunk_id"), F.col("source").alias("source_id"), F.col("source").alias("library_id"), blank.alias("version"), key.alias("document_id"), key.alias("url"), blank.alias("title"), F.col("lang").alias("heading_path"),
+        F.lit(0).alias("chunk_index"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"), F.array(F.lit(1.0).cast("float")).alias("embedding"),
+    )
+
+
+def _store(spark: SparkSession, d: str) -> ChunkStore:
+    store = ChunkStore(spark, _folder(spark, "chunks"))
+    store.commit(_chunks_of(table(spark, d, "documents")), "made/of/1/documents")
+    return store
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -125,7 +152,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 9) AS score FROM bm25 ORDER BY bm25.score DESC, doc_id LIMIT 20")
 def bm25_postings_topk(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    posted = retrieval.postings(docs, "doc_id", "text").persist()
+    posted = settle(retrieval.postings(docs, "doc_id", "text"))
     hits = retrieval.bm25_from_postings(posted, docs.count(), QUERY, "doc_id")
     return hits.select("doc_id", F.round("score", 9).alias("score"))
 
@@ -346,9 +373,20 @@ def section_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk(parse_pages(table(spark, d, "pages")), "0123456789abcdef", "/local/pages")
 
 
-@query()
+_FNV = r"""
+words AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '\s+')) AS w FROM documents) WHERE w <> '' GROUP BY doc_id, w),
+bytes AS (SELECT w, list_transform(range(1, length(x) + 1, 2), lambda i: CAST('0x' || substring(x, i, 2) AS BIGINT)) AS b FROM (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM words))),
+hashed AS (SELECT w, list_reduce(list_prepend(2166136261, b), lambda h, c: (xor(h, c) * 16777619) % 4294967296) % 256 AS position FROM bytes),
+cells AS (SELECT doc_id, position, sum(n) AS n FROM words JOIN hashed USING (w) GROUP BY doc_id, position),
+norms AS (SELECT doc_id, sqrt(CAST(sum(n * n) AS DOUBLE)) AS norm FROM cells GROUP BY doc_id)
+"""
+
+
+@query(f"WITH {_FNV} SELECT doc_id, CAST(position AS INT) AS position, round(CAST(CAST(n / norm AS FLOAT) AS DOUBLE), 6) AS value FROM cells JOIN norms USING (doc_id)")
 def fake_embedding(spark: SparkSession, d: str) -> DataFrame:
-    return embed.embed(table(spark, d, "documents").select("doc_id", "text"), "text", embed.Fake()).select("doc_id", "embedding")
+    """Every component over 0 of every document's vector."""
+    rows = embed.embed(table(spark, d, "documents").select("doc_id", "text"), "text", embed.Fake())
+    return rows.select("doc_id", F.posexplode("embedding").alias("position", "v")).where("v > 0").select("doc_id", "position", F.round(F.col("v").cast("double"), 6).alias("value"))
 
 
 @query()
@@ -361,7 +399,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.search(embed.embed(docs, "content", provider), "theHeati query-docs " + QUERY, provider.embed([QUERY])[0], "/local/docs")
 
 
-@query()
+@query(f"{_URL} SELECT DISTINCT 'https://site.test/all' || clean || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url, 0 AS depth FROM c WHERE scheme IN ('http', 'https') AND NOT regexp_matches('/all' || clean, '[.]html$')")
 def crawl_levels(spark: SparkSession, d: str) -> DataFrame:
     """The pages table as a web of its own, without a limit: every page is a seed, links lead on from there."""
     pages = table(spark, d, "pages")
@@ -369,6 +407,27 @@ def crawl_levels(spark: SparkSession, d: str) -> DataFrame:
     return web.crawl(spark, own, "https://site.test/all", robots=web.parse_robots(_ROBOTS), sitemap=own.select("url"), max_pages=None).select("url", "depth")
 
 
+@query(
+    "SELECT 'https://tree.test/docs' AS url, 0 AS depth UNION ALL SELECT 'https://tree.test/docs/' || r_regionkey, 1 FROM region UNION ALL SELECT 'https://tree.test/docs/' || n_regionkey || '/' || n_nationkey, 2 FROM nation WHERE n_nationkey % 7 <> 3 "
+    "UNION ALL SELECT 'https://tree.test/docs/' || n_regionkey || '/' || n_nationkey || '/' || s_suppkey, 3 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 7 <> 3 AND s_suppkey NOT IN (3, 10, 17, 24)"
+)
+def crawl_tree(spark: SparkSession, d: str) -> DataFrame:
+    """A site of regions, nations and suppliers: links are followed level by level, past cycles and what robots close."""
+    nations, regions, suppliers = (table(spark, d, t) for t in ("nation", "region", "supplier"))
+    base = F.lit("https://tree.test/docs")
+    at = lambda *parts: F.concat_ws("/", base, *[F.col(p).cast("string") for p in parts])
+    back = '<a href="/docs">top</a><a href="https://other.test/docs/x">away</a><a href="/blog">out</a>'
+    edges = (
+        regions.select(base.alias("url"), at("r_regionkey").alias("to"))
+        .unionByName(nations.select(at("n_regionkey").alias("url"), at("n_regionkey", "n_nationkey").alias("to")))
+        .unionByName(suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(at("n_regionkey", "n_nationkey").alias("url"), at("n_regionkey", "n_nationkey", "s_suppkey").alias("to")))
+    )
+    links = edges.groupBy("url").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit('<a href="'), "to", F.lit('">x</a>')))), "").alias("links"))
+    every = edges.select(F.col("to").alias("url")).union(spark.range(1).select(base)).join(links, "url", "left").select("url", F.concat(F.coalesce("links", F.lit("")), F.lit(back)).alias("html"))
+    closed = "".join(f"Disallow: /docs/*/{i}$\nDisallow: /docs/*/{i}/\n" for i in range(3, 25, 7))
+    return web.crawl(spark, every, "https://tree.test/docs", robots=web.parse_robots(f"User-agent: *\n{closed}"), max_pages=None).select("url", "depth")
+
+
 _LINK = r"unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))"
 
 
@@ -395,9 +454,23 @@ def page_predicates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT page_id, (page_id % 2 = 0 AND page_id % 3 <> 0) AS not_modified FROM pages")
 def conditional_fetch(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.lit("changed")).otherwise(F.sha2("html", 256)).alias("etag"))
-    stored = table(spark, d, "pages").where("page_id % 2 = 0").select("page_id", F.sha2("html", 256).alias("known"))
-    return pages.join(stored, "page_id", "left").select("page_id", F.coalesce(F.col("etag") == F.col("known"), F.lit(False)).alias("not_modified"))
+    """Pages asked for again by what is known of them, over an opener in the place of the network."""
+    known = table(spark, d, "pages").select("page_id", F.format_string("https://h.test/p/%d", "page_id").alias("url"), F.when(F.col("page_id") % 2 == 0, F.when(F.col("page_id") % 3 == 0, "old").otherwise("now")).alias("etag"), F.lit("").alias("last_modified"))
+    got = web.refetch(known, opener=_answer).select("url", "not_modified")
+    return known.join(got, "url").select("page_id", "not_modified")
+
+
+def _answer(request, timeout: float):
+    """A server whose pages all have the tag "now"."""
+    import io
+    import urllib.error
+    from email.message import Message
+
+    if request.get_header("If-none-match") == "now":
+        raise urllib.error.HTTPError(request.full_url, 304, "not modified", Message(), None)
+    answer = io.BytesIO(b"<p>page</p>")
+    answer.headers, answer.status, answer.geturl = {"Content-Type": "text/html", "ETag": "now"}, 200, lambda: request.full_url
+    return answer
 
 
 @query(
@@ -426,13 +499,13 @@ def redacted_messages(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id AS chunk_id, source AS library_id FROM documents WHERE source = 'src3' ORDER BY doc_id")
 def chunk_scan(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("library_id"))
-    return retrieval.scoped(chunks, library_id="src3").orderBy("chunk_id")
+    return _store(spark, d).listing(library_id="src3").select(F.col("chunk_id").cast("long").alias("chunk_id"), "library_id")
 
 
 @query("SELECT doc_id AS chunk_id, n_chars FROM documents WHERE doc_id = 42")
 def chunk_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(F.col("doc_id") == 42).select(F.col("doc_id").alias("chunk_id"), "n_chars")
+    chunk = _store(spark, d).get(f"{42:012d}")
+    return spark.createDataFrame([(int(chunk["chunk_id"]), len(chunk["content"]))], "chunk_id long, n_chars long")
 
 
 @query(
@@ -440,9 +513,116 @@ def chunk_lookup(spark: SparkSession, d: str) -> DataFrame:
     "SELECT doc_id, v FROM new UNION ALL SELECT doc_id, v FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new)"
 )
 def chunk_upsert(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id")
-    new, old = docs.where("doc_id % 3 = 0").withColumn("v", F.lit("new")), docs.where("doc_id % 2 = 0").withColumn("v", F.lit("old"))
-    return old.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
+    docs = table(spark, d, "documents")
+    state = lambda rows, v: _chunks_of(rows.withColumn("text", F.lit(v)))
+    store = ChunkStore(spark, _folder(spark, "chunks"))
+    store.commit(state(docs.where("doc_id % 2 = 0"), "old"))
+    store.upsert(state(docs.where("doc_id % 3 = 0"), "new"))
+    return store.read().select(F.col("chunk_id").cast("long").alias("doc_id"), F.col("content").alias("v"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 5 <> 0 AND source <> 'src3'")
+def chunk_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Deletes by id, then of one source."""
+    store = _store(spark, d)
+    store.delete(table(spark, d, "documents").where("doc_id % 5 = 0").select(F.format_string("%012d", "doc_id").alias("chunk_id")))
+    store.delete_source("src3")
+    return store.read().select(F.col("chunk_id").cast("long").alias("doc_id"))
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 9) AS score FROM bm25 ORDER BY bm25.score DESC, doc_id LIMIT 20")
+def bm25_stored_index(spark: SparkSession, d: str) -> DataFrame:
+    """The ranking from the postings that a commit has stored; no text is read."""
+    store = ChunkStore(spark, _folder(spark, "chunks"))
+    store.commit(_chunks_of(table(spark, d, "documents")).withColumns({"library_id": F.lit("/local/docs"), "heading_path": F.lit("")}))
+    return store.lexical("/local/docs", QUERY).select(F.col("chunk_id").cast("long").alias("doc_id"), F.round("score", 9).alias("score"))
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, source, lang, trim(regexp_replace(text, '[ \t]+(\n|$)', '\1', 'g'), E' \t\n\r\x0b\x0c') AS body, '## ' || lang AS head, CAST(floor((len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) + 2) * 1.3) AS INT) AS tokens FROM documents WHERE trim(text, E' \t\n\r') <> ''),
+p AS (SELECT doc_id, source || ' > ' || lang AS heading_path, 0 AS chunk_index, CASE WHEN tokens > 500 THEN head ELSE head || chr(10) || chr(10) || body END AS content FROM t UNION ALL SELECT doc_id, source || ' > ' || lang, 1, body FROM t WHERE tokens > 500)
+SELECT doc_id, heading_path, chunk_index, sha256(content) AS content_hash FROM p"""
+)
+def document_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as Markdown of two headings: sections with a body, pieces of long ones at blank lines, hashes."""
+    docs = table(spark, d, "documents")
+    url = F.concat(F.lit("https://d.test/"), F.col("doc_id").cast("string"))
+    markdown = F.concat(F.lit("# "), "source", F.lit("\n\n## "), "lang", F.lit("\n\n"), "text")
+    pages = docs.select(C.short_sha(url).alias("document_id"), url.alias("url"), F.lit("").alias("canonical_url"), F.lit("").alias("title"), markdown.alias("markdown"))
+    return chunking.chunk(pages, "s", "/local/d").select(F.substring_index("url", "/", -1).cast("long").alias("doc_id"), "heading_path", "chunk_index", "content_hash")
+
+
+_SNAPSHOT = r"""
+old AS (SELECT doc_id, sha256(text) AS h, source AS title FROM documents WHERE doc_id % 11 <> 0),
+new AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN concat(text, '!') ELSE text END) AS h, CASE WHEN doc_id % 13 = 0 THEN 'renamed' ELSE source END AS title FROM documents WHERE doc_id % 10 <> 0)
+"""
+
+
+@query(f"WITH {_SNAPSHOT} SELECT doc_id, h AS content_hash, title FROM new")
+def snapshot_apply(spark: SparkSession, d: str) -> DataFrame:
+    """The next snapshot from the old one, the new rows, unchanged ones among them, and their statuses."""
+    docs = table(spark, d, "documents").withColumn("heading_path", F.lit(""))
+    old = docs.where("doc_id % 11 <> 0").select("doc_id", F.sha2("text", 256).alias("content_hash"), F.col("source").alias("title"), "heading_path")
+    edited = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    title = F.when(F.col("doc_id") % 13 == 0, F.lit("renamed")).otherwise(F.col("source"))
+    new = docs.where("doc_id % 10 <> 0").select("doc_id", F.sha2(edited, 256).alias("content_hash"), title.alias("title"), "heading_path")
+    return diff.apply(old, new, diff.diff(new, old, "doc_id"), "doc_id").select("doc_id", "content_hash", "title")
+
+
+@query(
+    "SELECT 1 AS step, n AS discovered, n AS indexed, n AS added, 0 AS updated, 0 AS unchanged, 0 AS removed FROM (SELECT count(*) + 1 AS n FROM nation) UNION ALL "
+    "SELECT 2, count(*) FILTER (n_nationkey % 5 <> 0) + 1, count(*) FILTER (n_nationkey % 5 <> 0 AND n_nationkey % 3 = 0) + 1, 0, count(*) FILTER (n_nationkey % 5 <> 0 AND n_nationkey % 3 = 0) + 1, count(*) FILTER (n_nationkey % 5 <> 0 AND n_nationkey % 3 <> 0), count(*) FILTER (n_nationkey % 5 = 0) FROM nation"
+)
+def library_sync(spark: SparkSession, d: str) -> DataFrame:
+    """A library is added from a site of nations, then some pages change and some go: the reports of both runs."""
+    lib = Library(spark, _folder(spark, "library"), embed.Fake(), max_pages=1000)
+    nations = table(spark, d, "nation")
+
+    def site(rows: DataFrame) -> DataFrame:
+        pages = rows.select(F.concat(F.lit("https://n.test/docs/"), F.col("n_nationkey").cast("string")).alias("url"), F.concat(F.lit("<main><h1>"), "n_name", F.lit("</h1><p>"), "words", F.lit("</p></main>")).alias("html"))
+        links = F.array_join(F.sort_array(F.collect_list(F.concat(F.lit('<a href="/docs/'), F.col("n_nationkey").cast("string"), F.lit('">x</a>')))), " ")
+        return pages.unionByName(rows.agg(F.lit("https://n.test/docs").alias("url"), F.concat(F.lit("<main><p>Start</p><p>"), links, F.lit("</p></main>")).alias("html")))
+
+    first = lib.add("Nations", "https://n.test/docs", site(nations.withColumn("words", F.lit("as it was"))))
+    changed = nations.where("n_nationkey % 5 <> 0").withColumn("words", F.when(F.col("n_nationkey") % 3 == 0, "new words").otherwise("as it was"))
+    second = lib.sync("/local/nations", site(changed))
+    names = ("discovered", "indexed", "added", "updated", "unchanged", "removed")
+    return spark.createDataFrame([(i + 1, *[r[n] for n in names]) for i, r in enumerate((first, second))], "step int, " + ", ".join(f"{n} long" for n in names))
+
+
+@query("SELECT '/local/' || lower(replace(n_name, '_', '-')) AS library_id, n_name AS name, 'https://n.test/docs/' || n_nationkey AS base_url FROM nation WHERE n_nationkey % 4 <> 0")
+def registry_table(spark: SparkSession, d: str) -> DataFrame:
+    """Libraries that were registered, some of them deleted again, as a table."""
+    registry = Registry(spark, _folder(spark, "registry"))
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()  # 25 rows
+    for r in rows:
+        registry.add(Source("/local/" + r.n_name.lower().replace("_", "-"), r.n_name, f"https://n.test/docs/{r.n_nationkey}"))
+    for r in rows:
+        if r.n_nationkey % 4 == 0:
+            registry.delete("/local/" + r.n_name.lower().replace("_", "-"))
+    return registry.table().select("library_id", "name", "base_url")
+
+
+@query(f"WITH ranked AS ({_RESOLVE.strip()}) SELECT 'l' || p_partkey AS library_id, CAST(p_partkey % 9 AS BIGINT) AS indexed_chunks, score FROM ranked WHERE p_partkey % 9 > 0")
+def resolve_libraries(spark: SparkSession, d: str) -> DataFrame:
+    """Which libraries a name and a question mean, of those that have chunks."""
+    version = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lit("1."), (F.col("p_size") % 4).cast("string")))
+    key = F.concat(F.lit("l"), F.col("p_partkey").cast("string")).alias("library_id")
+    parts = table(spark, d, "part")
+    libraries = parts.select(key, F.col("p_brand").alias("name"), F.col("p_type").alias("description"), version.alias("version"), F.lit("").alias("base_url"))
+    return resolve.resolve(libraries, NAME, ASKED, parts.select(key, (F.col("p_partkey") % 9).alias("chunks"))).select("library_id", "indexed_chunks", "score")
+
+
+@query(
+    "WITH f AS (SELECT g.conv_id, min(h.turn + 1) AS rank FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN conversations h ON g.conv_id = h.conv_id AND h.role = 'assistant' AND h.turn < 20 GROUP BY g.conv_id) "
+    "SELECT count(*) AS queries, round(avg((coalesce(rank, 99) <= 1)::int), 9) AS top1, round(avg((coalesce(rank, 99) <= 3)::int), 9) AS top3, round(avg((coalesce(rank, 99) <= 5)::int), 9) AS top5, round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr FROM f"
+)
+def gold_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy and MRR on the one page that answers: here, how early a conversation has its first answer."""
+    turns = table(spark, d, "conversations")
+    hits = turns.select(F.col("conv_id").alias("query_id"), F.col("role").alias("url"), (F.col("turn") + 1).alias("rank"))
+    gold = turns.select(F.col("conv_id").alias("query_id")).distinct().withColumn("url", F.lit("assistant"))
+    return diff.gold_metrics(hits, gold).select("queries", *[F.round(c, 9).alias(c) for c in ("top1", "top3", "top5", "mrr")])
 
 
 @query(

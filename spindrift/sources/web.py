@@ -214,6 +214,29 @@ def discover(base: str, agent: str = AGENT, opener: Callable | None = None) -> t
     return parse_robots(text, agent), usable
 
 
+def refetch(known: DataFrame, agent: str = AGENT, concurrency: int = CONCURRENCY, timeout: float = TIMEOUT, most: int = BODY_BYTES, opener: Callable | None = None) -> DataFrame:
+    """Pages of ``known`` (url, etag, last_modified) asked for again, by what is known of them: PAGE_SCHEMA.
+
+    A page that is unchanged comes back without text and says so; one that can't be had has no row.
+    """
+    names = [f.split(" ")[0] for f in PAGE_SCHEMA.split(", ")]
+    kinds = [pa.string(), pa.int32(), *[pa.string()] * 4, pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = []
+            for url, etag, modified in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                try:
+                    page = fetch(url, etag or "", modified or "", agent, timeout, most, opener)
+                except (OSError, ValueError):
+                    continue
+                got.append(tuple(page[k] for k in names))
+            columns = list(zip(*got, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return known.select("url", "etag", "last_modified").repartition(concurrency).mapInArrow(run, PAGE_SCHEMA)
+
+
 class WebPages(DataSource):
     """``spark.read.format("web_pages").option("urls", "a b c").load()``: pages read by the executors."""
 

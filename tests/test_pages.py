@@ -39,6 +39,7 @@ def test_normalize_refuses(raw, base):
 
 def test_normalized_column_agrees(spark):
     urls = ["HTTPS://Docs.Acme.TEST//a//b/", "https://a.test/", "https://a.test/x?b=2&a=1&utm_source=z&GCLID=1#f", "http://a.test/p?z=1&z=0", "ftp://a.test/x", None, ""]
+    urls += ["https://a.test/docs/é", "https://a.test/a b/c+d;e", "https://a.test/x?q=a%20b&p=c+d", "https://a.test/x?a=1;b=2&c=3", "https://a.test/100%25/%C3%A9", "https://a.test/x?k=%zz&é=ü*~", "https://a.test/x?b&a=&a=1=2", "https://a.test/~u/(x)!$&',:@*=", "https://a.test/x?utm%5Fsource=1&q=%26"]
     rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", U.normalized("u").alias("n")).collect()
     for r in rows:
         try:
