@@ -336,9 +336,9 @@ class _Markdown:
         stack: list[Node] = [n]
         while stack:
             r = stack.pop()
-            if r.tag != "tr":  # a table in a cell has rows of its own
-                stack += [c for c in reversed(r.children) if isinstance(c, Node) and (c.tag != "table" or r is n)]
-            else:
+            # A row may stand in a row whose end was left out; a table in a cell has rows of its own.
+            stack += [c for c in reversed(r.children) if isinstance(c, Node) and (c.tag != "table" or r is n)]
+            if r.tag == "tr":
                 cells = []
                 for c in r.children:
                     if isinstance(c, Node) and c.tag in ("td", "th"):
