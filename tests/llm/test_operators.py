@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm import decontaminate, gif_media, html_extract, licenses, line_dedup, mixing, pii, quality, secrets, simhash
 from spindrift.llm.common import Rolling, components
+from spindrift.llm.queries import oracle_sql
 
 WORDS = [f"w{i}" for i in range(400)] + ["The", "of", "é", "naïve", "x,y"]
 
@@ -357,6 +358,30 @@ def test_secrets(spark, hard, none):
     assert secrets.secret_spans(hard).count() == len(HARD) and secrets.secret_spans(none).count() == 0
 
 
+def test_secrets_sql(spark):
+    """The registered SQL gives the same rows, whatever the texts hold."""
+    import duckdb
+
+    rng = random.Random(26)
+    parts = [*SECRETS, "", " ", "\n", ";", "AKIA", "é", "😀", "secret", "api_key", "=", ": ", '"', "'", "example", "550e8400-e29b-41d4-a716-446655440000", "a" * 30, "word-word_word/word=and", "2024-01-02-03-04-05-06-07"]
+    alphabets = ["0123456789abcdef", "ABCDEF0123456789", "abcdefghijklmnopqrstuvwxyzABC0189", "abcXYZ0189+/=_-", "ab", "ab1"]
+    made = ["".join(rng.choice(letters) for _ in range(rng.randint(15, 70))) for letters in alphabets for _ in range(30)]
+    rows = [(None if i == 3 else i // 2, None if i == 5 else "".join(rng.choice(parts + made) for _ in range(rng.randint(0, 12)))) for i in range(300)]
+    rows += [(9, None), (9, ""), (7, SECRETS[2]), (7, SECRETS[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = secrets.secret_spans(df)
+    with duckdb.connect() as c:
+        documents = df.toArrow()
+        c.register("documents", documents)
+        want = c.execute(oracle_sql()["op4_secret_scan"])
+        assert [d[0] for d in want.description] == got.columns
+        order = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+        want, got = sorted(map(tuple, want.fetchall()), key=order), sorted(map(tuple, got.collect()), key=order)
+    assert got == want
+    assert sum(r[6] for r in got) > 100 and all(sum(r[i] for r in got) > 20 for i in (1, 2, 3))
+    assert {k for r in got for k in re.findall("[a-z_0-9]+(?=:)", r[5]) if not k.isdigit()} == set(secrets.KINDS)
+
+
 def test_entropy(spark):
     rng = random.Random(6)
     values = ["".join(rng.choice("abcdefABC012+/") for _ in range(rng.randint(20, 60))) for _ in range(40)] + ["a" * 30, "".join(chr(c) for c in range(97, 123)) + "zyxABCDEFGHIJKLMNOPQRSTUVWXYZ+-/=_0123456789"]
