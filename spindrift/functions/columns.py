@@ -115,9 +115,12 @@ def has_technical_identifier(c: Column | str) -> Column:
 
 
 def redact(c: Column | str, secret: str) -> Column:
-    """The text without the secret, cut to 300 characters."""
+    """The text without the secret, cut to whole characters of at most 300 bytes; what was cut ends in dots."""
     shown = F.replace(text(c), F.lit(secret), F.lit("[redacted]")) if secret else text(c)
-    return F.substring(shown, 1, 300)
+    raw = F.encode(shown, "UTF-8")
+    # A character has at most four bytes, so one of these cuts falls between two.
+    cuts = [F.try_validate_utf8(F.substring(raw, 1, n).cast("string")) for n in range(300, 296, -1)]
+    return F.when(F.octet_length(shown) <= 300, shown).otherwise(F.concat(F.coalesce(*cuts), F.lit("...")))
 
 
 # ---------------------------------------------------------------- vectors

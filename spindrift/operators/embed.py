@@ -155,7 +155,10 @@ def default() -> Onnx:
 
 
 def redact(message: str, secret: str, most: int = 300) -> str:
-    return (message.replace(secret, "[redacted]") if secret else message)[:most]
+    """The message without the secret, cut to whole characters of at most ``most`` bytes; what was cut ends in dots."""
+    shown = message.replace(secret, "[redacted]") if secret else message
+    raw = shown.encode("utf-8", "replace")
+    return shown if len(raw) <= most else raw[:most].decode("utf-8", "ignore") + "..."
 
 
 def check(vectors: list[list[float]], n: int, dims: int) -> list[list[float]]:

@@ -389,14 +389,39 @@ def fake_embedding(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.posexplode("embedding").alias("position", "v")).where("v > 0").select("doc_id", "position", F.round(F.col("v").cast("double"), 6).alias("value"))
 
 
-@query()
+ASKED_TECHNICALLY = "theHeati query-docs " + QUERY
+_ASKED_VECTOR = ", ".join(f"({i}, {v!r}::double)" for i, v in enumerate(embed.fake_vector(QUERY)) if v)
+_HYBRID = rf"""
+WITH lexical AS (SELECT doc_id, chr(10) || lang || chr(10) || text AS text FROM documents),
+{_BM25.replace("FROM documents)),", "FROM lexical)),", 1).replace(_WORDS, ", ".join(f"'{w}'" for w in sorted(retrieval.terms_of(ASKED_TECHNICALLY)))).strip()},
+{_FNV.strip()},
+asked(position, v) AS (VALUES {_ASKED_VECTOR}),
+unit AS (SELECT doc_id, position, CAST(CAST(n / norm AS FLOAT) AS DOUBLE) AS v FROM cells JOIN norms USING (doc_id)),
+lengths AS (SELECT doc_id, sqrt(sum(v * v)) AS len FROM unit GROUP BY doc_id),
+dots AS (SELECT doc_id, sum(u.v * a.v) AS dot FROM unit u JOIN asked a USING (position) GROUP BY doc_id),
+near AS (SELECT doc_id, round(1 - coalesce(dot / len, 0) / (SELECT sqrt(sum(v * v)) FROM asked), 12) AS distance FROM documents LEFT JOIN dots USING (doc_id) LEFT JOIN lengths USING (doc_id)),
+lists AS (
+  SELECT doc_id, row_number() OVER (ORDER BY distance, doc_id) AS place FROM near QUALIFY place <= 20
+  UNION ALL SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM bm25 QUALIFY place <= 20),
+fused AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, sum(1.0 / (60 + place)) AS score FROM lists GROUP BY doc_id)),
+i AS (SELECT *, doc_id - row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS island, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS norm FROM fused JOIN documents USING (doc_id)),
+s AS (SELECT * FROM i WHERE norm <> '' QUALIFY row_number() OVER (PARTITION BY norm ORDER BY rank) = 1),
+x AS (SELECT *, row_number() OVER (PARTITION BY source, lang, island ORDER BY rank) > 2 AS deferred FROM s)
+SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS chunk_id, 's' AS source_id, '/local/docs' AS library_id, '' AS version, source AS document_id, source AS url, '' AS title, lang AS heading_path,
+  CAST(doc_id AS INT) AS chunk_index, text AS content, round(score, 9) AS score, CAST(rank AS INT) AS rank, CAST(position AS INT) AS position
+FROM (SELECT *, row_number() OVER (ORDER BY deferred, rank) AS position FROM x) WHERE position <= 6
+"""
+
+
+@query(_HYBRID)
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(
         F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("chunk_id"), F.lit("s").alias("source_id"), F.lit("/local/docs").alias("library_id"), F.lit("").alias("version"), F.col("source").alias("document_id"),
         F.col("source").alias("url"), F.lit("").alias("title"), F.col("lang").alias("heading_path"), F.col("doc_id").cast("int").alias("chunk_index"), F.col("text").alias("content"),
     )
     provider = embed.Fake()
-    return retrieval.search(embed.embed(docs, "content", provider), "theHeati query-docs " + QUERY, provider.embed([QUERY])[0], "/local/docs")
+    hits = retrieval.search(embed.embed(docs, "content", provider), ASKED_TECHNICALLY, provider.embed([QUERY])[0], "/local/docs")
+    return hits.withColumn("score", F.round("score", 9))
 
 
 @query(f"{_URL} SELECT DISTINCT 'https://site.test/all' || clean || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url, 0 AS depth FROM c WHERE scheme IN ('http', 'https') AND NOT regexp_matches('/all' || clean, '[.]html$')")
@@ -492,7 +517,10 @@ def name_functions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", C.normal_name("p_name").alias("name"), F.array_join(C.words("p_type"), " ").alias("words"), C.version_mention(mention).alias("version"))
 
 
-@query("SELECT doc_id, substring(replace(text, 'the', '[redacted]'), 1, 300) AS message FROM documents")
+@query(
+    "WITH m AS (SELECT doc_id, replace(text, 'the', '[redacted]') AS m FROM documents), n AS (SELECT doc_id, m, list_max(list_filter(range(0, 301), lambda i: strlen(substring(m, 1, i)) <= 300)) AS n FROM m) "
+    "SELECT doc_id, CASE WHEN strlen(m) <= 300 THEN m ELSE substring(m, 1, n) || '...' END AS message FROM n"
+)
 def redacted_messages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", C.redact("text", "the").alias("message"))
 

@@ -18,6 +18,7 @@ from ..operators.retrieval import DENSE_K, FINAL, search
 from ..session import settle
 from ..sources.store import ChunkStore, Registry, Source, new_library_id, parse_library_id
 from ..sources.web import Fetcher, Robots, crawl, discover
+from .parts import Chunker, Chunks, Crawler, Parser
 
 IdentityMismatch = embed.IdentityMismatch
 NO_MATCH = "No indexed libraries match that name."
@@ -31,11 +32,15 @@ ALIASES = {
 
 
 class Library:
-    """One data folder: its registry, its chunk table, one embedding provider."""
+    """One data folder: its registry, its chunk table, one embedding provider; its other parts can be replaced."""
 
-    def __init__(self, spark: SparkSession, folder: str, provider: embed.Provider | None = None, candidates: int = DENSE_K, final: int = FINAL, **limits: int) -> None:
+    def __init__(
+        self, spark: SparkSession, folder: str, provider: embed.Provider | None = None, candidates: int = DENSE_K, final: int = FINAL,
+        crawler: Crawler = crawl, parser: Parser = parse_pages, chunker: Chunker = chunk, store: Chunks | None = None, **limits: int,
+    ) -> None:
         self.spark, self._provider, self.candidates, self.final, self.limits = spark, provider, candidates, final, limits
-        self.store, self.registry = ChunkStore(spark, f"{folder.rstrip('/')}/chunks"), Registry(spark, folder)
+        self.crawler, self.parser, self.chunker = crawler, parser, chunker
+        self.store, self.registry = store or ChunkStore(spark, f"{folder.rstrip('/')}/chunks"), Registry(spark, folder)
 
     @property
     def provider(self) -> embed.Provider:
@@ -70,12 +75,12 @@ class Library:
     def _crawl(self, source: Source, pages: DataFrame | Fetcher, robots: Robots | None = None, sitemap: list[str] = ()) -> DataFrame:
         if robots is None and not isinstance(pages, DataFrame):
             robots, sitemap = discover(source.base_url)
-        return crawl(self.spark, pages, source.base_url, source.includes, source.excludes, robots, list(sitemap), **self.limits)
+        return self.crawler(self.spark, pages, source.base_url, source.includes, source.excludes, robots, list(sitemap), **self.limits)
 
     def _ingest(self, source: Source, fetched: DataFrame, n: int) -> dict:
-        documents = parse_pages(fetched)
+        documents = self.parser(fetched)
         # Of pages with one canonical URL, the one of the smallest page URL gives the chunks.
-        new = settle(diff.one_of_each(chunk(documents, source.id, source.library_id, source.version), order=("page_url", "document_id")))
+        new = settle(diff.one_of_each(self.chunker(documents, source.id, source.library_id, source.version), order=("page_url", "document_id")))
         base = self.store.version
         mine = self.store.read(source.library_id)
         # The statuses are settled, so that the provider is asked once for each changed chunk.
@@ -128,7 +133,7 @@ class Library:
             self._guard()
             width = self._width()
         fetched = settle(self._crawl(source, pages))
-        new = diff.one_of_each(chunk(parse_pages(fetched), source.id, source.library_id, source.version), order=("page_url", "document_id"))
+        new = diff.one_of_each(self.chunker(self.parser(fetched), source.id, source.library_id, source.version), order=("page_url", "document_id"))
         vectors = settle(embed.embed(new, C.embedding_text("title", "heading_path", "content"), self.provider))
         if not vectors.where(~C.is_valid_vector("embedding", width or self.provider.dims or None)).isEmpty():
             raise embed.EmbeddingError("a chunk has no valid vector")

@@ -41,6 +41,34 @@ def test_add_sync_remove(spark, library):
         library.find("acme docs")
 
 
+def test_other_parts(spark, tmp_path):
+    """A crawler, a parser, a chunker and a store of one's own take the places of the built-in ones."""
+    from pyspark.sql import functions as F
+
+    from spindrift.operators.chunking import chunk
+    from spindrift.operators.html_markdown import parse_pages
+
+    calls = []
+
+    def crawler(spark, pages, start, includes, excludes, robots, sitemap, **limits):
+        calls.append((start, limits))
+        return pages.select("url", "html").withColumn("depth", F.lit(0))
+
+    def parser(pages):
+        return parse_pages(pages).withColumn("title", F.upper("title"))
+
+    def chunker(documents, source_id, library_id, version):
+        return chunk(documents, source_id, library_id, version).where("chunk_index = 0")
+
+    store = ChunkStore(spark, str(tmp_path / "elsewhere"))
+    lib = Library(spark, str(tmp_path / "own"), embed.Fake(), crawler=crawler, parser=parser, chunker=chunker, store=store, max_pages=7)
+    report = lib.add("Acme Docs", "https://s.test/docs", site(spark, SITE))
+    assert report["fetched"] == 3 and calls == [("https://s.test/docs", {"max_pages": 7})]
+    rows = store.read().collect()
+    assert rows and {r.chunk_index for r in rows} == {0} and all(r.title == r.title.upper() for r in rows)
+    assert lib.reindex("/local/acme-docs", site(spark, SITE)) == {"indexed": len(rows)} and len(calls) == 2
+
+
 def test_add_without_pages_leaves_nothing(spark, library):
     with pytest.raises(LookupError, match="no page"):
         library.add("Other", "https://none.test/docs", site(spark, SITE))

@@ -189,6 +189,12 @@ def test_providers(spark):
 
     with pytest.raises(embed.EmbeddingError, match=r"\[redacted\]"):
         embed.OpenAI("m", "key-123", post=broken).embed(["x"])
+    long = ["k" * 300, "k" * 301, "é" * 150, "é" * 151, "a" + "é" * 150, "ab" + "😀" * 75, "😀" * 76, "key-1" * 100, "", "�" * 101]
+    cut = [embed.redact(x, "key-1") for x in long]
+    assert cut[:7] == ["k" * 300, "k" * 300 + "...", "é" * 150, "é" * 150 + "...", "a" + "é" * 149 + "...", "ab" + "😀" * 74 + "...", "😀" * 75 + "..."]
+    assert cut[7:] == ["[redacted]" * 30 + "...", "", "�" * 100 + "..."]
+    asked = spark.createDataFrame(list(enumerate(long)), "i int, t string").select(C.redact("t", "key-1").alias("m"), "i")
+    assert [r.m for r in asked.orderBy("i").collect()] == cut
     assert embed.Ollama("m", post=lambda *a: {"embedding": [1.0]}).embed(["x", "y"]) == [[1.0], [1.0]]
     for bad in ([[1.0]], [[1.0], [1.0, 2.0]], [[1.0], [float("nan")]], [[], []]):
         with pytest.raises(embed.EmbeddingError):
