@@ -236,11 +236,13 @@ def incremental_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"{_DIFF} SELECT CAST(12 AS BIGINT) AS discovered, CAST(10 AS BIGINT) AS fetched, CAST(2 AS BIGINT) AS skipped, count(*) FILTER (status IN ('added', 'updated')) AS indexed, count(*) FILTER (status = 'added') AS added, "
+    f"{_DIFF} SELECT (SELECT count(*) FROM documents) AS discovered, (SELECT count(*) FROM documents WHERE doc_id % 10 <> 0) AS fetched, (SELECT count(*) FROM documents WHERE doc_id % 10 = 0) AS skipped, count(*) FILTER (status IN ('added', 'updated')) AS indexed, count(*) FILTER (status = 'added') AS added, "
     "count(*) FILTER (status = 'updated') AS updated, count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status = 'removed') AS removed FROM s"
 )
 def sync_report(spark: SparkSession, d: str) -> DataFrame:
-    return diff.report(_states(spark, d), 10, 2)
+    """Every document is a page that was found; the tenth ones were skipped."""
+    skipped, n = table(spark, d, "documents").agg(F.count_if(F.col("doc_id") % 10 == 0), F.count("*")).first()
+    return diff.report(_states(spark, d), n - skipped, skipped)
 
 
 @query("SELECT source AS library_id, count(*) AS chunks, count(DISTINCT nullif(lang, '')) AS pages FROM documents GROUP BY source")
@@ -265,14 +267,12 @@ def url_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    rf"""{_URL} SELECT page_id, (scheme = 'https' AND host = '{HOST}' AND (path = '{SCOPE}' OR starts_with(path, '{SCOPE}/')) AND regexp_matches(path, '^/en/[0-9]+([.]html)?/?$')
+    rf"""{_URL} SELECT page_id, (scheme = 'https' AND host = '{HOST}' AND (path = '{SCOPE}' OR starts_with(path, '{SCOPE}/')) AND regexp_matches(path, '^/en/[0-9][^/]*/?$')
   AND NOT regexp_matches(path, '^/en/1(?:/.*)?$|^/en/[^/]*7[^/]*$')) AS in_scope FROM c"""
 )
 def scope_filter(spark: SparkSession, d: str) -> DataFrame:
     rule = U.in_scope("url", f"https://{HOST}{SCOPE}", ["/en/[0-9]*", "/en/[0-9]*/"], ["en/1/**", "/en/*7*"])
-    # Numbered pages only; the glob's star is narrowed by a plain condition.
-    numbered = U.path_of("url").rlike("^/en/[0-9]+([.]html)?/?$")
-    return table(spark, d, "pages").select("page_id", (rule & numbered).alias("in_scope"))
+    return table(spark, d, "pages").select("page_id", rule.alias("in_scope"))
 
 
 @query("SELECT page_id, substring(sha256(url), 1, 16) AS document_id, sha256(concat('0123456789abcdef', url, 'Guide > Start', CAST(page_id % 5 AS VARCHAR))) AS chunk_id FROM pages")
@@ -667,9 +667,17 @@ def topic_recall(spark: SparkSession, d: str) -> DataFrame:
 _SITEMAP = """<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://a.test/docs/one</loc><lastmod>2024-01-02</lastmod></url><url><loc> https://a.test/docs/two?x=1&amp;y=2 </loc></url><url><lastmod>2024</lastmod></url></urlset>"""
 
 
-@query("SELECT * FROM (VALUES ('https://a.test/docs/one', '2024-01-02'), ('https://a.test/docs/two?x=1&y=2', '')) AS t(loc, lastmod)")
+@query(
+    "SELECT * FROM (VALUES ('https://a.test/docs/one', '2024-01-02'), ('https://a.test/docs/two?x=1&y=2', '')) AS t(loc, lastmod) "
+    "UNION ALL SELECT trim(url), CASE WHEN page_id % 2 = 0 THEN '2024-01-0' || (page_id % 7 + 1) ELSE '' END FROM pages"
+)
 def sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
+    """A sitemap of each page, one of every case, and one that is broken."""
     rows = spark.createDataFrame([(_SITEMAP,), ("<urlset><url><loc>https://a.test/broken</url></urlset>",)], "body string")
+    day = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<lastmod>2024-01-0"), F.col("page_id") % 7 + 1, F.lit("</lastmod>"))).otherwise("")
+    url = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    own = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> '), url, F.lit(" </loc>"), day, F.lit("</url><url><lastmod>2024</lastmod></url></urlset>"))
+    rows = rows.unionByName(table(spark, d, "pages").select(own.alias("body")))
     return rows.where(web.looks_like_sitemap("body")).select(F.explode(web.sitemap_entries("body")).alias("e")).select("e.*")
 
 
