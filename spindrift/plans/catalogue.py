@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import urls as U
 from ..operators import chunking, diff, embed, resolve, retrieval
-from ..operators.html_markdown import extract_links, parse_pages
+from ..operators.html_markdown import extract_links, link_lists, parse_pages
 from ..session import settle, shared_folder, table
 from ..sources import web
 from ..sources.store import ChunkStore, Registry, Source
@@ -358,9 +358,8 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"SELECT page_id, len(regexp_extract_all(html, '<a href=')) AS links FROM pages")
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages")
-    found = extract_links(pages).groupBy("url").agg(F.count("*").alias("links"))
-    return pages.select("page_id", "url").join(found, "url", "left").select("page_id", F.coalesce("links", F.lit(0)).alias("links"))
+    # By page: two pages may have one URL.
+    return link_lists(table(spark, d, "pages"), kept=("page_id",)).select("page_id", F.array_size("links").cast("long").alias("links"))
 
 
 @query()

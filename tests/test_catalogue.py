@@ -38,3 +38,19 @@ def test_queries_without_sql_give_rows(spark):
     without = {name: f for name, f in catalogue.queries().items() if name not in SQL}
     assert set(without) == {"html_to_markdown", "section_chunks"}
     assert all(not f(spark, str(FOLDER)).isEmpty() for f in without.values())
+
+
+def same_as_sql(spark, folder, name, **made):
+    """Whether a query over made tables gives its SQL's rows."""
+    with duckdb.connect() as c:
+        for table, frame in made.items():
+            frame.write.parquet(f"{folder}/{table}.parquet")
+            c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+        got, want = catalogue.queries()[name](spark, str(folder)), c.execute(SQL[name])
+        names = [d[0] for d in want.description]
+        return rows(names, want.fetchall()) == rows(got.columns, map(tuple, got.collect()))
+
+
+def test_links_of_pages_with_one_url(spark, tmp_path):
+    pages = [(1, "https://a.test/x", '<a href="/b">b</a>'), (2, "https://a.test/x", '<a href="/b">b</a><a href="/c">c</a>'), (3, "https://a.test/y", "<p>none</p>"), (4, "https://a.test/x", ""), (5, "https://a.test/x", None)]
+    assert same_as_sql(spark, tmp_path, "page_links", pages=spark.createDataFrame(pages, "page_id long, url string, html string"))
