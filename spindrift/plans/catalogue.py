@@ -571,11 +571,11 @@ p AS (SELECT doc_id, source || ' > ' || lang AS heading_path, 0 AS chunk_index,
 SELECT doc_id, heading_path, chunk_index, sha256(content) AS content_hash FROM p"""
 )
 def document_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as Markdown of two headings: sections with a body, pieces of long ones at blank lines, hashes."""
+    """Documents as plain texts below two Markdown headings: sections with a body, long ones in pieces, hashes."""
     docs = table(spark, d, "documents")
     url = F.concat(F.lit("https://d.test/"), F.col("doc_id").cast("string"))
-    markdown = F.concat(F.lit("# "), "source", F.lit("\n\n## "), "lang", F.lit("\n\n"), "text")
-    pages = docs.select(C.short_sha(url).alias("document_id"), url.alias("url"), F.lit("").alias("canonical_url"), F.lit("").alias("title"), markdown.alias("markdown"))
+    markdown = F.concat(F.lit("# "), "source", F.lit("\n\n## "), "lang")
+    pages = docs.select(C.short_sha(url).alias("document_id"), url.alias("url"), F.lit("").alias("canonical_url"), F.lit("").alias("title"), markdown.alias("markdown"), F.col("text").alias("plain"))
     return chunking.chunk(pages, "s", "/local/d").select(F.substring_index("url", "/", -1).cast("long").alias("doc_id"), "heading_path", "chunk_index", "content_hash")
 
 

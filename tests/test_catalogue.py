@@ -54,3 +54,11 @@ def same_as_sql(spark, folder, name, **made):
 def test_links_of_pages_with_one_url(spark, tmp_path):
     pages = [(1, "https://a.test/x", '<a href="/b">b</a>'), (2, "https://a.test/x", '<a href="/b">b</a><a href="/c">c</a>'), (3, "https://a.test/y", "<p>none</p>"), (4, "https://a.test/x", ""), (5, "https://a.test/x", None)]
     assert same_as_sql(spark, tmp_path, "page_links", pages=spark.createDataFrame(pages, "page_id long, url string, html string"))
+
+
+def test_sections_of_texts_with_marks(spark, tmp_path):
+    """Texts of documents are no Markdown: lines like headings, fences and blank lines in them are text."""
+    long = "word " * 400
+    texts = ["### one\ntwo", "a\n=\nb", "a\n---\nb", "#", "# only", "```\na  \nb", f"a\n\n{long}\n\nb", f"```x\n{long}", f"{long}\n# end", "a \t\n\n\n\nb \n", " ", "", None, "\u00a0", "a\u00a0b\x85c " * 200, "x\u2028# y", "1. # z", "w " * 383, "w " * 384, "a \r\nb\x0b"]
+    docs = spark.createDataFrame([(i, t, "en", "src1") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    assert same_as_sql(spark, tmp_path, "document_sections", documents=docs)
