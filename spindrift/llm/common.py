@@ -6,7 +6,6 @@ as the empty text and a null document id as an id of its own that sorts after ev
 
 from __future__ import annotations
 
-import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,21 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import forget, settle, ship, table
+from ..session import bound_batches, forget, settle, ship, table
 
 __all__ = ["Rolling", "batch", "components", "forget", "fresh", "key_filter", "map_arrow", "may_be_in", "merge", "mix", "settle", "ship", "table", "texts"]
 
-# An Arrow batch ends at whichever comes first, so one batch of very long texts stays small.
-BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small however long the texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    with contextlib.suppress(Exception):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     bound_batches(df.sparkSession)
     ship(df.sparkSession)

@@ -34,34 +34,42 @@ _WORDS = re.compile(r"[\w./-]+")
 
 
 @lru_cache(1)
-def _odd() -> re.Pattern:
+def _odd() -> frozenset[str]:
     """Characters that the fast pattern takes for letters or digits and the exact one does not, or the reverse."""
-    odd = [chr(i) for i in range(128, sys.maxunicode + 1) if chr(i).isalnum() != (unicodedata.category(chr(i)) in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nd"))]
-    return re.compile("[" + "".join(map(re.escape, odd)) + "]")
+    return frozenset(chr(i) for i in range(128, sys.maxunicode + 1) if chr(i).isalnum() != (unicodedata.category(chr(i)) in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nd")))
 
 
 def identifiers(text: str) -> list[str]:
     """Runs of letters, digits and inner marks; by the fast pattern where both agree."""
-    return _WORDS.findall(text) if text.isascii() or not _odd().search(text) else _IDENTIFIER.findall(text)
+    return _WORDS.findall(text) if text.isascii() or _odd().isdisjoint(set(text)) else _IDENTIFIER.findall(text)
+
+
+def _terms(found: str) -> tuple[str, ...]:
+    """The lower-case terms of one identifier: itself, its parts, its camel-case pieces."""
+    whole = found.strip("._-")
+    if not whole:
+        return ()
+    if whole.isalpha() and (whole.islower() or whole[1:].islower()):
+        return (whole.lower(),)  # a plain word has no parts
+    parts = [p for p in _INNER.split(whole) if p]
+    return tuple({t.lower() for t in (whole, *parts, *(x for p in parts for x in _CAMEL.split(p) if x))})
+
+
+_known_terms = lru_cache(1 << 16)(_terms)
+LONG = 64  # characters from which an identifier is not remembered, so that what is remembered is bounded
+
+
+def terms_of_identifier(found: str) -> tuple[str, ...]:
+    return _known_terms(found) if len(found) < LONG else _terms(found)
 
 
 def terms_of(text: str) -> Counter:
     """Lower-case identifiers, their parts and their camel-case pieces; each once per occurrence."""
     counts: Counter = Counter()
-    known: dict[str, tuple[str, ...]] = {}
+    get = counts.get
     for found, times in Counter(identifiers(text or "")).items():
-        whole = found.strip("._-")
-        if not whole:
-            continue
-        if whole.isalpha() and (whole.islower() or whole[1:].islower()):
-            counts[whole.lower()] += times  # a plain word has no parts
-            continue
-        terms = known.get(whole)
-        if terms is None:
-            parts = [p for p in _INNER.split(whole) if p]
-            known[whole] = terms = tuple({t.lower() for t in (whole, *parts, *(x for p in parts for x in _CAMEL.split(p) if x))})
-        for t in terms:
-            counts[t] += times
+        for t in terms_of_identifier(found):
+            counts[t] = get(t, 0) + times
     return counts
 
 
@@ -143,6 +151,25 @@ def lexical_text(title: str = "title", heading: str = "heading_path", content: s
     return F.concat_ws("\n", C.text(title), C.text(heading), C.text(content))
 
 
+POSTED = 1 << 17  # terms that are held as Python values at once, and those of one text more
+
+
+def counted_terms(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
+    """(row, term, tf, the row's number of terms) of a batch of texts, in parts of bounded size."""
+    rows, sizes, sums, terms, tfs = [], [], [], [], []
+    last = len(texts) - 1
+    for i, t in enumerate(texts):
+        counts = terms_of(t.as_py())
+        rows.append(i)
+        sizes.append(len(counts))
+        sums.append(counts.total())
+        terms += counts.keys()
+        tfs += counts.values()
+        if len(terms) >= POSTED or i == last:
+            yield np.repeat(rows, sizes), pa.array(terms, pa.string()), np.array(tfs, np.int64), np.repeat(np.array(sums, np.int64), sizes)
+            rows, sizes, sums, terms, tfs = [], [], [], [], []
+
+
 def postings(docs: DataFrame, key: str, text: Column | str, extra: tuple[str, ...] | None = None) -> DataFrame:
     """(key, term, tf) of every text; counted inside the document, so nothing is shuffled.
 
@@ -153,18 +180,11 @@ def postings(docs: DataFrame, key: str, text: Column | str, extra: tuple[str, ..
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, terms, tfs, lengths = [], [], [], []
-            for t in b.column(len(kept)).to_pylist():
-                counts = terms_of(t)
-                sizes.append(len(counts))
-                terms += counts.keys()
-                tfs += counts.values()
-                lengths += [sum(counts.values())] * len(counts)
-            own = pa.array(np.repeat(np.arange(b.num_rows), sizes))
-            columns = {"term": pa.array(terms, pa.string()), "tf": pa.array(tfs, pa.int64())} | {k: b.column(i).take(own) for i, k in enumerate(kept)}
-            if extra is not None:
-                columns["length"] = pa.array(lengths, pa.int64())
-            yield pa.RecordBatch.from_pydict(columns)
+            for own, terms, tfs, lengths in counted_terms(b.column(len(kept))):
+                columns = {"term": terms, "tf": pa.array(tfs)} | {k: b.column(i).take(pa.array(own)) for i, k in enumerate(kept)}
+                if extra is not None:
+                    columns["length"] = pa.array(lengths)
+                yield pa.RecordBatch.from_pydict(columns)
 
     schema = "term string, tf long, " + ", ".join(f"{k} {kinds[k]}" for k in kept) + (", length long" if extra is not None else "")
     return spread(docs.select(*kept, C.col(text).alias("__text"))).mapInArrow(run, schema)
@@ -173,14 +193,21 @@ def postings(docs: DataFrame, key: str, text: Column | str, extra: tuple[str, ..
 def term_counts(docs: DataFrame, key: str, text: Column | str, terms: list[str]) -> DataFrame:
     """(key, length, tf): a document's number of terms, and its counts of the given ones."""
     kind = dict(docs.dtypes)[key]
+    wanted, place = frozenset(terms), {t: i for i, t in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lengths, tfs = [], []
-            for t in b.column(1).to_pylist():
-                counts = terms_of(t)
-                lengths.append(sum(counts.values()))
-                tfs.append([counts.get(x, 0) for x in terms])
+            for t in b.column(1):
+                length, tf = 0, [0] * len(terms)
+                for found, times in Counter(identifiers(t.as_py() or "")).items():
+                    own = terms_of_identifier(found)
+                    length += len(own) * times
+                    if not wanted.isdisjoint(own):
+                        for x in wanted.intersection(own):
+                            tf[place[x]] += times
+                lengths.append(length)
+                tfs.append(tf)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths, pa.int64()), pa.array(tfs, pa.list_(pa.int64()))], [key, "length", "tf"])
 
     return spread(docs.select(key, C.col(text).alias("__text"))).mapInArrow(run, f"{key} {kind}, length long, tf array<long>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -76,6 +77,17 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+# An Arrow batch ends at whichever comes first, so one batch of very long texts stays small.
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    with contextlib.suppress(Exception):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 SPREAD_BYTES = 256 << 20  # what is dealt out, at most
 
 
@@ -83,8 +95,9 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over all cores if it is small, as one file of one row group would be read by one task.
 
     Told by the optimizer's estimate, so nothing is run; a table over SPREAD_BYTES keeps its partitions,
-    and nothing of it is shuffled.
+    and nothing of it is shuffled. What follows is Python work, so its batches are bounded.
     """
+    bound_batches(df.sparkSession)
     if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -212,3 +212,20 @@ def test_identity():
         assert not ok(bad, p)
     unknown = embed.Fake(dims=0)
     assert ok("fake/fake-model/9/title-heading-v1", unknown) and not ok("fake/fake-model/0/title-heading-v1", unknown)
+
+
+def test_batches_are_bounded(spark):
+    """Python gets few rows and few bytes at once, however many rows and long texts a task has."""
+    import pyarrow as pa
+
+    from spindrift.session import BATCH_BYTES, BATCH_ROWS, spread
+
+    sizes = lambda bs: (pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]}) for b in bs)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    for n, long in ((20_000, 1), (60, 1 << 20)):
+        got = spread(spark.range(n).coalesce(1).select(F.repeat(F.lit("x"), long).alias("t"))).mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r.rows for r in got) == n and max(r.rows for r in got) <= BATCH_ROWS and max(r.bytes for r in got) < 2 * BATCH_BYTES
+    words = pa.array([" ".join(f"{x}{i}" for i in range(1000)) for x in "ab" * 400])
+    parts = list(retrieval.counted_terms(words))
+    assert len(parts) > 1 and max(len(p[1]) for p in parts) < retrieval.POSTED + 1000
+    assert sum(len(p[1]) for p in parts) == 800_000 and all(n == 1000 for p in parts for n in set(p[3]))
