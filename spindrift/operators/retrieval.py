@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..session import spread
+from ..session import settle, spread
 
 DENSE_K, LEXICAL_K, FINAL = 20, 20, 6
 RUN_CAP = 2
@@ -216,11 +216,13 @@ def term_counts(docs: DataFrame, key: str, text: Column | str, terms: list[str])
 def bm25_topk(docs: DataFrame, query: str, key: str = "chunk_id", text: Column | str | None = None, k: int | None = LEXICAL_K) -> DataFrame:
     """(key, score) of the best k documents with a positive score, by score then key.
 
-    One narrow scan counts lengths and query terms, a one-row aggregate has the collection's
-    statistics, and the score is an expression over both: no postings are shuffled.
+    One narrow scan counts lengths and query terms, once: its few numbers a document are settled. A one-row
+    aggregate has the collection's statistics, and the score is an expression over both: no postings are shuffled.
     """
     terms = sorted(terms_of(query))
     counted = term_counts(docs, key, lexical_text() if text is None else text, terms)
+    if terms:
+        counted = settle(counted)
     df = [F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]
     stats = counted.agg(F.count("*").alias("n"), F.sum("length").alias("total"), *df)
     if not terms:

@@ -229,3 +229,10 @@ def test_batches_are_bounded(spark):
     parts = list(retrieval.counted_terms(words))
     assert len(parts) > 1 and max(len(p[1]) for p in parts) < retrieval.POSTED + 1000
     assert sum(len(p[1]) for p in parts) == 800_000 and all(n == 1000 for p in parts for n in set(p[3]))
+
+
+def test_bm25_counts_texts_once(spark):
+    """The statistics and the scores read what one scan has counted; no text is tokenised again for either."""
+    df = spark.createDataFrame([("a", "alpha beta"), ("b", "beta")], "chunk_id string, t string")
+    plan = retrieval.bm25_topk(df, "beta", text="t")._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "settled-" in plan
