@@ -6,8 +6,10 @@ import json
 import math
 import os
 import urllib.request
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Protocol
 
 import pyarrow as pa
@@ -45,11 +47,17 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
+@lru_cache(1 << 16)
+def _known_hash(word: str) -> int:
+    return fnv1a(word.encode("utf-8", "surrogatepass"))
+
+
 def fake_vector(text: str, width: int = FAKE_WIDTH) -> list[float]:
     """Hashed bag of words with unit length: a deterministic stand-in that needs no model."""
     v = [0.0] * width
-    for w in text.lower().split():
-        v[fnv1a(w.encode("utf-8", "surrogatepass")) % width] += 1.0
+    for w, n in Counter(text.lower().split()).items():
+        # Long words are not remembered, so that what is remembered is bounded.
+        v[(_known_hash(w) if len(w) < 64 else fnv1a(w.encode("utf-8", "surrogatepass"))) % width] += n
     norm = math.sqrt(sum(x * x for x in v))
     return [x / norm for x in v] if norm else v
 

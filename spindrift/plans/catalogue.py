@@ -419,7 +419,9 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
         F.col("source").alias("url"), F.lit("").alias("title"), F.col("lang").alias("heading_path"), F.col("doc_id").cast("int").alias("chunk_index"), F.col("text").alias("content"),
     )
     provider = embed.Fake()
-    hits = retrieval.search(embed.embed(docs, "content", provider), ASKED_TECHNICALLY, provider.embed([QUERY])[0], "/local/docs")
+    # Stored, as a chunk table is: the search reads it three times, and nothing is embedded twice.
+    chunks = settle(embed.embed(docs, "content", provider))
+    hits = retrieval.search(chunks, ASKED_TECHNICALLY, provider.embed([QUERY])[0], "/local/docs")
     return hits.withColumn("score", F.round("score", 9))
 
 

@@ -62,3 +62,9 @@ def test_sections_of_texts_with_marks(spark, tmp_path):
     texts = ["### one\ntwo", "a\n=\nb", "a\n---\nb", "#", "# only", "```\na  \nb", f"a\n\n{long}\n\nb", f"```x\n{long}", f"{long}\n# end", "a \t\n\n\n\nb \n", " ", "", None, "\u00a0", "a\u00a0b\x85c " * 200, "x\u2028# y", "1. # z", "w " * 383, "w " * 384, "a \r\nb\x0b"]
     docs = spark.createDataFrame([(i, t, "en", "src1") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
     assert same_as_sql(spark, tmp_path, "document_sections", documents=docs)
+
+
+def test_hybrid_search_embeds_once(spark):
+    """What is searched is a stored table: no part of the search embeds or tokenises the texts again."""
+    plan = catalogue.queries()["hybrid_search"](spark, str(FOLDER))._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "settled-" in plan
