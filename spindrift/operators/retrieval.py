@@ -151,7 +151,7 @@ def lexical_text(title: str = "title", heading: str = "heading_path", content: s
     return F.concat_ws("\n", C.text(title), C.text(heading), C.text(content))
 
 
-POSTED = 1 << 17  # terms that are held as Python values at once, and those of one text more
+POSTED = 1 << 18  # terms that are held as Python values at once, and those of one text more
 
 
 def counted_terms(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
@@ -190,6 +190,37 @@ def postings(docs: DataFrame, key: str, text: Column | str, extra: tuple[str, ..
     return spread(docs.select(*kept, C.col(text).alias("__text"))).mapInArrow(run, schema)
 
 
+INDEX = "term string, chunk_ids array<string>, tfs array<long>, lengths array<long>"
+
+
+def segments(chunks: DataFrame, text: Column | str, by: str = "library_id") -> DataFrame:
+    """(by, term, chunk_ids, tfs, lengths): what an index stores, one row a term of a few hundred texts.
+
+    ``lengths`` are the chunks' numbers of terms. Lists are built where the text is read, so nothing is
+    shuffled, and a term that every chunk has is many short lists, not one long one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            group = b.column(0).dictionary_encode()
+            names = group.dictionary
+            codes = np.asarray(group.indices.fill_null(len(names)))
+            for own, terms, tfs, lengths in counted_terms(b.column(2)):
+                if not len(own):
+                    continue
+                term = terms.dictionary_encode()
+                cell = np.asarray(term.indices).astype(np.int64) * (len(names) + 1) + codes[own]
+                order = np.argsort(cell, kind="stable")
+                cell = cell[order]
+                starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+                offsets = pa.array(np.append(starts, len(cell)), pa.int32())
+                which, lib = np.divmod(cell[starts], len(names) + 1)
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (b.column(1).take(pa.array(own[order])), pa.array(tfs[order]), pa.array(lengths[order]))]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(lib, mask=lib == len(names))), term.dictionary.take(pa.array(which)), *lists], [by, "term", "chunk_ids", "tfs", "lengths"])
+
+    return spread(chunks.select(by, "chunk_id", C.col(text).alias("__text"))).mapInArrow(run, f"{by} string, {INDEX}")
+
+
 def term_counts(docs: DataFrame, key: str, text: Column | str, terms: list[str]) -> DataFrame:
     """(key, length, tf): a document's number of terms, and its counts of the given ones."""
     kind = dict(docs.dtypes)[key]
@@ -255,15 +286,16 @@ def bm25_from_postings(posted: DataFrame, n_docs: Column | int, query: str, key:
     return summed.orderBy(F.desc("score"), key).limit(k)
 
 
-def bm25_from_index(index: DataFrame, n: int, total: int, query: str, key: str = "chunk_id", k: int | None = LEXICAL_K) -> DataFrame:
-    """The same ranking from an index (term, key, tf, length) and the scope's numbers of chunks and terms.
+def bm25_from_index(index: DataFrame, n: int, total: int, query: str, k: int | None = LEXICAL_K) -> DataFrame:
+    """The same ranking, as (chunk_id, score), from an index's ``segments`` and the scope's numbers of chunks and terms.
 
     The query's terms are pushed to the scan; nothing else is read.
     """
-    terms = sorted(terms_of(query))
+    terms, key = sorted(terms_of(query)), "chunk_id"
     if not terms or not n or not total:
-        return index.select(key, F.lit(0.0).alias("score")).limit(0)
-    hits = index.where(F.col("term").isin(terms)).select(key, "term", "tf", "length")
+        return index.select(F.lit("").alias(key), F.lit(0.0).alias("score")).limit(0)
+    found = index.where(F.col("term").isin(terms)).select("term", F.explode(F.arrays_zip("chunk_ids", "tfs", "lengths")).alias("x"))
+    hits = found.select(F.col("x.chunk_ids").alias(key), "term", F.col("x.tfs").alias("tf"), F.col("x.lengths").alias("length"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row a query term
     rows = hits.join(F.broadcast(df), "term")
     score = C.bm25_term(F.col("tf").cast("double"), F.col("df").cast("double"), F.lit(float(n)), F.col("length").cast("double"), F.lit(float(total)) / F.lit(float(n)))

@@ -5,8 +5,9 @@ names the folders of every library; a commit writes the folders of the libraries
 those, and then puts the next manifest in place, which succeeds for one writer only. A reader resolves
 the newest manifest once, so it sees the old table or the new one and nothing between.
 
-Beside a library's chunks a commit writes their postings, sorted by term, and keeps the library's number
-of chunks and terms in the manifest, so a lexical search reads its terms' row groups and no text.
+Beside a library's chunks a commit writes an index: lists of the chunks that have a term, sorted by term in
+each file. It keeps the library's number of chunks and terms in the manifest, so a lexical search reads its
+terms' row groups and no text.
 """
 
 from __future__ import annotations
@@ -115,8 +116,7 @@ class Files:
 
 
 NAMES = [f.split(" ")[0] for f in CHUNKS.split(", ")]
-SALT = 16
-POSTINGS = "term string, chunk_id string, tf long, length long, library_id string"
+INDEX = retrieval.INDEX + ", library_id string"
 
 
 class ChunkStore:
@@ -164,9 +164,9 @@ class ChunkStore:
         return retrieval.scoped(self.read(library_id), source_id, library_id, version).orderBy("chunk_id")
 
     def lexical(self, library_id: str, query: str, k: int | None = retrieval.LEXICAL_K) -> DataFrame:
-        """(chunk_id, score) of a library's best chunks by BM25, from the stored postings."""
+        """(chunk_id, score) of a library's best chunks by BM25, from the stored index."""
         known = self._state()["libraries"].get(library_id, {"n": 0, "total": 0})
-        return retrieval.bm25_from_index(self._read("postings", POSTINGS, library_id), known["n"], known["total"], query, "chunk_id", k)
+        return retrieval.bm25_from_index(self._read("index", INDEX, library_id), known["n"], known["total"], query, k)
 
     def get(self, chunk_id: str) -> dict:
         rows = self.read().where(F.col("chunk_id") == chunk_id).take(1)
@@ -189,20 +189,20 @@ class ChunkStore:
             rows = rows.where(F.col("library_id").isin(list(libraries)))
         rows.write.partitionBy("library_id").parquet(f"{self.folder}/chunks/{folder}")
         stored = self.spark.read.schema(CHUNKS).parquet(f"{self.folder}/chunks/{folder}")
-        posted = retrieval.postings(stored.withColumn("__text", retrieval.lexical_text()), "chunk_id", "__text", ("library_id",))
-        # A term that most chunks have is dealt over SALT tasks.
-        posted.repartition("library_id", "term", F.pmod(F.xxhash64("chunk_id"), F.lit(SALT))).sortWithinPartitions("library_id", "term", "chunk_id").write.partitionBy("library_id").parquet(f"{self.folder}/postings/{folder}")
-        index = self.spark.read.schema(POSTINGS).parquet(f"{self.folder}/postings/{folder}")
+        # Every task's lists are sorted by term where they are made: a folder of segments, none of which is shuffled.
+        lists = retrieval.segments(stored, retrieval.lexical_text())
+        lists.sortWithinPartitions("library_id", "term").write.partitionBy("library_id").parquet(f"{self.folder}/index/{folder}")
+        index = self.spark.read.schema(INDEX).parquet(f"{self.folder}/index/{folder}")
         # Sizes of libraries, of which there are few: one row each. Chunks without a term count too.
         n = {r[0]: r[1] for r in stored.groupBy("library_id").agg(F.count("*")).collect()}
-        total = {r[0]: r[1] for r in index.groupBy("library_id").agg(F.sum("tf")).collect()}
+        total = {r[0]: r[1] for r in index.groupBy("library_id").agg(F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x))).collect()}
         places = {}
         for x in self.files.list(f"chunks/{folder}"):
             if x.startswith("library_id="):
                 places[unquote(x.split("=", 1)[1])] = f"{folder}/{x}"
         new = {k: {"folder": places[k], "n": n[k], "total": total.get(k, 0)} for k in n}
-        for k in set(new) - set(total):  # a library of which no chunk has a term has no postings yet
-            self.files.make(f"postings/{places[k]}")
+        for k in set(new) - set(total):  # a library of which no chunk has a term has no lists yet
+            self.files.make(f"index/{places[k]}")
         while True:
             now = self._state()
             if now["version"] != began["version"]:
@@ -221,7 +221,7 @@ class ChunkStore:
         return version
 
     def _drop(self, folder: str) -> None:
-        for kind in ("chunks", "postings"):
+        for kind in ("chunks", "index"):
             self.files.delete(f"{kind}/{folder}")
 
     def _clean(self, version: int) -> None:

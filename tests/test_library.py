@@ -337,3 +337,16 @@ def test_crawl_over_http(spark):
         assert functools.reduce(lambda a, r: a and r.status == 200, rows, True)
     finally:
         server.shutdown()
+
+
+def test_index_segments(spark, tmp_path):
+    """A commit shuffles no lists; those of several libraries, batches and an unknown library are whole."""
+    from spindrift.operators import retrieval
+
+    docs = [(f"/local/{i % 3}" if i % 7 else None, f"c{i:04d}", "common " * (i % 4 + 1) + f"w{i % 50} {'' if i % 11 else 'rare'}") for i in range(5000)]
+    lists = retrieval.segments(spark.createDataFrame(docs, "library_id string, chunk_id string, t string"), "t")
+    plan = lists.sortWithinPartitions("library_id", "term")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1 and "hashpartitioning" not in plan  # a small table is dealt out before the Python work
+    got = {(r.library_id, r.term, c, tf, n) for r in lists.collect() for c, tf, n in zip(r.chunk_ids, r.tfs, r.lengths, strict=True)}
+    assert got == {(lib, term, c, tf, retrieval.terms_of(t).total()) for lib, c, t in docs for term, tf in retrieval.terms_of(t).items()}
+    assert lists.count() < 5000 < len(got)
