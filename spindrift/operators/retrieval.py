@@ -21,10 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..session import settle, spread
+from ..session import bound_batches, settle, spread
 
 DENSE_K, LEXICAL_K, FINAL = 20, 20, 6
 RUN_CAP = 2
+TILE, DIGITS, CLOSE = 512, 12, 1e-11  # rows compared at once; places of a distance; more than their rounding moves it
 UNROLL = 160  # widest vector whose products are unrolled into the generated code
 
 _IDENTIFIER = regex.compile(r"[\p{L}\p{Nd}._/-]+")
@@ -96,9 +97,11 @@ def dense_topk_batch(chunks: DataFrame, queries: DataFrame, k: int = DENSE_K, ke
     """Nearest chunks of every query (query_id, vector): (query_id, key, score, rank).
 
     The queries are the stated set; they go to the chunks in blocks. A task keeps the k best of each query
-    over all its batches by partial selection and sends them once, so what is shuffled is bounded by
-    tasks, queries and k. Ties go to the lesser key.
+    over all its batches by partial selection in tiles of rows and sends them once, so what it holds is
+    bounded by the block and the tile, what is shuffled by tasks, queries and k. Distances are rounded to
+    DIGITS places and ties go to the lesser key.
     """
+    bound_batches(chunks.sparkSession)
     ids, vectors = [], []
     for r in queries.select("query_id", "vector").orderBy("query_id").toLocalIterator():
         ids.append(r[0])
@@ -113,26 +116,39 @@ def dense_topk_batch(chunks: DataFrame, queries: DataFrame, k: int = DENSE_K, ke
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, names = sent.value
-            best_d, best_k = np.zeros((len(names), 0)), None
+            n = len(names)
+            # The best of each query so far, as (query, distance, key), and how far its k-th is.
+            best = (np.zeros(0, np.int64), np.zeros(0), None)
+            limit = np.full(n, np.inf)
             for b in batches:
-                if not b.num_rows or not len(names):
+                if not b.num_rows or not n:
                     continue
                 m = np.asarray(b.column("e").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
                 norm = np.linalg.norm(m, axis=1, keepdims=True)
-                d = 1.0 - own @ (m / np.maximum(norm, 1e-300)).T
-                d[:, norm.ravel() == 0] = 1.0
-                keys = b.column("k").to_numpy(zero_copy_only=False)
-                if d.shape[1] > k:
+                m /= np.maximum(norm, 1e-300)
+                every = b.column("k").to_numpy(zero_copy_only=False)
+                for lo in range(0, len(m), TILE):
+                    d = 1.0 - own @ m[lo : lo + TILE].T
+                    d[:, norm[lo : lo + TILE].ravel() == 0] = 1.0
                     # What is not farther than the k-th nearest, ties and all, before the sort.
-                    limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-                    some = np.flatnonzero((d <= limit).any(axis=0))
-                    d, keys = d[:, some], keys[some]
-                keys = np.broadcast_to(keys, d.shape)
-                d, keys = (np.concatenate(x, axis=1) for x in ((best_d, d), (best_k if best_k is not None else keys[:, :0], keys)))
-                order = np.lexsort((keys, d), axis=1)[:, :k]
-                best_d, best_k = np.take_along_axis(d, order, 1), np.take_along_axis(keys, order, 1)
-            if best_k is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names), best_d.shape[1])), pa.array(best_k.ravel()), pa.array(best_d.ravel())], ["query_id", "k", "score"])
+                    near = limit
+                    if d.shape[1] > k and np.isinf(limit).any():
+                        near = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
+                    q, i = np.nonzero(d <= near[:, None] + CLOSE)
+                    if not len(q):
+                        continue
+                    # Rounded, so that copies tie wherever they stand in a tile, and the key decides.
+                    found = (q, np.round(d[q, i], DIGITS), every[lo + i])
+                    q, far, keys = (np.concatenate(x) if best[2] is not None else x[1] for x in zip(best, found, strict=True))
+                    order = np.lexsort((keys, far, q))
+                    q, far, keys = q[order], far[order], keys[order]
+                    start = np.searchsorted(q, np.arange(n))
+                    kept = np.arange(len(q)) - start[q] < k
+                    best = (q[kept], far[kept], keys[kept])
+                    full = np.bincount(best[0], minlength=n) >= k
+                    limit[full] = best[1][np.searchsorted(best[0], np.arange(n)[full], "right") - 1]
+            if best[2] is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(names)[best[0]]), pa.array(best[2]), pa.array(best[1])], ["query_id", "k", "score"])
 
         return run
 

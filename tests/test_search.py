@@ -236,3 +236,23 @@ def test_bm25_counts_texts_once(spark):
     df = spark.createDataFrame([("a", "alpha beta"), ("b", "beta")], "chunk_id string, t string")
     plan = retrieval.bm25_topk(df, "beta", text="t")._jdf.queryExecution().executedPlan().toString()
     assert "Arrow" not in plan and "settled-" in plan
+
+
+def test_dense_batch_in_tiles(spark):
+    """Nearest of many queries over several tiles and batches, with copies: as by a full sort."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(6000, 16)).astype(np.float32)
+    v[1000:1400], v[4100:4130], v[7] = v[5], v[9], 0
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").coalesce(2)
+    asked = rows.where("vec_id % 100 = 5 or vec_id in (7, 9)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    w = v.astype(np.float64)
+    w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300)
+    want = set()
+    for q in [*range(5, 6000, 100), 7, 9]:
+        order = sorted((round(1.0 - float(x), 12), i) for i, x in enumerate(w @ w[q]))[:10]
+        want |= {(q, i, r + 1) for r, (_, i) in enumerate(order)}
+    for block in (1024, 20):
+        got = retrieval.dense_topk_batch(rows, asked, 10, "vec_id", block=block).collect()
+        assert {(r.query_id, r.vec_id, r["rank"]) for r in got} == want
