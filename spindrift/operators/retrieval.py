@@ -16,6 +16,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -167,23 +168,113 @@ def lexical_text(title: str = "title", heading: str = "heading_path", content: s
     return F.concat_ws("\n", C.text(title), C.text(heading), C.text(content))
 
 
-POSTED = 1 << 18  # terms that are held as Python values at once, and those of one text more
+POSTED = 1 << 18  # postings that go to Spark at once, and those of one row more
+PART = 1 << 20  # bytes of text that are counted at once, and those of one text more
+
+_INSIDE = np.array([i >= 128 or chr(i).isalnum() or chr(i) in "._/-" for i in range(256)])
+_EDGE = np.array([chr(i) in "._-" for i in range(256)])
+
+
+@lru_cache(1 << 16)
+def _separates(point: int) -> bool:
+    return not _IDENTIFIER.fullmatch(chr(point))
+
+
+def found_in(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row, identifier without the marks at its ends) in the order of the texts: as ``identifiers``, told from the bytes."""
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    inside = _INSIDE[raw]
+    lead = np.flatnonzero(raw >= 0xC0)
+    if len(lead):  # characters beyond ASCII, each kind of which is looked up once
+        size = 2 + (raw[lead] >= 0xE0) + (raw[lead] >= 0xF0)
+        point = raw[lead].astype(np.int64) & (0xFF >> (size + 1))
+        for j in (1, 2, 3):
+            more = size > j
+            point[more] = point[more] << 6 | (raw[lead[more] + j] & 0x3F)
+        kinds, which = np.unique(point, return_inverse=True)
+        apart = np.array([_separates(int(x)) for x in kinds])[which]
+        lead, size = lead[apart], size[apart]
+        for j in range(4):
+            inside[lead[size > j] + j] = False
+    bound = np.zeros(len(raw) + 1, bool)
+    bound[ends] = True
+
+    def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the runs of a mask start and stop; none goes on from one text to the next."""
+        first, last = mask.copy(), mask.copy()
+        first[1:] &= ~mask[:-1] | bound[1:-1]
+        last[:-1] &= ~mask[1:] | bound[1:-1]
+        return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+    start, stop = runs(inside)
+    edge = _EDGE[raw]
+    left, right = edge[start], edge[stop - 1]
+    if left.any() or right.any():
+        firsts, lasts = runs(inside & ~edge)
+        low, high = np.append(firsts, len(raw)), np.insert(lasts, 0, 0)
+        trimmed_start, trimmed_stop = start.copy(), stop.copy()
+        trimmed_start[left] = np.minimum(low[np.searchsorted(firsts, start[left])], stop[left])
+        trimmed_stop[right] = np.maximum(high[np.searchsorted(lasts, stop[right], "right")], start[right])
+        some = trimmed_start < trimmed_stop
+        start, stop = trimmed_start[some], trimmed_stop[some]
+    row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, ends)))
+    step = np.zeros(len(raw) + 1, np.int8)
+    step[start] += 1
+    step[stop] -= 1
+    places = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int32)
+    kept = raw[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
+    return row, pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(places), pa.py_buffer(kept)])
+
+
+def tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, pa.Array]]:
+    """(first text, number of texts, row, code, terms) in parts of bounded size: a row and a code for each term that occurs."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset :] if len(texts) else []
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(offsets[: len(texts) + 1], offsets[lo] + PART, "right")) - 1)
+        row, found = found_in(texts.slice(lo, hi - lo))
+        words = found.dictionary_encode()
+        every = words.dictionary
+        lower = pc.ascii_lower(every)
+        # ASCII words of small letters after the first are one term each; the others go to the rule.
+        plain = pc.and_(pc.ascii_is_alpha(every), pc.or_(pc.equal(every, lower), pc.equal(every, pc.ascii_capitalize(every))))
+        flat: list[str] = []
+        sizes: list[int] = []
+        for w in every.filter(pc.invert(plain)).to_numpy(zero_copy_only=False).tolist():
+            own = _terms(w)
+            flat += own
+            sizes.append(len(own))
+        term = pa.concat_arrays([lower.filter(plain), pa.array(flat, pa.string())]).dictionary_encode()
+        # Where an identifier's terms begin, and how many they are.
+        one = plain.to_numpy(zero_copy_only=False)
+        n, size, begin = int(one.sum()), np.ones(len(every), np.int64), np.zeros(len(every), np.int64)
+        begin[one], size[~one] = np.arange(n), sizes
+        begin[~one] = n + np.cumsum(size[~one]) - size[~one]
+        code = np.asarray(words.indices)
+        times, first = size[code], begin[code]
+        place = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        yield lo, hi - lo, np.repeat(row, times), np.asarray(term.indices)[place], term.dictionary
+        lo = hi
+
+
+def counted(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """(first text, row from there, code, tf, the texts' numbers of terms, terms) in parts of bounded size."""
+    for lo, n, row, code, terms in tokens(texts):
+        cell, tf = np.unique(row * max(1, len(terms)) + code, return_counts=True)
+        own, which = np.divmod(cell, max(1, len(terms)))
+        yield lo, own, which, tf, np.bincount(row, minlength=n), terms
 
 
 def counted_terms(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
     """(row, term, tf, the row's number of terms) of a batch of texts, in parts of bounded size."""
-    rows, sizes, sums, terms, tfs = [], [], [], [], []
-    last = len(texts) - 1
-    for i, t in enumerate(texts):
-        counts = terms_of(t.as_py())
-        rows.append(i)
-        sizes.append(len(counts))
-        sums.append(counts.total())
-        terms += counts.keys()
-        tfs += counts.values()
-        if len(terms) >= POSTED or i == last:
-            yield np.repeat(rows, sizes), pa.array(terms, pa.string()), np.array(tfs, np.int64), np.repeat(np.array(sums, np.int64), sizes)
-            rows, sizes, sums, terms, tfs = [], [], [], [], []
+    for lo, own, code, tf, lengths, terms in counted(texts):
+        for at in range(0, len(own), POSTED):
+            part = slice(at, at + POSTED)
+            yield lo + own[part], terms.take(pa.array(code[part])), tf[part], lengths[own[part]]
 
 
 def postings(docs: DataFrame, key: str, text: Column | str, extra: tuple[str, ...] | None = None) -> DataFrame:
@@ -240,22 +331,17 @@ def segments(chunks: DataFrame, text: Column | str, by: str = "library_id") -> D
 def term_counts(docs: DataFrame, key: str, text: Column | str, terms: list[str]) -> DataFrame:
     """(key, length, tf): a document's number of terms, and its counts of the given ones."""
     kind = dict(docs.dtypes)[key]
-    wanted, place = frozenset(terms), {t: i for i, t in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = pa.array(terms, pa.string())
         for b in batches:
-            lengths, tfs = [], []
-            for t in b.column(1):
-                length, tf = 0, [0] * len(terms)
-                for found, times in Counter(identifiers(t.as_py() or "")).items():
-                    own = terms_of_identifier(found)
-                    length += len(own) * times
-                    if not wanted.isdisjoint(own):
-                        for x in wanted.intersection(own):
-                            tf[place[x]] += times
-                lengths.append(length)
-                tfs.append(tf)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths, pa.int64()), pa.array(tfs, pa.list_(pa.int64()))], [key, "length", "tf"])
+            for lo, n, row, code, known in tokens(b.column(1)):
+                tfs = np.zeros((n, len(terms)), np.int64)
+                for i, c in enumerate(pc.index_in(asked, value_set=known).to_pylist()):
+                    if c is not None:
+                        tfs[:, i] = np.bincount(row[code == c], minlength=n)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(terms), pa.int32()), pa.array(tfs.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), pa.array(np.bincount(row, minlength=n)), lists], [key, "length", "tf"])
 
     return spread(docs.select(key, C.col(text).alias("__text"))).mapInArrow(run, f"{key} {kind}, length long, tf array<long>")
 

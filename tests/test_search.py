@@ -256,3 +256,29 @@ def test_dense_batch_in_tiles(spark):
     for block in (1024, 20):
         got = retrieval.dense_topk_batch(rows, asked, 10, "vec_id", block=block).collect()
         assert {(r.query_id, r.vec_id, r["rank"]) for r in got} == want
+
+
+def test_terms_of_batches(spark):
+    """A batch's terms, told from its bytes, are those of its texts one by one; long batches come in parts."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    signs = "aB.-_/ \u00e9\u65e5\U0001f600\u00b2\u0301\uff21\u201c\u01c5\n1\u0663\u0130\x00\x85"
+    texts = ["", None, "...", "Go go -x-.", "oauth.clientName", "HTTPServer /reload x\u00b2y", "-" * 5000 + "a" + "." * 3000, "A", "x" * 70_000]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["word " * (retrieval.PART // 8)] * 4
+    whole = pa.array(texts, pa.string())
+    for part, first in ((whole, 0), (whole.slice(5, 900), 5), (whole.slice(0, 0), 0), (whole.cast(pa.large_string()), 0)):
+        got = [{} for _ in range(len(part))]
+        for own, terms, tfs, lengths in retrieval.counted_terms(part):
+            for i, t, tf, n in zip(own, terms.to_pylist(), tfs, lengths, strict=True):
+                got[i][t] = int(tf)
+                assert i >= 50 or n == retrieval.terms_of(texts[first + i]).total()
+        assert got == [dict(retrieval.terms_of(t)) for t in texts[first : first + len(part)]]
+    assert len(list(retrieval.tokens(whole))) >= 3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:60])], "doc_id long, t string")
+    asked = ["a", "b", "nothing", "client"]
+    counts = {r.doc_id: (r.length, r.tf) for r in retrieval.term_counts(df, "doc_id", "t", asked).collect()}
+    one = [retrieval.terms_of(t) for t in texts[:60]]
+    assert counts == {i: (c.total(), [c[t] for t in asked]) for i, c in enumerate(one)}
