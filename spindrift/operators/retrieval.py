@@ -170,6 +170,7 @@ def lexical_text(title: str = "title", heading: str = "heading_path", content: s
 
 POSTED = 1 << 18  # postings that go to Spark at once, and those of one row more
 PART = 1 << 20  # bytes of text that are counted at once, and those of one text more
+HELD = 1 << 20  # postings of which an index's lists are made
 
 _INSIDE = np.array([i >= 128 or chr(i).isalnum() or chr(i) in "._/-" for i in range(256)])
 _EDGE = np.array([chr(i) in "._-" for i in range(256)])
@@ -297,35 +298,66 @@ def postings(docs: DataFrame, key: str, text: Column | str, extra: tuple[str, ..
     return spread(docs.select(*kept, C.col(text).alias("__text"))).mapInArrow(run, schema)
 
 
-INDEX = "term string, chunk_ids array<string>, tfs array<long>, lengths array<long>"
+INDEX = "term string, chunk_ids array<string>, tfs array<int>, lengths array<int>, total long"
+
+
+def index_lists(batches: Iterator[pa.RecordBatch], by: str, most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """The rows of ``segments`` of batches (by, chunk_id, text), made from ``most`` postings at a time."""
+
+    def lists(parts: list[tuple], n: int) -> Iterator[pa.RecordBatch]:
+        term = pa.chunked_array([x[0] for x in parts]).unify_dictionaries().combine_chunks()
+        doc, tf, lengths = (np.concatenate([x[i] for x in parts]) for i in (1, 2, 3))
+        group, ids = (pa.concat_arrays([x[i] for x in parts]) for i in (4, 5))
+        parts.clear()
+        # By library, then term, as Spark is going to sort them: what is sorted already costs it little.
+        names, by_name = pc.unique(group).drop_null(), pc.array_sort_indices(term.dictionary)
+        names, known = names.take(pc.array_sort_indices(names)), term.dictionary.take(by_name)
+        rank = np.empty(len(known), np.int64)
+        rank[np.asarray(by_name)] = np.arange(len(known))
+        lib = np.asarray(pc.index_in(group, names).fill_null(len(names))).astype(np.int64)
+        cell = lib[doc] * len(known) + rank[np.asarray(term.indices)]
+        order = np.argsort(cell * n + doc)
+        cell, doc, tf = cell[order], doc[order], tf[order]
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        total = np.add.reduceat(tf, starts, dtype=np.int64)
+        lib, which = np.divmod(cell[starts], len(known))
+        ends = np.append(starts, len(cell))
+        lo = 0
+        while lo < len(starts):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + POSTED, "right")) - 1)
+            rows, part = slice(lo, hi), slice(ends[lo], ends[hi])
+            offsets = pa.array((ends[lo : hi + 1] - ends[lo]).astype(np.int32))
+            own = doc[part]
+            columns = [pa.ListArray.from_arrays(offsets, x) for x in (ids.take(pa.array(own)), pa.array(tf[part]), pa.array(lengths[own]))]
+            library = names.take(pa.array(lib[rows], mask=lib[rows] == len(names)))
+            yield pa.RecordBatch.from_arrays([library, known.take(pa.array(which[rows])), *columns, pa.array(total[rows])], [by, "term", "chunk_ids", "tfs", "lengths", "total"])
+            lo = hi
+
+    parts: list[tuple] = []
+    docs = postings = 0
+    for b in batches:
+        for lo, own, code, tf, lengths, terms in counted(b.column(2)):
+            if not len(own):
+                continue
+            # Copies of the two short columns: a slice would keep the batch with its texts.
+            group, ids = (b.column(i).take(pa.array(np.arange(lo, lo + len(lengths)))) for i in (0, 1))
+            parts.append((pa.DictionaryArray.from_arrays(pa.array(code.astype(np.int32)), terms), (docs + own).astype(np.int32), tf.astype(np.int32), lengths.astype(np.int32), group, ids))
+            docs, postings = docs + len(lengths), postings + len(own)
+            if postings >= most:
+                yield from lists(parts, docs)
+                docs = postings = 0
+    if parts:
+        yield from lists(parts, docs)
 
 
 def segments(chunks: DataFrame, text: Column | str, by: str = "library_id") -> DataFrame:
-    """(by, term, chunk_ids, tfs, lengths): what an index stores, one row a term of a few hundred texts.
+    """(by, term, chunk_ids, tfs, lengths, total): what an index stores, one row a term of some thousand texts.
 
-    ``lengths`` are the chunks' numbers of terms. Lists are built where the text is read, so nothing is
-    shuffled, and a term that every chunk has is many short lists, not one long one.
+    ``lengths`` are the chunks' numbers of terms, ``total`` is the sum of the tfs. Lists are built where the text is
+    read, from HELD postings at a time, so nothing is shuffled, and a term that every chunk has is many lists, not one.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            group = b.column(0).dictionary_encode()
-            names = group.dictionary
-            codes = np.asarray(group.indices.fill_null(len(names)))
-            for own, terms, tfs, lengths in counted_terms(b.column(2)):
-                if not len(own):
-                    continue
-                term = terms.dictionary_encode()
-                cell = np.asarray(term.indices).astype(np.int64) * (len(names) + 1) + codes[own]
-                order = np.argsort(cell, kind="stable")
-                cell = cell[order]
-                starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-                offsets = pa.array(np.append(starts, len(cell)), pa.int32())
-                which, lib = np.divmod(cell[starts], len(names) + 1)
-                lists = [pa.ListArray.from_arrays(offsets, x) for x in (b.column(1).take(pa.array(own[order])), pa.array(tfs[order]), pa.array(lengths[order]))]
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(lib, mask=lib == len(names))), term.dictionary.take(pa.array(which)), *lists], [by, "term", "chunk_ids", "tfs", "lengths"])
-
-    return spread(chunks.select(by, "chunk_id", C.col(text).alias("__text"))).mapInArrow(run, f"{by} string, {INDEX}")
+    rows = spread(chunks.select(by, "chunk_id", C.col(text).alias("__text")))
+    return rows.mapInArrow(lambda batches: index_lists(batches, by), f"{by} string, {INDEX}")
 
 
 def term_counts(docs: DataFrame, key: str, text: Column | str, terms: list[str]) -> DataFrame:

@@ -195,7 +195,7 @@ class ChunkStore:
         index = self.spark.read.schema(INDEX).parquet(f"{self.folder}/index/{folder}")
         # Sizes of libraries, of which there are few: one row each. Chunks without a term count too.
         n = {r[0]: r[1] for r in stored.groupBy("library_id").agg(F.count("*")).collect()}
-        total = {r[0]: r[1] for r in index.groupBy("library_id").agg(F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x))).collect()}
+        total = {r[0]: r[1] for r in index.groupBy("library_id").agg(F.sum("total")).collect()}
         places = {}
         for x in self.files.list(f"chunks/{folder}"):
             if x.startswith("library_id="):

@@ -350,3 +350,18 @@ def test_index_segments(spark, tmp_path):
     got = {(r.library_id, r.term, c, tf, n) for r in lists.collect() for c, tf, n in zip(r.chunk_ids, r.tfs, r.lengths, strict=True)}
     assert got == {(lib, term, c, tf, retrieval.terms_of(t).total()) for lib, c, t in docs for term, tf in retrieval.terms_of(t).items()}
     assert lists.count() < 5000 < len(got)
+
+
+def test_index_has_few_lists(spark, tmp_path):
+    """A task makes one list of a term and a library from all its batches, and the commit adds up no lists."""
+    from spindrift.operators import retrieval
+
+    docs = [(f"/local/{i % 2}", f"c{i:05d}", "common " * (i % 3 + 1)) for i in range(30_000)]
+    lists = retrieval.segments(spark.createDataFrame(docs, "library_id string, chunk_id string, t string"), "t")
+    got = lists.collect()
+    assert len(got) <= 2 * spark.sparkContext.defaultParallelism
+    assert sum(len(r.chunk_ids) for r in got) == 30_000 and sum(r.total for r in got) == sum(i % 3 + 1 for i in range(30_000))
+    store = ChunkStore(spark, str(tmp_path / "c"))
+    row = lambda i, content: (i, "s", "/local/a", "", "d", "u", "", "", 0, content, "h", [1.0])
+    store.commit(spark.createDataFrame([row("1", "alpha beta beta"), row("2", ""), row("3", "beta")], store.read().schema))
+    assert store._state()["libraries"]["/local/a"]["total"] == 4 and store._state()["libraries"]["/local/a"]["n"] == 3
