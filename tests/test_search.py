@@ -282,3 +282,34 @@ def test_terms_of_batches(spark):
     counts = {r.doc_id: (r.length, r.tf) for r in retrieval.term_counts(df, "doc_id", "t", asked).collect()}
     one = [retrieval.terms_of(t) for t in texts[:60]]
     assert counts == {i: (c.total(), [c[t] for t in asked]) for i, c in enumerate(one)}
+
+
+def test_index_lists_are_bounded():
+    """What a task holds does not grow with its batches; the lists made at each step are whole and sorted."""
+    import pyarrow as pa
+
+    def batch(i):
+        rows = [(None if j % 9 == 0 else f"l{j % 3}", f"c{i}-{j}", "common " * (j % 3 + 1) + " ".join(f"w{(i * j + k) % 700}" for k in range(60))) for j in range(200)]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], ["library_id", "chunk_id", "t"])
+
+    def run(n):
+        got, most, before = [], 0, pa.total_allocated_bytes()
+        for b in retrieval.index_lists((batch(i) for i in range(n)), "library_id", 20_000):
+            most = max(most, pa.total_allocated_bytes() - before)
+            got.append(b.to_pylist())
+        return got, most
+
+    run(2)
+    (few, small), (many, large) = run(4), run(24)
+    assert large < 1.5 * small and len(many) > 2 * len(few)
+    for part in many:
+        keys = [(r["library_id"] is None, r["library_id"], r["term"].encode()) for r in part]
+        assert all(a < b for a, b in zip(keys, keys[1:]) if a[1] == b[1] or not (a[0] or b[0]))
+        assert all(r["total"] == sum(r["tfs"]) for r in part)
+    found = {(r["library_id"], r["term"], c): (tf, n) for part in many for r in part for c, tf, n in zip(r["chunk_ids"], r["tfs"], r["lengths"], strict=True)}
+    want = {}
+    for i in range(24):
+        for r in batch(i).to_pylist():
+            c = retrieval.terms_of(r["t"])
+            want |= {(r["library_id"], t, r["chunk_id"]): (tf, c.total()) for t, tf in c.items()}
+    assert found == want
