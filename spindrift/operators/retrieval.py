@@ -171,6 +171,7 @@ def lexical_text(title: str = "title", heading: str = "heading_path", content: s
 POSTED = 1 << 18  # postings that go to Spark at once, and those of one row more
 PART = 1 << 20  # bytes of text that are counted at once, and those of one text more
 HELD = 1 << 20  # postings of which an index's lists are made
+HELD_BYTES = 32 << 20  # bytes of terms and ids of which they are made, and those of one part more
 
 _INSIDE = np.array([i >= 128 or chr(i).isalnum() or chr(i) in "._/-" for i in range(256)])
 _EDGE = np.array([chr(i) in "._-" for i in range(256)])
@@ -301,8 +302,8 @@ def postings(docs: DataFrame, key: str, text: Column | str, extra: tuple[str, ..
 INDEX = "term string, chunk_ids array<string>, tfs array<int>, lengths array<int>, total long"
 
 
-def index_lists(batches: Iterator[pa.RecordBatch], by: str, most: int = HELD) -> Iterator[pa.RecordBatch]:
-    """The rows of ``segments`` of batches (by, chunk_id, text), made from ``most`` postings at a time."""
+def index_lists(batches: Iterator[pa.RecordBatch], by: str, most: int = HELD, most_bytes: int = HELD_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``segments`` of batches (by, chunk_id, text), made from ``most`` postings at a time, or fewer long ones."""
 
     def lists(parts: list[tuple], n: int) -> Iterator[pa.RecordBatch]:
         term = pa.chunked_array([x[0] for x in parts]).unify_dictionaries().combine_chunks()
@@ -334,7 +335,7 @@ def index_lists(batches: Iterator[pa.RecordBatch], by: str, most: int = HELD) ->
             lo = hi
 
     parts: list[tuple] = []
-    docs = postings = 0
+    docs = postings = size = 0
     for b in batches:
         for lo, own, code, tf, lengths, terms in counted(b.column(2)):
             if not len(own):
@@ -342,10 +343,10 @@ def index_lists(batches: Iterator[pa.RecordBatch], by: str, most: int = HELD) ->
             # Copies of the two short columns: a slice would keep the batch with its texts.
             group, ids = (b.column(i).take(pa.array(np.arange(lo, lo + len(lengths)))) for i in (0, 1))
             parts.append((pa.DictionaryArray.from_arrays(pa.array(code.astype(np.int32)), terms), (docs + own).astype(np.int32), tf.astype(np.int32), lengths.astype(np.int32), group, ids))
-            docs, postings = docs + len(lengths), postings + len(own)
-            if postings >= most:
+            docs, postings, size = docs + len(lengths), postings + len(own), size + terms.nbytes + group.nbytes + ids.nbytes
+            if postings >= most or size >= most_bytes:
                 yield from lists(parts, docs)
-                docs = postings = 0
+                docs = postings = size = 0
     if parts:
         yield from lists(parts, docs)
 
@@ -354,7 +355,7 @@ def segments(chunks: DataFrame, text: Column | str, by: str = "library_id") -> D
     """(by, term, chunk_ids, tfs, lengths, total): what an index stores, one row a term of some thousand texts.
 
     ``lengths`` are the chunks' numbers of terms, ``total`` is the sum of the tfs. Lists are built where the text is
-    read, from HELD postings at a time, so nothing is shuffled, and a term that every chunk has is many lists, not one.
+    read, from HELD postings or HELD_BYTES at a time, so nothing is shuffled, and a term that every chunk has is many lists, not one.
     """
     rows = spread(chunks.select(by, "chunk_id", C.col(text).alias("__text")))
     return rows.mapInArrow(lambda batches: index_lists(batches, by), f"{by} string, {INDEX}")

@@ -313,3 +313,19 @@ def test_index_lists_are_bounded():
             c = retrieval.terms_of(r["t"])
             want |= {(r["library_id"], t, r["chunk_id"]): (tf, c.total()) for t, tf in c.items()}
     assert found == want
+
+
+def test_index_lists_of_long_words_are_bounded():
+    """Words of thousands of letters, none of them twice: a task holds them by their bytes, not by their number."""
+    import pyarrow as pa
+
+    def run(n):
+        rows = lambda i: [" ".join(f"{i}x{j}x{k}".ljust(4000, "x") for k in range(250)) for j in range(8)]
+        batches = (pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (["l"] * 8, [f"c{i}-{j}" for j in range(8)], rows(i))], ["library_id", "chunk_id", "t"]) for i in range(n))
+        most, before, terms = 0, pa.total_allocated_bytes(), 0
+        for b in retrieval.index_lists(batches, "library_id"):
+            most, terms = max(most, pa.total_allocated_bytes() - before), terms + b.num_rows
+        return most, terms
+
+    (small, few), (large, many) = run(6), run(20)
+    assert (few, many) == (6 * 2000, 20 * 2000) and large < 1.5 * small
