@@ -329,3 +329,18 @@ def test_index_lists_of_long_words_are_bounded():
 
     (small, few), (large, many) = run(6), run(20)
     assert (few, many) == (6 * 2000, 20 * 2000) and large < 1.5 * small
+
+
+def test_ranking_from_lists_of_bounded_bytes(spark):
+    """A ranking from an index whose lists end at their bytes, many to a term, is the one that counts the texts."""
+    import pyarrow as pa
+
+    docs = [("l", f"c{i:03d}", "beta " * (i % 4) + "alpha " * (i % 3) + f"word{i}".ljust(3000, "x")) for i in range(300)]
+    batches = (pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*docs[i : i + 10], strict=True)], ["library_id", "chunk_id", "t"]) for i in range(0, 300, 10))
+    lists = [r for b in retrieval.index_lists(batches, "library_id", most_bytes=100_000) for r in b.to_pylist()]
+    assert sum(r["term"] == "alpha" for r in lists) > 5
+    index = spark.createDataFrame([tuple(r.values()) for r in lists], f"library_id string, {retrieval.INDEX}")
+    table = spark.createDataFrame(docs, "library_id string, chunk_id string, t string")
+    got = retrieval.bm25_from_index(index, 300, sum(r["total"] for r in lists), "alpha beta", 50).collect()
+    want = retrieval.bm25_topk(table, "alpha beta", text="t", k=50).collect()
+    assert len(got) == 50 and [(r.chunk_id, round(r.score, 9)) for r in got] == [(r.chunk_id, round(r.score, 9)) for r in want]
