@@ -351,13 +351,18 @@ def index_lists(batches: Iterator[pa.RecordBatch], by: str, most: int = HELD, mo
         yield from lists(parts, docs)
 
 
-def segments(chunks: DataFrame, text: Column | str, by: str = "library_id") -> DataFrame:
+def segments(chunks: DataFrame, text: Column | str, by: str = "library_id", dealt: bool = False) -> DataFrame:
     """(by, term, chunk_ids, tfs, lengths, total): what an index stores, one row a term of some thousand texts.
 
     ``lengths`` are the chunks' numbers of terms, ``total`` is the sum of the tfs. Lists are built where the text is
     read, from HELD postings or HELD_BYTES at a time, so nothing is shuffled, and a term that every chunk has is many lists, not one.
+    ``dealt`` says that the rows lie over all cores as they are.
     """
-    rows = spread(chunks.select(by, "chunk_id", C.col(text).alias("__text")))
+    rows = chunks.select(by, "chunk_id", C.col(text).alias("__text"))
+    if dealt:
+        bound_batches(rows.sparkSession)
+    else:
+        rows = spread(rows)
     return rows.mapInArrow(lambda batches: index_lists(batches, by), f"{by} string, {INDEX}")
 
 

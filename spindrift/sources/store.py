@@ -117,6 +117,7 @@ class Files:
 
 NAMES = [f.split(" ")[0] for f in CHUNKS.split(", ")]
 INDEX = retrieval.INDEX + ", library_id string"
+DEALT = 4  # files a core, from which texts are read as they lie
 
 
 class ChunkStore:
@@ -190,7 +191,9 @@ class ChunkStore:
         rows.write.partitionBy("library_id").parquet(f"{self.folder}/chunks/{folder}")
         stored = self.spark.read.schema(CHUNKS).parquet(f"{self.folder}/chunks/{folder}")
         # Every task's lists are sorted by term where they are made: a folder of segments, none of which is shuffled.
-        lists = retrieval.segments(stored, retrieval.lexical_text())
+        # Many files are dealt over the cores as they are read; texts in few are dealt out.
+        many = len(stored.inputFiles()) >= DEALT * self.spark.sparkContext.defaultParallelism
+        lists = retrieval.segments(stored, retrieval.lexical_text(), dealt=many)
         lists.sortWithinPartitions("library_id", "term").write.partitionBy("library_id").parquet(f"{self.folder}/index/{folder}")
         index = self.spark.read.schema(INDEX).parquet(f"{self.folder}/index/{folder}")
         # Sizes of libraries, of which there are few: one row each. Chunks without a term count too.

@@ -365,3 +365,21 @@ def test_index_has_few_lists(spark, tmp_path):
     row = lambda i, content: (i, "s", "/local/a", "", "d", "u", "", "", 0, content, "h", [1.0])
     store.commit(spark.createDataFrame([row("1", "alpha beta beta"), row("2", ""), row("3", "beta")], store.read().schema))
     assert store._state()["libraries"]["/local/a"]["total"] == 4 and store._state()["libraries"]["/local/a"]["n"] == 3
+
+
+def test_index_of_many_files_is_not_dealt_out(spark, tmp_path, monkeypatch):
+    """A commit deals texts over the cores where they lie in few files; of many it shuffles none, and its index is whole."""
+    from pyspark.sql import functions as F
+
+    from spindrift.operators import retrieval
+
+    dealt, spread = [], retrieval.spread
+    monkeypatch.setattr(retrieval, "spread", lambda df: dealt.append(1) or spread(df))
+    row = lambda i, lib: (f"c{i:03d}", "s", lib, "", "d", "u", "", "", 0, f"alpha word{i} " + "beta " * (i % 3), "h", [1.0])
+    for libraries, parts, times in ((1, 1, 1), (20, 8, 0)):
+        store, before = ChunkStore(spark, str(tmp_path / f"c{libraries}")), len(dealt)
+        store.commit(spark.createDataFrame([row(i, f"/local/{i % libraries}") for i in range(400)], store.read().schema).repartition(parts))
+        assert len(dealt) - before == times
+        got = {r.chunk_id for r in store.lexical("/local/0", "alpha", 1000).collect()}
+        assert got == {f"c{i:03d}" for i in range(0, 400, libraries)}
+        assert spark.read.parquet(str(tmp_path / f"c{libraries}/index/*/*")).agg(F.sum("total")).first()[0] == sum(2 + i % 3 for i in range(400))
